@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmere.llm.piece_codec import piece_digests
+from quillmere.llm.simhash import simhash_components
 from quillmere.llm.token_counts import token_counts
 from quillmere.llm.transport_stream import media_columns
 
@@ -26,6 +27,10 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_documents(spark, sf_dir))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_documents(spark, sf_dir), keep=["doc_id"])
 
@@ -34,5 +39,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op5_media_columns, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op3_simhash, op5_media_columns, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
