@@ -312,9 +312,10 @@ class PieceCodec:
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
-        """Text of ids, as the library's decode gives it: the first space goes."""
+        """Text of ids, as the library's decode gives it: the first piece's mark goes, a byte piece's space stays."""
         text = self._surface(ids)
-        return text[1:] if text.startswith(" ") else text
+        first = next((i for i in ids if self.surface[i] != ""), None)
+        return text[1:] if text.startswith(" ") and first not in self.byte_value else text
 
     def digests(self, texts: Sequence[str]) -> tuple[list[int], list[str], list[str]]:
         """n ids, SHA-256 of the ids and of the decoded text, of each text."""

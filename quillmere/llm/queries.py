@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmere.llm.piece_codec import piece_digests
+from quillmere.llm.secret_scan import scan_secrets
 from quillmere.llm.simhash import simhash_components
 from quillmere.llm.token_counts import token_counts
 from quillmere.llm.transport_stream import media_columns
@@ -39,5 +40,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op3_simhash, op5_media_columns, op9_token_counts)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_documents(spark, sf_dir), keep=["doc_id"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op3_simhash, op5_media_columns, op9_token_counts, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
