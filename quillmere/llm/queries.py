@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillmere.llm.language_id import fit, identify
 from quillmere.llm.piece_codec import piece_digests
 from quillmere.llm.secret_scan import scan_secrets
 from quillmere.llm.simhash import simhash_components
@@ -28,6 +30,17 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def held_out() -> Column:
+    """Whether a document is kept from learning: crc32 of its id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    models = fit(docs.where(~held_out()))
+    return identify(docs.select("doc_id", "text"), models, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_documents(spark, sf_dir))
 
@@ -44,5 +57,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op3_simhash, op5_media_columns, op9_token_counts, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op2_language_id, op3_simhash, op5_media_columns, op9_token_counts, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
