@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmere.llm.decontaminate import contained_items
 from quillmere.llm.language_id import fit, identify
 from quillmere.llm.piece_codec import piece_digests
 from quillmere.llm.secret_scan import scan_secrets
@@ -49,6 +50,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), keep=["doc_id"])
 
@@ -57,5 +62,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op2_language_id, op3_simhash, op5_media_columns, op9_token_counts, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op2_language_id, op3_simhash, op5_media_columns, op8_decontaminate, op9_token_counts, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
