@@ -12,6 +12,7 @@ from quillmere.llm.language_id import fit, identify
 from quillmere.llm.license_scan import scan_licenses
 from quillmere.llm.main_text import main_text
 from quillmere.llm.piece_codec import piece_digests
+from quillmere.llm.repeats import remove_repeats
 from quillmere.llm.secret_scan import scan_secrets
 from quillmere.llm.simhash import simhash_components
 from quillmere.llm.token_counts import token_counts
@@ -60,6 +61,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -72,5 +77,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op2_language_id, op3_simhash, op4_license_scan, op5_media_columns, op6_main_text, op8_decontaminate, op9_token_counts, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op2_language_id, op3_simhash, op4_license_scan, op5_media_columns, op6_main_text, op7_repeats, op8_decontaminate, op9_token_counts, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
