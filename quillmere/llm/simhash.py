@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,3 +233,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = MOST_BITS) -> DataFrame:
+    """All columns of one document of each component: that of the smallest id, null ids last; of equal rows one stays."""
+    row = F.xxhash64(column(id_col), column(text_col))
+    src = docs.select(column(id_col).alias("__id"), column(text_col).alias("__t"), row.alias("__row"))
+    prints = staged(with_fingerprint(src, "__t", words, keep=["__id", "__row"]))
+    rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    each = prints.groupBy("fp").agg(F.min(rank).alias("low"))
+    comps = components(near_links(each.select("fp"), most))
+    root = each.join(comps, each.fp == comps.node, "left").select(F.coalesce("root", "fp").alias("root"), "low")
+    first = root.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__row"))
+    kept = docs.withColumn("__row", row).join(first, "__row", "left_semi")
+    once = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    return kept.withColumn("__n", once).where("__n = 1").select(*[column(c) for c in docs.columns])
