@@ -17,7 +17,9 @@ and strings can only be equal within segments of one anchor's value:
    that occurs twice is repeated throughout; an anchor with one content only,
    once, has no repeat. Only the rest goes on, one copy of each content.
 2. Anchors with up to ``GROUP`` contents are indexed: their segments' text is dealt by
-   anchor, and each task builds run-length indexes of blocks of whole anchors.
+   anchor, and each task builds run-length indexes of blocks of whole anchors. Starts
+   are taken relative to the anchor in classes of ``CLASS``; all strings of a class share its
+   core, and only classes whose core another segment has are laid into the index, equal ones once.
 3. For anchors with more, each string's own hash is counted, pre-aggregated, so
    no group is gathered anywhere (an exact way for what 2 leaves out).
 
@@ -43,7 +45,9 @@ from quillmere.llm.tables import staged
 
 LENGTH, K = 200, 32
 #: Contents of one anchor that are indexed together, and bytes of one index.
-GROUP, INDEX_BYTES = 256, 2 << 20
+GROUP, INDEX_BYTES = 8192, 2 << 20
+#: Starts relative to the anchor, from K - LENGTH to 0, that are looked at together.
+CLASS = 24
 _SHIFT = np.uint64(24)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -75,13 +79,13 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(x) - w + 1], out[w - step : w - step + len(x) - w + 1]) if step < w else out
 
 
-def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first string, number of strings, anchor hash) of each segment of one text; together they hold every string once."""
+def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first string, number of strings, anchor's place after the first, anchor hash) of each segment of one text; together they hold every string once."""
     windows = len(data) - length + 1
     if windows <= 0:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     h = _gram_hashes(data)
-    starts, anchors = [], []
+    starts, anchors, places = [], [], []
     block = 1 << 22  # places fit the low bits
     for a in range(0, windows, block):
         part = h[a : min(len(h), a + block + length - K)]
@@ -89,9 +93,10 @@ def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
         place = (_window_min(key, length - K + 1) & _LOW).astype(np.int64) + a
         cut = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
         starts.append(cut + a)
+        places.append(place[cut])
         anchors.append(h[place[cut]])
     start = np.concatenate(starts)
-    return start, np.diff(np.append(start, windows)), np.concatenate(anchors)
+    return start, np.diff(np.append(start, windows)), np.concatenate(places) - start, np.concatenate(anchors)
 
 
 # ---- run-length index -----------------------------------------------------
@@ -208,7 +213,12 @@ def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray
 
 # ---- the operator ---------------------------------------------------------
 
-_SEGMENT = "anchor long, content long, rk long, start int, strings int"
+#: ``place`` holds the first string, the number of strings and the anchor's place after the first, in 48, 8 and 8 bits.
+_SEGMENT = "anchor long, content long, rk long, place long"
+
+
+def _place(start: np.ndarray, strings: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return start << 16 | strings << 8 | after
 
 
 def _segment_rows(length: int):
@@ -225,37 +235,36 @@ def _segment_rows(length: int):
                 rows = []
                 for i in np.flatnonzero(np.diff(at) >= length).tolist():
                     own = data[at[i] : at[i + 1]]
-                    start, count, anchor = segments(own, length)
+                    start, count, after, anchor = segments(own, length)
                     raw = own.tobytes()
                     content = np.array([digest(raw[a : a + n + length - 1]) for a, n in zip(start.tolist(), count.tolist())], np.uint64)
-                    rows.append((anchor, content, np.full(len(start), keys[i]), start, count))
+                    rows.append((anchor, content, np.full(len(start), keys[i]), _place(start, count, after)))
                 if rows:
-                    a, c, k, s, n = (np.concatenate(x) for x in zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(k), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
+                    a, c, k, p = (np.concatenate(x) for x in zip(*rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(k), pa.array(p)], names=names)
 
     return run
 
 
-_PICK = T.ArrayType(T.StructType([T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("strings", T.IntegerType()), T.StructField("many", T.BooleanType())]))
-
-
 def _cut_text(length: int):
-    """(text, picks) batches to (anchor, content, many, text of the segment)."""
+    """(text, picks) batches to (anchor, content, many, anchor's place, text of the segment)."""
 
     def run(batches):
-        names = ["anchor", "content", "many", "piece"]
+        names = ["anchor", "content", "many", "after", "piece"]
         for batch in batches:
             for part in cut_by_bytes(batch, 0):
                 data, at = raw_bytes(part.column(0))
-                anchors, contents, many, pieces = [], [], [], []
+                anchors, contents, many, after, pieces = [], [], [], [], []
                 for i, picks in enumerate(part.column(1).to_pylist()):
                     raw = data[at[i] : at[i + 1]].tobytes()
                     for p in picks:
                         anchors.append(p["anchor"])
                         contents.append(p["content"])
                         many.append(p["many"])
-                        pieces.append(raw[p["start"] : p["start"] + p["strings"] + length - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(many, pa.bool_()), pa.array(pieces, pa.binary())], names=names)
+                        start, strings = p["place"] >> 16, p["place"] >> 8 & 255
+                        after.append(p["place"] & 255)
+                        pieces.append(raw[start : start + strings + length - 1])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(many, pa.bool_()), pa.array(after, pa.int32()), pa.array(pieces, pa.binary())], names=names)
 
     return run
 
@@ -266,27 +275,74 @@ def _runs(hit: np.ndarray) -> list[list[int]]:
     return edge.tolist()
 
 
+def shared_parts(group: list[tuple[int, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """For each (anchor's place, segment) of one anchor, [first, end) runs of starts in classes whose core another segment has too."""
+    span = length - K
+    seen: dict[tuple[int, bytes], int] = {}
+    keys: list[list[tuple[tuple[int, bytes], int, int]]] = []
+    for after, piece in group:
+        own = []
+        strings = len(piece) - length + 1
+        for c in range((span - after) // CLASS, (span - after + strings - 1) // CLASS + 1):
+            low = c * CLASS - span + after  # of the class, relative to the segment; may lie before it
+            high = min(low + CLASS - 1, after)
+            key = (c, piece[high : low + length])
+            seen[key] = seen.get(key, 0) + 1
+            own.append((key, max(low, 0), min(high + 1, strings)))
+        keys.append(own)
+    out = []
+    for own in keys:
+        runs: list[tuple[int, int]] = []
+        for key, a, b in own:
+            if seen[key] > 1:
+                if runs and runs[-1][1] == a:
+                    runs[-1] = (runs[-1][0], b)
+                else:
+                    runs.append((a, b))
+        out.append(runs)
+    return out
+
+
 def _index_groups(length: int, limit: int):
-    """Rows (anchor, content, piece) sorted by anchor to (anchor, content, runs of repeated strings)."""
+    """Rows (anchor, content, after, piece) sorted by anchor to (anchor, content, runs of repeated strings)."""
 
     def run(batches):
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
 
         def close(rows):
-            hits = repeated_starts([r[2] for r in rows], length)
-            found = [(a, c, _runs(h)) for (a, c, _), h in zip(rows, hits) if h.any()]
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=["anchor", "content", "runs"])
+            # parts of segments that another may share, by their text
+            owners: dict[bytes, list[tuple[int, int]]] = {}
+            first = 0
+            while first < len(rows):
+                last = first
+                while last < len(rows) and rows[last][0] == rows[first][0]:
+                    last += 1
+                for k, runs in enumerate(shared_parts([r[2:] for r in rows[first:last]], length), first):
+                    for a, b in runs:
+                        owners.setdefault(rows[k][3][a : b + length - 1], []).append((k, a))
+                first = last
+            parts = list(owners)
+            found: dict[int, list[int]] = {}
+            for part, hit in zip(parts, repeated_starts(parts, length) if parts else ()):
+                if len(owners[part]) > 1:
+                    hit = np.ones(len(hit), bool)
+                if hit.any():
+                    runs = _runs(hit)
+                    for k, a in owners[part]:
+                        found.setdefault(k, []).extend(x + a for x in runs)
+            keys = list(found)
+            return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in keys], pa.int64()), pa.array([rows[k][1] for k in keys], pa.int64()), pa.array([found[k] for k in keys], pa.list_(pa.int32()))], names=["anchor", "content", "runs"])
 
         size = 0
         for batch in batches:
-            for a, c, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if held and held[-1][:2] == (a, c):  # a row of the table that is there twice
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if held and held[-1][:2] == row[:2]:  # a row of the table that is there twice
                     continue
-                if size > limit and held[-1][0] != a:
+                if size > limit and held[-1][0] != row[0]:
                     yield close(held)
                     held, size = [], 0
-                held.append((a, c, piece))
-                size += len(piece)
+                held.append(row)
+                size += len(row[3])
         if held:
             yield close(held)
 
@@ -346,17 +402,17 @@ def covered(marks: list[list[int]], length: int = LENGTH) -> list[tuple[int, int
 def repeated_spans(docs: DataFrame, text_col: str, length: int = LENGTH, group: int = GROUP, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(rk, marks) of the rows of ``docs`` (rk long, text) with repeated strings: marks are runs of their starts."""
     rows = staged(docs.select("rk", column(text_col).alias("text")).mapInArrow(_segment_rows(length), _SEGMENT))
-    contents = rows.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "start", "strings")).alias("one"))
+    contents = rows.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "place")).alias("one"))
     anchors = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("copies").alias("most")).where("kinds > 1 or most > 1")
     live = staged(contents.join(anchors, "anchor").select("anchor", "content", "copies", "one", "kinds"))
     # contents with copies are repeated throughout; those alone are compared with the anchor's others
-    alone = live.where("kinds > 1").select("anchor", "content", "copies", "one.rk", "one.start", "one.strings", (F.col("kinds") > group).alias("many"))
+    alone = live.where("kinds > 1").select("anchor", "content", "copies", "one.rk", "one.place", (F.col("kinds") > group).alias("many"))
     open_ = alone.groupBy("anchor").agg(F.min("copies").alias("least")).where("least = 1").select("anchor")
-    picks = alone.join(open_, "anchor").groupBy("rk").agg(F.collect_list(F.struct("anchor", "content", "start", "strings", "many")).alias("picks"))
+    picks = alone.join(open_, "anchor").groupBy("rk").agg(F.collect_list(F.struct("anchor", "content", "place", "many")).alias("picks"))
     texts = docs.select("rk", column(text_col).alias("text"))
-    pieces = staged(texts.join(picks, "rk").select("text", "picks").mapInArrow(_cut_text(length), "anchor long, content long, many boolean, piece binary"))
+    pieces = staged(texts.join(picks, "rk").select("text", "picks").mapInArrow(_cut_text(length), "anchor long, content long, many boolean, after int, piece binary"))
     indexed = (
-        pieces.where("not many").select("anchor", "content", "piece").repartition("anchor").sortWithinPartitions("anchor", "content")
+        pieces.where("not many").select("anchor", "content", "after", "piece").repartition("anchor").sortWithinPartitions("anchor", "content")
         .mapInArrow(_index_groups(length, index_bytes), "anchor long, content long, runs array<int>")
     )
     strings = pieces.where("many").select("anchor", "content", "piece").dropDuplicates(["anchor", "content"]).mapInArrow(_string_hashes(length), "anchor long, content long, h long, k int")
@@ -366,9 +422,9 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int = LENGTH, group:
     whole = live.where("copies > 1").select("anchor", "content", F.lit(None).cast("array<int>").alias("runs"))
     once = live.where("copies = 1").select("anchor", "content").join(some, ["anchor", "content"])
     known = staged(whole.unionByName(once))
+    start, strings = F.shiftright("place", 16).cast("int"), F.shiftright("place", 8).bitwiseAND(F.lit(255).cast("long")).cast("int")
     marked = rows.join(known, ["anchor", "content"]).select(
-        "rk",
-        F.when(F.col("runs").isNull(), F.array(F.col("start"), F.col("start") + F.col("strings"))).otherwise(F.transform("runs", lambda x: x + F.col("start"))).alias("runs"),
+        "rk", F.when(F.col("runs").isNull(), F.array(start, start + strings)).otherwise(F.transform("runs", lambda x: x + start)).alias("runs")
     )
     return marked.groupBy("rk").agg(F.collect_list("runs").alias("marks"))
 

@@ -63,7 +63,7 @@ def fixture(seed):
 
 
 def test_removal_equals_brute_force(spark):
-    for seed, group, block in ((1, 256, 2 << 20), (2, 3, 2000)):
+    for seed, group, block in ((1, 8192, 2 << 20), (2, 3, 2000), (3, 8192, 500)):
         texts = fixture(seed)
         ids = list(range(len(texts)))
         ids[-1] = None  # an unknown id
