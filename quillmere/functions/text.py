@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,10 +31,6 @@ SENTENCE_END = r"(?<=[。！？；])\s*(?=\S)"
 
 def nfkc(col: Column) -> Column:
     """Compatibility form; Spark has no such function, so this one leaves the JVM in Arrow batches."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -168,10 +168,6 @@ def point_id(chunk_id: Column, exact: bool = True) -> Column:
     mask = F.lit((1 << 63) - 1).cast("long")
     if not exact:
         return F.xxhash64(chunk_id).bitwiseAND(mask)
-    import hashlib
-
-    import pandas as pd
-
     @F.pandas_udf("long")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") & ((1 << 63) - 1))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillmere.plans import documents, retrieval
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**retrieval.QUERIES, **documents.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **documents.ORACLE_SQL}

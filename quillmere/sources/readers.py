@@ -112,7 +112,7 @@ def page_numbers(specs: DataFrame, spec: str = "spec", total: str = "total") ->
     low = F.when(has, F.coalesce(F.nullif(F.split_part("part", F.lit("-"), F.lit(1)), F.lit("")).cast("int"), F.lit(1))).otherwise(F.col("part").cast("int"))
     high = F.when(has, F.coalesce(F.nullif(F.split_part("part", F.lit("-"), F.lit(2)), F.lit("")).cast("int"), F.col(total))).otherwise(F.col("part").cast("int"))
     rows = rows.withColumn("low", F.greatest(low, F.lit(1))).withColumn("high", F.least(high, F.col(total))).where("low <= high")
-    return rows.select(spec, (F.explode(F.sequence("low", "high")) - 1).alias("page")).distinct()
+    return rows.select(spec, F.explode(F.sequence(F.col("low") - 1, F.col("high") - 1)).alias("page")).distinct()
 
 
 def sections(index: DataFrame, col: str = "section") -> DataFrame:
