@@ -7,6 +7,7 @@ by bytes, so one run of very long texts cannot fill a worker's memory.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -49,7 +50,9 @@ def append_columns(
     """Columns ``keep`` (all, if None) of ``df`` with ``fields`` computed from ``text_col``.
 
     ``make()`` runs once a task and returns a function from a string array to one
-    array per field. A kept column that has the name of a computed one gives way to it.
+    array per field; if it has a ``close``, that runs at the task's end. Workers outlive
+    tasks, so memory that a task freed is handed back then. A kept column that has the name of a
+    computed one gives way to it.
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
@@ -60,14 +63,27 @@ def append_columns(
 
     def run(batches):
         fn = make()
-        for batch in batches:
-            for part in cut_by_bytes(batch, at, limit):
-                made = fn(part.column(at))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(at)], *made], names=names)
+        try:
+            for batch in batches:
+                for part in cut_by_bytes(batch, at, limit):
+                    made = fn(part.column(at))
+                    yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(at)], *made], names=names)
+        finally:
+            getattr(fn, "close", lambda: None)()
+            release_memory()
 
     return src.mapInArrow(run, out)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def raw_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array laid end to end, and len+1 offsets into them; null counts as empty."""
     array = pc.fill_null(array, "").cast(pa.large_string())

@@ -14,7 +14,7 @@ all others, leftmost first; their table is simulated per run length. Characters
 outside the vocabulary become byte pieces and end a word's run.
 
 Nulls are encoded as empty texts, which have no ids and decode to the empty
-text. Each word's result is kept per process in a table of bounded size.
+text. Each word's result is kept for a task in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -99,6 +99,7 @@ class PieceCodec:
         self.runs: dict[int, list[int]] = {0: []}
         self.known = re.compile("[^" + "".join(re.escape(c) for c in sorted(self.chars)) + "]")
         self.ids_memo: dict[str, str] = {}
+        # decoded texts that differ from the chunk's own
         self.text_memo: dict[str, str] = {}
 
     def _halves(self, piece: str, words: dict[str, int]) -> tuple[int, int] | None:
@@ -229,7 +230,8 @@ class PieceCodec:
             ids = memo.get(chunk[:-1])
             if tail >= 0 and ids and self._fit(int(ids[ids.rfind(",") + 1 :]), tail):
                 memo[chunk] = f"{ids},{tail}"
-                self.text_memo[chunk] = self.text_memo[chunk[:-1]] + chunk[-1]
+                if chunk[:-1] in self.text_memo or self.surface[tail] != chunk[-1]:
+                    self.text_memo[chunk] = self.text_memo.get(chunk[:-1], chunk[:-1].replace(MARK, " ")) + self.surface[tail]
             else:
                 whole.append(chunk)
         self._keep(whole, self._words(whole))
@@ -262,13 +264,17 @@ class PieceCodec:
                 else:
                     ids = self._mark_run(lead) + ids
             memo[chunk] = ",".join([self.id_text[i] for i in ids])
-            self.text_memo[chunk] = self._surface(ids)
+            text = self._surface(ids)
+            if text != chunk.replace(MARK, " "):
+                self.text_memo[chunk] = text
 
     def _keep(self, chunks: list[str], coded: list[list[int]]) -> None:
         surface, text_of, a, b = self.surface, self.id_text, self.ids_memo, self.text_memo
         for chunk, ids in zip(chunks, coded):
             a[chunk] = ",".join([text_of[i] for i in ids])
-            b[chunk] = "".join([surface[i] for i in ids])
+            text = "".join([surface[i] for i in ids])
+            if text != chunk.replace(MARK, " "):
+                b[chunk] = text
 
     def _fit(self, left: int, right: int) -> bool:
         key = left << 20 | right
@@ -296,13 +302,16 @@ class PieceCodec:
     def _chunks(self, texts: Sequence[str]) -> list[list[str]]:
         cut = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.ids_memo) > MEMO_WORDS:
-            self.ids_memo.clear()
-            self.text_memo.clear()
+            self.forget()
         new = set().union(*cut).difference(self.ids_memo)
         if new:
             self._learn(new)
         return cut
 
+    def forget(self) -> None:
+        self.ids_memo.clear()
+        self.text_memo.clear()
+
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         """Ids of each text, as the library's encode gives them."""
         out = []
@@ -320,10 +329,13 @@ class PieceCodec:
     def digests(self, texts: Sequence[str]) -> tuple[list[int], list[str], list[str]]:
         """n ids, SHA-256 of the ids and of the decoded text, of each text."""
         counts, of_ids, of_text = [], [], []
-        ids_of, text_of = self.ids_memo.__getitem__, self.text_memo.__getitem__
+        ids_of = self.ids_memo.__getitem__
         for cs in self._chunks(texts):
             ids = ",".join(map(ids_of, cs))
-            text = "".join(map(text_of, cs))[1:]
+            if self.text_memo:
+                text = "".join([self.text_memo.get(c) or c.replace(MARK, " ") for c in cs])[1:]
+            else:
+                text = "".join(cs).replace(MARK, " ")[1:]
             counts.append(ids.count(",") + 1 if ids else 0)
             of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
             of_text.append(hashlib.sha256(text.encode()).hexdigest())
@@ -363,6 +375,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", keep: list
             ids = codec.encode([t or "" for t in array.to_pylist()])
             return pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())
 
+        run.close = codec.forget
         return run
 
     fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
@@ -379,6 +392,7 @@ def piece_digests(docs: DataFrame, path: str, text_col: str = "text", keep: list
             n, a, b = codec.digests([t or "" for t in array.to_pylist()])
             return pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())
 
+        run.close = codec.forget
         return run
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

@@ -280,7 +280,10 @@ class Field:
         self.gain = max(0.0, float(self.gain), max(float(step[p, s] - step[p, O]) for p in range(3) for s in (B, I)))
 
     def scores(self, f: np.ndarray) -> np.ndarray:
-        return self.emit[f].sum(1)
+        out = self.emit[f[:, 0]]
+        for j in range(1, f.shape[1]):
+            out += self.emit[f[:, j]]
+        return out
 
     def viterbi(self, e: np.ndarray) -> list[int]:
         """Best tags of a run of tokens between tokens tagged O."""
@@ -494,7 +497,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
         return run
 
-    return append_columns(docs, text_col, make, fields, keep)
+    return append_columns(docs, text_col, make, fields, keep, limit=1 << 20)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
