@@ -96,7 +96,8 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(//.*)?$"))
     rows = lines.select(F.from_json("value", T._parse_datatype_string(QREL_SCHEMA), {"mode": "FAILFAST"}).alias("r")).select("r.*")
     ids = rows.groupBy("query_id").agg(F.count("*").alias("copies"))
-    return rows.join(ids, "query_id").withColumn("copies", F.when(F.col("copies") > 1, F.raise_error(F.concat(F.lit("repeated id "), F.col("query_id")))).otherwise(F.col("copies"))).drop("copies")
+    checked = F.when(F.col("copies") > 1, F.raise_error(F.concat(F.lit("repeated id "), F.col("query_id")))).otherwise(F.col("query_id"))
+    return rows.join(ids, "query_id").withColumn("query_id", checked).drop("copies")
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
