@@ -17,3 +17,22 @@ def local_session(cores: str = "*", name: str = "quillmere", shuffle_partitions:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once a context, unless PYTHONPATH says that they have it."""
+    import atexit
+    import os
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_quillmere_sent", False):
+        return spark
+    folder = tempfile.mkdtemp(prefix="quillmere-ship-")  # the driver serves the file as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(f"{folder}/quillmere", "zip", root, "quillmere"))
+    sc._quillmere_sent = True
+    return spark
