@@ -227,7 +227,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = staged(components(near_links(each.select("fp"), most)))
     lows = comps.join(each, comps.node == each.fp).groupBy("root").agg(F.min("low").alias("component_low"))
     linked = comps.join(lows, "root").select(F.col("node").alias("fp"), "component_low")
-    known = each.join(linked, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
+    # a table of its own, so that the join below can be split where one fingerprint has many documents
+    known = staged(each.join(linked, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id")))
     return prints.join(known, "fp").select(
         F.col("__id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
