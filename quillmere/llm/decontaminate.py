@@ -200,7 +200,7 @@ def contained_items(
             return run
 
         found = append_columns(docs, text_col, make, out_fields, keep).where(F.size("__found") > 0)
-        parts.append(found.select(*[column(c) for c in keep if c.lower() != item_id.lower()], F.inline("__found")))
+        parts.append(found.select(*[column(c) for c in keep if c.lower() not in (item_id.lower(), "containment")], F.inline("__found")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
