@@ -12,6 +12,8 @@ but which labelled documents the language models learn from.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +24,36 @@ from quillmere.llm.queries import held_out, tokenizer_path
 from quillmere.llm.secret_scan import scan_secrets
 from quillmere.llm.simhash import representatives
 from quillmere.llm.tables import staged
+from quillmere.session import ship_package
 
 MARK = "[SECRET]"
 
 
+def stage(f):
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return f(ship_package(spark), docs, sf_dir)
+
+    return run
+
+
+@stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     models = fit(docs.where(~held_out()))
     return identify(docs, models).where("not rejected").select(*docs.columns)
 
 
+@stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return representatives(docs)
 
 
+@stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = scan_secrets(docs, redact=MARK)
     hit = F.col("spans") != ""
@@ -46,6 +61,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
+@stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
     return found.select(*docs.columns, F.size("piece_ids").cast("long").alias("n_tokens"), "piece_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
@@ -66,6 +82,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, each stage written as Parquet and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+    for _, f in STAGES:
+        docs = staged(f(spark, docs, sf_dir))
     return docs
