@@ -12,6 +12,7 @@ from quillmere.operators import evaluate as ev
 from quillmere.operators import hybrid as hy
 from quillmere.operators import sparse as sp
 from quillmere.params import ContextParams
+from quillmere.sources.readers import read_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet")
 
 
 def docs(spark, sf):

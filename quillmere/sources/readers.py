@@ -100,6 +100,18 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(ids, "query_id").withColumn("query_id", checked).drop("copies")
 
 
+#: Bytes of stored input per core below which a table is dealt to all cores.
+SMALL = 16 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. A small one, whose few row groups would keep most cores idle, is dealt to all of them; a large one is read as it lies."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 1 << 20 < size < cores * SMALL else df
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(uri, text) of whole files."""
     return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text"))
