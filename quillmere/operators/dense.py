@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmere.functions.sizes import maybe_broadcast
 from quillmere.functions.text import hash_tokens
 from quillmere.operators.sparse import top_k
 
@@ -24,9 +25,10 @@ def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM)
     return raw.select("doc", "bucket", (F.col("v") / norm).alias("w"))
 
 
-def sparse_cosine_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, doc, score, rank) of (doc, bucket, w) against queries of the same form."""
+def sparse_cosine_topk(docs: DataFrame, queries: DataFrame, k: int, source: DataFrame | None = None) -> DataFrame:
+    """(query, doc, score, rank) of (doc, bucket, w) against queries of the same form; broadcast if their ``source`` table is small."""
     q = queries.select(F.col("doc").alias("query"), "bucket", F.col("w").alias("qw"))
+    q = maybe_broadcast(q, source) if source is not None else q
     scored = docs.join(q, "bucket").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
     return top_k(scored, k, F.desc("score"), F.asc("doc"))
 

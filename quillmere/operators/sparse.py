@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmere.functions.sizes import maybe_broadcast
 from quillmere.functions.text import analyze
 from quillmere.params import Bm25Params
 
@@ -86,15 +87,16 @@ def bm25_scores(
 ) -> DataFrame:
     """(query, doc, score, matched): every document that shares a term with a query.
 
-    Only terms of the queries are grouped, so postings of the rest never move.
+    Only terms of the queries are grouped, so postings of the rest never move. A small table of queries is broadcast,
+    so that neither tokens nor postings are dealt by term; a large one is joined by term.
     """
     qt = query_terms(queries, query_id, query_text, terms)
     termed = with_terms(docs, doc_id, doc_text, terms)
     stats = corpus_stats(termed)
-    tf = term_frequencies(termed, qt.select("term").distinct())
+    tf = term_frequencies(termed, maybe_broadcast(qt.select("term").distinct(), queries))
     df = document_frequencies(tf)
     q = qt.join(df, "term").crossJoin(F.broadcast(stats)).select("query", "term", (idf(F.col("n_docs"), F.col("df")) * F.col("qtf")).alias("qw"))
-    hits = q.join(postings(tf, stats, p), "term")
+    hits = postings(tf, stats, p).join(maybe_broadcast(q, queries), "term")
     return hits.groupBy("query", "doc").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"), F.array_sort(F.collect_list("term")).alias("matched")).where("score > 0")
 
 

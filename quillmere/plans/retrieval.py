@@ -115,7 +115,7 @@ def sparse_list(spark, sf, k: int = DEPTH) -> DataFrame:
 
 def dense_list(spark, sf, k: int = DEPTH) -> DataFrame:
     d, b = docs(spark, sf), bench(spark, sf)
-    return de.sparse_cosine_topk(de.hash_embedding(d, "doc_id", "text"), de.hash_embedding(b, "item_id", "text"), k)
+    return de.sparse_cosine_topk(de.hash_embedding(d, "doc_id", "text"), de.hash_embedding(b, "item_id", "text"), k, b)
 
 
 def lists(spark, sf) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmere.functions.sizes import plan_bytes
+
 # MIME types by file extension, for content that tells nothing itself.
 EXTENSIONS = {
     "html": "text/html", "htm": "text/html", "md": "text/markdown", "markdown": "text/markdown", "txt": "text/plain", "rst": "text/x-rst", "pdf": "application/pdf",
@@ -108,7 +110,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table. A small one, whose few row groups would keep most cores idle, is dealt to all of them; a large one is read as it lies."""
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = plan_bytes(df)
     return df.repartition(cores) if 1 << 20 < size < cores * SMALL else df
 
 
