@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages from raw documents to encoded training text.
 
 1. language ID: documents that the language models reject go.
-2. SimHash near-dedup: one document of each near-duplicate group stays.
+2. near-dedup: of documents linked by a five-word shingle similarity of 0.8 or more one stays.
 3. benchmark decontamination: documents that hold a benchmark passage go.
 4. secret scans: each secret gives way to a mark; n_chars follows.
 5. SentencePiece: every text is encoded and decoded; ids are added.
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.decontaminate import without_items
 from quillmere.llm.language_id import fit, identify
+from quillmere.llm.near_copies import one_of_similar
 from quillmere.llm.piece_codec import encode_pieces
 from quillmere.llm.queries import held_out, tokenizer_path
 from quillmere.llm.secret_scan import scan_secrets
-from quillmere.llm.simhash import representatives
 from quillmere.llm.tables import staged
 from quillmere.session import ship_package
 
@@ -45,7 +45,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return representatives(docs)
+    return one_of_similar(docs)
 
 
 @stage
@@ -69,7 +69,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", known_language),
-    ("SimHash near-dedup", one_of_each),
+    ("near-dedup", one_of_each),
     ("benchmark decontamination", without_benchmark),
     ("secret scans", without_secrets),
     ("SentencePiece encoding", encoded),
