@@ -309,10 +309,17 @@ def q_chunk_scan(spark, sf):
 
 @query()
 def q_fragment_lookup(spark, sf):
-    """Chunks whose fragments hold a benchmark passage's first line, by normalised text."""
-    frags = ch.chunks(bl.clean_blocks(bl.line_blocks(docs(spark, sf))), LINE).select("chunk_id", F.explode("fragments").alias("f")).where("f.block_type <> 'image'").groupBy("chunk_id").agg(F.array_join(F.collect_list("f.text"), " ").alias("text"))
-    needles = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle"), tx.metric_text(F.element_at(F.split("text", "\n"), 1)).alias("needle_text")).where(F.length("needle_text") >= 8)
-    return ev.find_contained(needles, frags.select(F.col("chunk_id").alias("doc"), tx.metric_text(F.col("text")).alias("text"))).select(F.col("needle").alias("item_id"), F.col("doc").alias("chunk_id"))
+    """Chunks whose fragments hold a benchmark passage, all of it, by normalised text.
+
+    A passage that no chunk holds has one row without a chunk that names the problem, as has one of
+    under 8 normalised characters, which is not looked up.
+    """
+    text = F.array_join(F.transform(F.filter("fragments", lambda f: f["block_type"] != "image"), lambda f: f["text"]), " ")
+    chunks = ch.chunks(bl.clean_blocks(bl.line_blocks(docs(spark, sf))), LINE).select(F.col("chunk_id").alias("doc"), tx.metric_text(text).alias("text"))
+    gold = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle"), F.coalesce(tx.metric_text(F.col("text")), F.lit("")).alias("needle_text"))
+    found = ev.find_contained(gold.where(F.length("needle_text") >= 8), chunks)
+    problem = F.when(F.length("needle_text") < 8, "under 8 characters").when(F.col("doc").isNull(), "in no chunk")
+    return gold.join(found, "needle", "left").select(F.col("needle").alias("item_id"), F.col("doc").alias("chunk_id"), problem.alias("problem"))
 
 
 @query()
