@@ -435,9 +435,10 @@ def scan_block(array: pa.Array, field: Field) -> list[list[tuple[int, int, int]]
     hexes = np.concatenate(([False], _HEX[data], [False]))
     step = np.flatnonzero(hexes[1:] != hexes[:-1])
     a, b = step[::2], step[1::2]
-    long = b - a >= 16  # a run over a text's end is looked at again there
-    hit.update((np.searchsorted(at, a[long], "right") - 1).tolist())
-    hit.update((np.searchsorted(at, b[long] - 1, "right") - 1).tolist())
+    long = b - a >= 16  # a run may go over texts' ends; each text that it touches is looked at
+    first, last = (np.searchsorted(at, x, "right") - 1 for x in (a[long], b[long] - 1))
+    for x, y in zip(first.tolist(), last.tolist()):
+        hit.update(range(x, y + 1))
     tokens = Tokens(data, at)
     added: dict[int, list[tuple[int, int]]] = {}
     for d, x, y in field_spans(tokens, lower, field):

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmere.llm import piece_codec, queries, secret_scan, token_counts, transport_stream
@@ -135,6 +136,16 @@ def test_secret_base_spans(spark):
     assert got[0].redacted is None and got[2].redacted == "password=abcdef"
 
 
+def test_secret_texts_of_hex_only_in_one_batch():
+    digest = hashlib.md5(b"x").hexdigest()
+    rows = [digest] * 5 + ["", "abc", digest[:16], None, "f" * 15, "g"]
+    field = secret_scan.trained_field()
+    alone = [secret_scan.scan_block(pa.array([t], pa.string()), field)[0] for t in rows]
+    assert secret_scan.scan_block(pa.array(rows, pa.string()), field) == alone
+    assert [[s for s in spans if s[1] < 3] for spans in alone] == [brute_spans(t or "") for t in rows]
+    assert [s[1] for s in alone[2]] == [2]
+
+
 def test_islands_give_the_whole_viterbi_path():
     field = secret_scan.trained_field()
     lines, _ = secret_scan.training_lines(300, seed=11)
