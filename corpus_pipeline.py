@@ -50,7 +50,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True)
 
 
 @stage

@@ -11,15 +11,21 @@ the item has). Documents probe the sketches of each partition with all of their
 shingles, so no match of the wanted containment is missed. Candidates are
 verified by exact containment of the shingles' words.
 
-Words are runs of ASCII letters and digits and of characters beyond ASCII, in lower case.
+Words are runs of letters, digits and marks, in lower case; a character of a script
+that is written without spaces is a word of its own.
 Fewer words than ``words`` make one shingle of what there is; an item without a word
-matches nothing. Null texts are empty. Repeated rows of documents are each
+matches nothing. With ``short``, an item of fewer words is found wherever these stand in a row:
+documents then probe with shingles of its length too. Null texts are empty. Repeated rows of documents are each
 looked at, repeated items are one match each. Items are taken in blocks of bounded size, each broadcast
 to one pass over the documents: a benchmark of any size is searched whole.
 """
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +41,52 @@ _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
 _WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz"]] = True
-_WORD[128:] = True
+#: Scripts written without spaces, as ranges of code points: Thai and Lao, Myanmar, Khmer, kana and bopomofo, Han.
+UNSPACED = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF)]
+
+
+@functools.lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Of each code point, 0: no part of a word, 1: part of one, 2: a word of its own, 3: a mark, which goes with what is before it."""
+    initial = "".join(unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1))
+    letter = np.frombuffer(initial.encode(), np.uint8)
+    out = np.isin(letter, [*b"LN"]).astype(np.uint8)
+    for a, b in UNSPACED:
+        out[a : b + 1] *= 2
+    out[letter == ord("M")] = 3
+    return out
+
+
+def _cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each word of UTF-8 texts laid end to end."""
+    word = _WORD[data]
+    cut = np.zeros(len(data) + 1, bool)  # before which bytes a word ends, whatever follows
+    cut[at] = True
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        code = data[lead].astype(np.int64) & (0x7F >> size)
+        for k in range(1, 4):
+            more = size > k
+            code[more] = code[more] << 6 | data[lead[more] + k] & 0x3F
+        kind = _kinds()[code]
+        for k in range(4):
+            part = size > k
+            word[lead[part] + k] = kind[part] > 0
+        own = kind == 2
+        cut[lead[own]] = True
+        end = lead[own] + size[own]
+        # marks after a character that is a word of its own belong to it
+        mark = np.zeros(len(data) + 4, np.uint8)
+        mark[lead[kind == 3]] = size[kind == 3]
+        while len(end):
+            step = mark[end]
+            cut[end[step == 0]] = True
+            end = end[step > 0] + step[step > 0]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1] | cut[1:-1]
+    ends[:-1] &= ~word[1:] | cut[1:-1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,15 +108,7 @@ class Words:
     """Words of texts laid end to end: starts, ends, text of each and hash."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
-        word = _WORD[data]
-        begins = word.copy()
-        begins[1:] &= ~word[:-1]
-        ends = word.copy()
-        ends[:-1] &= ~word[1:]
-        inner = at[1:-1][(at[1:-1] < len(data)) & (at[1:-1] > 0)]
-        begins[inner] = word[inner]
-        ends[inner - 1] = word[inner - 1]
-        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.start, self.end = _cut(data, at)
         self.text = np.searchsorted(at, self.start, "right") - 1
         # a word's polynomial hash from running sums, shifted to the word's start
         with np.errstate(over="ignore"):
@@ -73,13 +116,13 @@ class Words:
             self.hash = _mix((sums[self.end] - sums[self.start]) * _powers(_INV, len(data) + 1)[self.start])
         self.count = np.bincount(self.text, minlength=len(at) - 1)
 
-    def shingles(self, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first word of each shingle, in order."""
+    def shingles(self, words: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first word of each shingle, in order; with ``whole``, a text of fewer words is one shingle."""
         n = len(self.hash)
         size = np.minimum(self.count[self.text], words)
         first = np.cumsum(self.count) - self.count
         place = np.arange(n) - first[self.text]
-        start = np.flatnonzero(place <= self.count[self.text] - size)
+        start = np.flatnonzero((place <= self.count[self.text] - size) & (whole | (size == words)))
         with np.errstate(over="ignore"):
             h = np.zeros(len(start), np.uint64)
             for k in range(words):
@@ -90,13 +133,12 @@ class Words:
 
 def normal_words(text: str | None) -> list[str]:
     raw = (text or "").lower().encode()
-    data = np.frombuffer(raw, np.uint8)
-    w = _WORD[data]
-    return bytes(np.where(w, data, 32).astype(np.uint8)).decode().split(" ") if len(data) else []
+    start, end = _cut(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> set[tuple[str, ...]]:
-    parts = [w for w in normal_words(text) if w]
+    parts = normal_words(text)
     if not parts:
         return set()
     return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
@@ -105,9 +147,9 @@ def shingle_set(text: str | None, words: int = WORDS) -> set[tuple[str, ...]]:
 class ItemIndex:
     """Sketches of items, by size partition, and the items' shingles for verification."""
 
-    def __init__(self, items: list[tuple[object, str]], words: int = WORDS, share: float = SHARE):
+    def __init__(self, items: list[tuple[object, str]], words: int = WORDS, share: float = SHARE, short: bool = False):
         self.words, self.share = words, share
-        self.ids, self.sets = [], []
+        self.ids, self.sets, self.size = [], [], []
         keys, owners = [], []
         lower = [(t or "").lower().encode() for _, t in items]
         at = np.concatenate(([0], np.cumsum([len(t) for t in lower]))).astype(np.int64)
@@ -125,6 +167,7 @@ class ItemIndex:
             owners.append(np.full(sketch, len(self.ids)))
             self.ids.append(i)
             self.sets.append(shingle_set(t, words))
+            self.size.append(min(int(found.count[k]), words) if short else words)
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         own = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         order = np.argsort(key, kind="stable")
@@ -138,23 +181,25 @@ class ItemIndex:
         if not len(self.key) or not len(data):
             return []
         found = Words(data, at)
-        hashes, start = found.shingles(self.words)
-        probe = np.flatnonzero(self.seen[(hashes >> np.uint64(42)).astype(np.int64)])
-        h = hashes[probe]
-        lo, hi = np.searchsorted(self.key, h, "left"), np.searchsorted(self.key, h, "right")
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            return []
         pairs = set()
-        for text, a, b in zip(found.text[start[probe[hit]]].tolist(), lo[hit].tolist(), hi[hit].tolist()):
-            for item in self.owner[a:b].tolist():
-                pairs.add((text, item))
-        out, last, own = [], None, set()
+        for size in {self.words, *self.size}:
+            hashes, start = found.shingles(size, size == self.words)
+            probe = np.flatnonzero(self.seen[(hashes >> np.uint64(42)).astype(np.int64)])
+            h = hashes[probe]
+            lo, hi = np.searchsorted(self.key, h, "left"), np.searchsorted(self.key, h, "right")
+            hit = np.flatnonzero(hi > lo)
+            for text, a, b in zip(found.text[start[probe[hit]]].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+                for item in self.owner[a:b].tolist():
+                    pairs.add((text, item))
+        out, last, own = [], None, {}
         for text, item in sorted(pairs):
             if text != last:
-                last, own = text, shingle_set(texts[text], self.words)
+                last, own = text, {}
+            size = self.size[item]
+            if size not in own:
+                own[size] = shingle_set(texts[text], size)
             wanted = self.sets[item]
-            part = len(wanted & own) / len(wanted)
+            part = len(wanted & own[size]) / len(wanted)
             if part >= self.share - 1e-12:
                 out.append((text, item, part))
         return out
@@ -176,7 +221,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, limit: int):
 
 def contained_items(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    words: int = WORDS, share: float = SHARE, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES,
+    words: int = WORDS, share: float = SHARE, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, short: bool = False,
 ) -> DataFrame:
     """One row per match: kept columns (the id, if None), item id and containment."""
     keep = [id_col] if keep is None else keep
@@ -184,7 +229,7 @@ def contained_items(
     out_fields = [T.StructField("__found", T.ArrayType(T.StructType([T.StructField(item_id, kind), T.StructField("containment", T.DoubleType())])))]
     parts = []
     for block in [*_blocks(items, item_id, item_text, block_bytes)] or [[]]:
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, words, share))
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, words, share, short))
 
         def make(index=index):
             def run(array: pa.Array):
@@ -207,11 +252,11 @@ def contained_items(
     return out
 
 
-def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, share: float = SHARE) -> DataFrame:
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, share: float = SHARE, short: bool = False) -> DataFrame:
     """The documents, all columns, in which no item is found; one pass for each block of items."""
     out = docs
     for block in _blocks(items, item_id, item_text, BLOCK_BYTES):
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, words, share))
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, words, share, short))
 
         def make(index=index):
             def run(array: pa.Array):
