@@ -11,8 +11,9 @@ leads by more than any change of transitions can make up is O on the best path,
 so only the islands between such tokens are decoded.
 
 Base matches are found per kind, leftmost first, without overlap, and those that fail their length
-are dropped. Spans of the field that touch a base span are not repeated. Offsets
-count code points, ends are exclusive. Null is an empty text and has no span.
+are dropped. Spans of the field stand beside them, also where they reach over a base span's
+end; only those that base spans cover whole are left out, as they add nothing. Redaction takes the
+union of all spans. Offsets count code points, ends are exclusive. Null is an empty text and has no span.
 Repeated rows get equal results, an empty table an empty one; a kept column
 named like an output gives way to it.
 """
@@ -38,6 +39,7 @@ KINDS = ("assign", "access", "hex", "crf")
 #: Lower-case strings of which one is in every assign match.
 _KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CUE = re.compile(rb"pass(?:word|wd|phrase|code)?|pwd|secret|token|key|api[_-]?key|bearer|credential|auth(?:orization)?|private")
+_ASSIGNED = re.compile(rb"(?:" + CUE.pattern + rb")[\"']?[=:]+")
 O, B, I = 0, 1, 2
 
 # ---- tokens and features -------------------------------------------------
@@ -52,6 +54,8 @@ _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
 _EDGE = np.zeros(256, bool)  # what may surround a token's core
 _EDGE[[*b"\"'`.,;:!?()[]{}<>|*%$&#~"]] = True
+_QUOTES = b"\"'`"
+_OPENING, _CLOSING = _QUOTES + b"([{<", _QUOTES + b")]}>"
 _CODE = np.zeros(256, bool)
 _CODE[[*b"=;{}<>_"]] = True
 
@@ -409,17 +413,33 @@ def field_spans(tokens: Tokens, lower: bytes, field: Field) -> list[tuple[int, i
             j = k + 1
             while j < len(tag) and tag[j] == I:
                 j += 1
-            ca, cb = tokens.core(which[a + k : a + j])
-            begin, end = int(ca[0]), int(cb[-1])
-            m = re.match(rb"[^=:]*[=:][\"']*", tokens.data[begin : int(cb[0])].tobytes()) if cue[which[a + k]] == 2 else None
-            if m and begin + m.end() < int(cb[0]):
-                begin += m.end()
+            head, tail = which[a + k], which[a + j - 1]
+            begin, end = secret_bounds(tokens.data[tokens.start[head] : tokens.end[tail]].tobytes(), bool(cue[head] == 2), int(tokens.end[head] - tokens.start[head]))
             if end > begin:
-                out.append((int(tokens.doc[which[a + k]]), begin, end))
+                out.append((int(tokens.doc[head]), int(tokens.start[head]) + begin, int(tokens.start[head]) + end))
             k = j
     return out
 
 
+def secret_bounds(raw: bytes, assigned: bool, first: int) -> tuple[int, int]:
+    """Where the secret is within its tokens, of which the first has ``first`` bytes: without the name it is assigned to, quotes, brackets and a sentence's marks.
+
+    What stands in quotes is taken whole, so that marks which belong to a secret stay with it.
+    """
+    begin, end = 0, len(raw)
+    m = _ASSIGNED.search(raw[:first].lower()) if assigned else None
+    if m and m.end() < len(raw.rstrip(_CLOSING)):
+        begin = m.end()
+    while begin < end and raw[begin] in _OPENING:
+        begin += 1
+    quoted = raw.rfind(raw[begin - 1 : begin], begin) if begin and raw[begin - 1] in _QUOTES else -1
+    if quoted > begin:
+        return begin, quoted
+    while end > begin and (raw[end - 1] in _CLOSING or raw[end - 1] in b".,;:" and end - begin > 1):
+        end -= 1
+    return begin, end
+
+
 def scan_block(array: pa.Array, field: Field) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) spans of each text of a block, in code points, sorted."""
     data, at = raw_bytes(array)
@@ -450,12 +470,21 @@ def scan_block(array: pa.Array, field: Field) -> list[list[tuple[int, int, int]]
         for x, y in added.get(d, []):
             x = len(raw[:x].decode())
             y = len(raw[:y].decode())
-            if not any(s < y and x < t for s, _, t in base):
+            if not _covered(x, y, base):
                 own.append((x, 3, y))
         spans[d] = sorted(base + own)
     return spans
 
 
+def _covered(x: int, y: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether base spans, sorted, hold all of [x, y)."""
+    for a, _, b in base:
+        if a > x:
+            break
+        x = max(x, b)
+    return x >= y
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
