@@ -13,8 +13,11 @@ words. Pieces made only of marks share one lowest score and are applied after
 all others, leftmost first; their table is simulated per run length. Characters
 outside the vocabulary become byte pieces and end a word's run.
 
+Decoding looks at ids alone: each word's ids give its surface, runs of byte pieces become
+characters. Only models that normalise nothing and put a mark first are taken; others are refused.
+
 Nulls are encoded as empty texts, which have no ids and decode to the empty
-text. Each word's result is kept for a task in a table of bounded size.
+text. Each word's ids, and the text of each word's ids, are kept for a task in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -51,6 +54,7 @@ class PieceCodec:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        check_normalizer(sp.serialized_model_proto())
         n = sp.get_piece_size()
         self.bytes_of = [0] * 256
         pieces: dict[str, int] = {}
@@ -99,7 +103,7 @@ class PieceCodec:
         self.runs: dict[int, list[int]] = {0: []}
         self.known = re.compile("[^" + "".join(re.escape(c) for c in sorted(self.chars)) + "]")
         self.ids_memo: dict[str, str] = {}
-        # decoded texts that differ from the chunk's own
+        # text of a word's ids, by the ids
         self.text_memo: dict[str, str] = {}
 
     def _halves(self, piece: str, words: dict[str, int]) -> tuple[int, int] | None:
@@ -230,8 +234,6 @@ class PieceCodec:
             ids = memo.get(chunk[:-1])
             if tail >= 0 and ids and self._fit(int(ids[ids.rfind(",") + 1 :]), tail):
                 memo[chunk] = f"{ids},{tail}"
-                if chunk[:-1] in self.text_memo or self.surface[tail] != chunk[-1]:
-                    self.text_memo[chunk] = self.text_memo.get(chunk[:-1], chunk[:-1].replace(MARK, " ")) + self.surface[tail]
             else:
                 whole.append(chunk)
         self._keep(whole, self._words(whole))
@@ -264,17 +266,11 @@ class PieceCodec:
                 else:
                     ids = self._mark_run(lead) + ids
             memo[chunk] = ",".join([self.id_text[i] for i in ids])
-            text = self._surface(ids)
-            if text != chunk.replace(MARK, " "):
-                self.text_memo[chunk] = text
 
     def _keep(self, chunks: list[str], coded: list[list[int]]) -> None:
-        surface, text_of, a, b = self.surface, self.id_text, self.ids_memo, self.text_memo
+        text_of, memo = self.id_text, self.ids_memo
         for chunk, ids in zip(chunks, coded):
-            a[chunk] = ",".join([text_of[i] for i in ids])
-            text = "".join([surface[i] for i in ids])
-            if text != chunk.replace(MARK, " "):
-                b[chunk] = text
+            memo[chunk] = ",".join([text_of[i] for i in ids])
 
     def _fit(self, left: int, right: int) -> bool:
         key = left << 20 | right
@@ -326,22 +322,67 @@ class PieceCodec:
         first = next((i for i in ids if self.surface[i] != ""), None)
         return text[1:] if text.startswith(" ") and first not in self.byte_value else text
 
+    def _texts_of(self, words: Sequence[str]) -> list[str]:
+        """Text of each word's ids, with a space for each mark.
+
+        ``words`` are joined ids. A word never ends inside a character of byte pieces, so texts of words laid end to end
+        are the text of all ids.
+        """
+        memo = self.text_memo
+        for ids in set(words).difference(memo):
+            memo[ids] = self._surface([int(i) for i in ids.split(",")])
+        return list(map(memo.__getitem__, words))
+
     def digests(self, texts: Sequence[str]) -> tuple[list[int], list[str], list[str]]:
-        """n ids, SHA-256 of the ids and of the decoded text, of each text."""
+        """n ids, SHA-256 of the ids and of the text decoded from them, of each text."""
         counts, of_ids, of_text = [], [], []
         ids_of = self.ids_memo.__getitem__
         for cs in self._chunks(texts):
-            ids = ",".join(map(ids_of, cs))
-            if self.text_memo:
-                text = "".join([self.text_memo.get(c) or c.replace(MARK, " ") for c in cs])[1:]
-            else:
-                text = "".join(cs).replace(MARK, " ")[1:]
+            words = list(map(ids_of, cs))
+            ids = ",".join(words)
+            text = "".join(self._texts_of(words))
+            # the first piece's mark goes; a text never starts with a byte piece, as its first word has a mark
+            text = text[1:] if text.startswith(" ") else text
             counts.append(ids.count(",") + 1 if ids else 0)
             of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
             of_text.append(hashlib.sha256(text.encode()).hexdigest())
         return counts, of_ids, of_text
 
 
+def _fields(raw: bytes):
+    """(number, value) of a protocol buffer's fields: whole numbers, or bytes of what has a length."""
+
+    def number(k):
+        value = shift = 0
+        while True:
+            value |= (raw[k] & 127) << shift
+            k, shift = k + 1, shift + 7
+            if raw[k - 1] < 128:
+                return value, k
+
+    k = 0
+    while k < len(raw):
+        key, k = number(k)
+        if key & 7 == 0:
+            value, k = number(k)
+        elif key & 7 == 2:
+            size, k = number(k)
+            value, k = raw[k : k + size], k + size
+        else:
+            size = 8 if key & 7 == 1 else 4
+            value, k = raw[k : k + size], k + size
+        yield key >> 3, value
+
+
+def check_normalizer(model: bytes) -> None:
+    """Raises ValueError unless the model is BPE, leaves texts as they are and puts a mark first."""
+    top = {n: v for n, v in _fields(model) if n in (2, 3)}
+    trainer, norm = dict(_fields(top.get(2, b""))), dict(_fields(top.get(3, b"")))
+    # numbers of the model's format: type 3 (2 is BPE); character map 2, mark first 3, fewer spaces 4, marks for spaces 5
+    if trainer.get(3, 1) != 2 or norm.get(2) or not norm.get(3, 1) or norm.get(4, 1) or not norm.get(5, 1):
+        raise ValueError("the model is no BPE model, normalises texts, or doesn't put a mark first")
+
+
 def _decode_bytes(raw: bytearray) -> str:
     try:
         return raw.decode()

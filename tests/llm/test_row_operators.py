@@ -60,6 +60,26 @@ def test_bytes_that_are_no_text_decode_like_library():
         assert own.decode(ids) == sp.decode(ids)
 
 
+def test_digests_decode_ids():
+    """The decoded text comes from ids: another surface of one piece shows in it."""
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    own = piece_codec.PieceCodec(path)
+    text = "the cat and the hat"
+    own.surface[own.encode([text])[0][0]] = " THE"
+    assert own.digests([text])[2] == [hashlib.sha256(b"THE cat and THE hat").hexdigest()]
+
+
+def test_models_that_normalise_are_refused():
+    def field(n, raw):
+        return bytes([n << 3 | 2, len(raw)]) + raw if isinstance(raw, bytes) else bytes([n << 3, raw])
+
+    bpe, plain = field(2, field(3, 2)), field(3, 1) + field(4, 0) + field(5, 1)
+    piece_codec.check_normalizer(bpe + field(3, plain))
+    for trainer, norm in ((b"", plain), (bpe, plain + field(2, b"map")), (bpe, field(3, 0) + field(4, 0)), (bpe, field(4, 1)), (bpe, b"")):
+        with pytest.raises(ValueError):
+            piece_codec.check_normalizer(trainer + field(3, norm))
+
+
 def test_token_counts_equal_library(spark):
     from tokenizers import Tokenizer
 
