@@ -46,6 +46,17 @@ def load(path: str) -> "PieceCodec":
     return _LOADED[path]
 
 
+class _WordTexts(dict):
+    """Text of a word's ids (joined by commas), with a space for each mark; decoded at the first look."""
+
+    def __init__(self, codec: "PieceCodec"):
+        self.codec = codec
+
+    def __missing__(self, ids: str) -> str:
+        text = self[ids] = self.codec._surface([int(i) for i in ids.split(",")])
+        return text
+
+
 class PieceCodec:
     """Encoder and decoder of one model file."""
 
@@ -103,8 +114,7 @@ class PieceCodec:
         self.runs: dict[int, list[int]] = {0: []}
         self.known = re.compile("[^" + "".join(re.escape(c) for c in sorted(self.chars)) + "]")
         self.ids_memo: dict[str, str] = {}
-        # text of a word's ids, by the ids
-        self.text_memo: dict[str, str] = {}
+        self.text_memo = _WordTexts(self)
 
     def _halves(self, piece: str, words: dict[str, int]) -> tuple[int, int] | None:
         """The two tokens whose merge makes the piece, found by merging its own characters."""
@@ -322,25 +332,15 @@ class PieceCodec:
         first = next((i for i in ids if self.surface[i] != ""), None)
         return text[1:] if text.startswith(" ") and first not in self.byte_value else text
 
-    def _texts_of(self, words: Sequence[str]) -> list[str]:
-        """Text of each word's ids, with a space for each mark.
-
-        ``words`` are joined ids. A word never ends inside a character of byte pieces, so texts of words laid end to end
-        are the text of all ids.
-        """
-        memo = self.text_memo
-        for ids in set(words).difference(memo):
-            memo[ids] = self._surface([int(i) for i in ids.split(",")])
-        return list(map(memo.__getitem__, words))
-
     def digests(self, texts: Sequence[str]) -> tuple[list[int], list[str], list[str]]:
         """n ids, SHA-256 of the ids and of the text decoded from them, of each text."""
         counts, of_ids, of_text = [], [], []
-        ids_of = self.ids_memo.__getitem__
+        ids_of, text_of = self.ids_memo.__getitem__, self.text_memo.__getitem__
         for cs in self._chunks(texts):
             words = list(map(ids_of, cs))
             ids = ",".join(words)
-            text = "".join(self._texts_of(words))
+            # a word never ends inside a character of byte pieces, so its ids are decoded on their own
+            text = "".join(map(text_of, words))
             # the first piece's mark goes; a text never starts with a byte piece, as its first word has a mark
             text = text[1:] if text.startswith(" ") else text
             counts.append(ids.count(",") + 1 if ids else 0)
