@@ -28,6 +28,14 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """The name, with underscores before it as long as a column has it."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def cut_by_bytes(batch: pa.RecordBatch, text_index: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch holding about ``limit`` text bytes, one row at least."""
     if batch.num_rows == 0:

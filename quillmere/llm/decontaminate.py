@@ -3,21 +3,20 @@
 A test item is found in a document if at least ``share`` of the item's distinct
 word shingles are in it. Items are short and documents long, so a sketch of a
 document says little about one passage; the item's side is sketched instead.
-Items are partitioned by their number of shingles, in powers of two. An item's
-sketch is its k smallest hash values, k chosen from the upper size of its partition so
-that an item that misses no more shingles than ``share`` allows has a value of
-the sketch in the document: k = floor((1 - share) * size) + 1 (never more than
-the item has). Documents probe the sketches of each partition with all of their
-shingles, so no match of the wanted containment is missed. Candidates are
-verified by exact containment of the shingles' words.
+Items are partitioned by their number of shingles, in powers of two. A match may miss
+m = floor((1 - share) * size) shingles, size the upper one of the partition; an item's sketch is its
+2 * m + 2 smallest hash values (all, if it has fewer), of which a match then has all but m. Documents probe the
+sketches of each partition with all of their shingles, so no match of the wanted containment is missed,
+and one common shingle makes no candidate. Candidates are verified by exact containment of the shingles' words.
 
 Words are runs of letters, digits and marks, in lower case; a character of a script
 that is written without spaces is a word of its own.
 Fewer words than ``words`` make one shingle of what there is; an item without a word
 matches nothing. With ``short``, an item of fewer words is found wherever these stand in a row:
 documents then probe with shingles of its length too. Null texts are empty. Repeated rows of documents are each
-looked at, repeated items are one match each. Items are taken in blocks of bounded size, each broadcast
-to one pass over the documents: a benchmark of any size is searched whole.
+looked at, repeated items are one match each. Items are streamed in blocks of bounded size, each broadcast
+to one pass over the documents, whose result is written before the next block is read: a benchmark of any size is searched
+whole, and one block at a time is held by the driver and the executors.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmere.llm.batches import append_columns, column, raw_bytes
+from quillmere.llm.batches import append_columns, column, free_name, raw_bytes
+from quillmere.llm.tables import staged
 
 WORDS, SHARE = 5, 0.8
 #: Bytes of item text in one block.
@@ -149,7 +150,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[object, str]], words: int = WORDS, share: float = SHARE, short: bool = False):
         self.words, self.share = words, share
-        self.ids, self.sets, self.size = [], [], []
+        self.ids, self.texts, self.size, self.needed = [], [], [], []
         keys, owners = [], []
         lower = [(t or "").lower().encode() for _, t in items]
         at = np.concatenate(([0], np.cumsum([len(t) for t in lower]))).astype(np.int64)
@@ -162,11 +163,12 @@ class ItemIndex:
             if n == 0:
                 continue
             upper = 1 << (n - 1).bit_length()  # size partition: over upper/2 and up to upper
-            sketch = min(n, int(np.floor((1 - share) * upper + 1e-9)) + 1)
+            sketch = min(n, 2 * int(np.floor((1 - share) * upper + 1e-9)) + 2)
             keys.append(own[:sketch])
             owners.append(np.full(sketch, len(self.ids)))
+            self.needed.append(max(1, sketch - int(np.floor((1 - share) * n + 1e-9))))
             self.ids.append(i)
-            self.sets.append(shingle_set(t, words))
+            self.texts.append(t)
             self.size.append(min(int(found.count[k]), words) if short else words)
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         own = np.concatenate(owners) if owners else np.zeros(0, np.int64)
@@ -175,13 +177,14 @@ class ItemIndex:
         # a coarse table of key prefixes lets most probes end at one look
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.key >> np.uint64(42)).astype(np.int64)] = True
+        self._sets: dict[int, set] = {}  # of items that were candidates
 
     def matches(self, data: np.ndarray, at: np.ndarray, texts: list[str]) -> list[tuple[int, int, float]]:
         """(text, item, containment) of each match."""
         if not len(self.key) or not len(data):
             return []
         found = Words(data, at)
-        pairs = set()
+        hits = set()  # of values of a sketch, each once a text
         for size in {self.words, *self.size}:
             hashes, start = found.shingles(size, size == self.words)
             probe = np.flatnonzero(self.seen[(hashes >> np.uint64(42)).astype(np.int64)])
@@ -189,16 +192,21 @@ class ItemIndex:
             lo, hi = np.searchsorted(self.key, h, "left"), np.searchsorted(self.key, h, "right")
             hit = np.flatnonzero(hi > lo)
             for text, a, b in zip(found.text[start[probe[hit]]].tolist(), lo[hit].tolist(), hi[hit].tolist()):
-                for item in self.owner[a:b].tolist():
-                    pairs.add((text, item))
-        out, last, own = [], None, {}
+                hits.update((text, place) for place in range(a, b))
+        met = Counter((text, int(self.owner[place])) for text, place in hits)
+        pairs = [(text, item) for (text, item), n in met.items() if n >= self.needed[item]]
+        out, last, own, sets = [], None, {}, self._sets
         for text, item in sorted(pairs):
             if text != last:
                 last, own = text, {}
             size = self.size[item]
             if size not in own:
                 own[size] = shingle_set(texts[text], size)
-            wanted = self.sets[item]
+            if len(sets) > 4096:
+                sets.clear()
+            if item not in sets:
+                sets[item] = shingle_set(self.texts[item], self.words)
+            wanted = sets[item]
             part = len(wanted & own[size]) / len(wanted)
             if part >= self.share - 1e-12:
                 out.append((text, item, part))
@@ -219,6 +227,20 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, limit: int):
         yield block
 
 
+def _passes(items: DataFrame, id_col: str, text_col: str, limit: int, words: int, share: float, short: bool, look) -> list[DataFrame]:
+    """``look(index, results so far)`` for each block of items; where there are several, each result is written and its index dropped before the next."""
+    sc, blocks, done = items.sparkSession.sparkContext, _blocks(items, id_col, text_col, limit), []
+    block, following = next(blocks, []), next(blocks, None)
+    while block is not None:
+        index = sc.broadcast(ItemIndex(block, words, share, short))
+        if following is None and not done:
+            return [look(index, done)]
+        done.append(staged(look(index, done)))
+        index.destroy()
+        block, following = following, next(blocks, None)
+    return done
+
+
 def contained_items(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     words: int = WORDS, share: float = SHARE, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, short: bool = False,
@@ -227,11 +249,9 @@ def contained_items(
     keep = [id_col] if keep is None else keep
     kind = items.schema[item_id].dataType
     out_fields = [T.StructField("__found", T.ArrayType(T.StructType([T.StructField(item_id, kind), T.StructField("containment", T.DoubleType())])))]
-    parts = []
-    for block in [*_blocks(items, item_id, item_text, block_bytes)] or [[]]:
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, words, share, short))
 
-        def make(index=index):
+    def look(index, _):
+        def make():
             def run(array: pa.Array):
                 texts = [(t or "").lower() for t in array.to_pylist()]
                 data, at = raw_bytes(pa.array(texts, pa.string()))
@@ -245,20 +265,20 @@ def contained_items(
             return run
 
         found = append_columns(docs, text_col, make, out_fields, keep).where(F.size("__found") > 0)
-        parts.append(found.select(*[column(c) for c in keep if c.lower() not in (item_id.lower(), "containment")], F.inline("__found")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return found.select(*[column(c) for c in keep if c.lower() not in (item_id.lower(), "containment")], F.inline("__found"))
+
+    return functools.reduce(DataFrame.unionByName, _passes(items, item_id, item_text, block_bytes, words, share, short, look))
 
 
-def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, share: float = SHARE, short: bool = False) -> DataFrame:
+def without_items(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    words: int = WORDS, share: float = SHARE, short: bool = False, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """The documents, all columns, in which no item is found; one pass for each block of items."""
-    out = docs
-    for block in _blocks(items, item_id, item_text, BLOCK_BYTES):
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, words, share, short))
+    flag = free_name("__leaked", docs.columns)
 
-        def make(index=index):
+    def look(index, done):
+        def make():
             def run(array: pa.Array):
                 texts = [(t or "").lower() for t in array.to_pylist()]
                 data, at = raw_bytes(pa.array(texts, pa.string()))
@@ -268,5 +288,7 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
             return run
 
-        out = append_columns(out, text_col, make, [T.StructField("__leaked", T.BooleanType())]).where("not __leaked").drop("__leaked")
-    return out
+        found = append_columns(done[-1] if done else docs, text_col, make, [T.StructField(flag, T.BooleanType())])
+        return found.where(~column(flag)).drop(flag)
+
+    return _passes(items, item_id, item_text, block_bytes, words, share, short, look)[-1]

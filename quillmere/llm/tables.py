@@ -11,10 +11,12 @@ _OWN = "quillmere-stages"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is named (tests), a temporary one is set once."""
+    """The cluster's checkpoint folder. A local session without one (tests) gets a temporary one once; a cluster without one is refused."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not (sc.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillmere-"))
         named = sc.getCheckpointDir()
     return f"{named.rstrip('/')}/{_OWN}"

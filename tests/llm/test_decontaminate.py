@@ -38,9 +38,11 @@ def test_matches_equal_brute_force(spark):
         got = [(r.doc_id, r.item_id, round(r.containment, 9)) for r in dc.contained_items(df, bench, block_bytes=limit).collect()]
         assert set(got) == want
         assert sum(d == 502 for d, _, _ in got) == 2 * sum(d == 502 for d, _, _ in want)
-    kept = dc.without_items(df, bench)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in {x for x, _, _ in want})
+    own = df.withColumnRenamed("containment", "__leaked")
+    for limit in (8 << 20, 400):
+        kept = dc.without_items(own, bench, block_bytes=limit)
+        assert kept.columns == own.columns and {r["__leaked"] for r in kept.collect()} == {9}
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in {x for x, _, _ in want})
     assert dc.contained_items(df, bench.limit(0)).count() == 0
     assert dc.contained_items(df.limit(0), bench).count() == 0
     assert dc.without_items(df, bench.limit(0)).count() == len(docs)
