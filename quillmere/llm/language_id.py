@@ -11,12 +11,13 @@ length-normalised cross-entropy.
 Calibration is on a part of the sample that the models do not see: a temperature
 for the score (the softest that loses next to no likelihood), and per language the
 mean and spread of the cross-entropy. A text is ``rejected`` when its cross-entropy lies
-``REJECT`` spreads above what its length allows and is nearer to that of letters drawn
-evenly than to the language's own, or when it has no letter.
+``REJECT`` spreads above what its length allows and is nearer to that of the language's own letters
+drawn evenly than to the language's own, or when it has no letter.
 
 Symbols are lower-case letters; all between two letters is one space. Text without
-a letter, or null, is ``und`` with score 0. The sample is ``SAMPLE`` rows of each
-language as expected, drawn by a hash of the id; counts for its size cover all rows.
+a letter, or null, is ``und`` with score 0. The sample is ``SAMPLE`` rows or ``SAMPLE_BYTES`` of each
+language as expected, what is less, drawn by a hash of id and text; counts for its size cover all rows. Any number of
+languages is learned; the models' memory grows with it.
 Rows without a label or id are not learned from. Repeated rows count as often as
 they come. Learning from no row at all leaves every text ``und``. A kept column named like an
 output gives way to it.
@@ -36,8 +37,8 @@ from pyspark.sql import types as T
 from quillmere.llm.batches import append_columns, column, cut_by_bytes
 
 ORDER = 4
-#: Rows of each language to learn from, and the most languages.
-SAMPLE, LANGUAGES = 300, 300
+#: Rows and bytes of each language to learn from.
+SAMPLE, SAMPLE_BYTES = 300, 4 << 20
 REJECT = 8.0
 UNKNOWN = "und"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -101,7 +102,7 @@ class Models:
     contexts: list[np.ndarray]  # per order above 1
     weights: list[np.ndarray]
     base: np.ndarray
-    alphabet: int = 2
+    alphabet: np.ndarray | None = None  # symbols of each language
     temperature: float = 1.0
     mean: np.ndarray | None = None
     within: np.ndarray | None = None  # variance of a symbol's code length
@@ -157,7 +158,7 @@ class Models:
         low = bits[rows, best]
         score = np.where(some, 1 / np.exp(-self._scaled(bits, low, count)).sum(1), 0)
         spread = np.sqrt(self.within[best] / np.maximum(count, 1) + self.between[best])
-        far = np.maximum(REJECT * spread, (np.log2(self.alphabet) - self.mean[best]) / 2)
+        far = np.maximum(REJECT * spread, (np.log2(self.alphabet[best] + 1) - self.mean[best]) / 2)
         rejected = ~some | (low > self.mean[best] + far)
         return [self.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist())], score, rejected
 
@@ -225,7 +226,7 @@ def build(table: dict[str, tuple[np.ndarray, ...]]) -> Models:
             weights.append(lam.astype(np.float32))
         keys.append(union)
         probs.append(p.astype(np.float32))
-    return Models(languages, keys, probs, contexts, weights, base, size)
+    return Models(languages, keys, probs, contexts, weights, base, np.array([len(s[0][0]) for s in stats]))
 
 
 _COLUMNS = ["h4", "h3", "h2", "h1", "c3", "c2", "c1"]
@@ -253,15 +254,14 @@ def _count_grams(batches):
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Models:
     """Learns and calibrates models from labelled rows."""
     src = labelled.select(column(id_col).cast("string").alias("id"), column(text_col).alias("text"), column(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null")
-    rows = src.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(rows) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
+    rows = src.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("lang").collect()
     if not rows:
         return build({})
     scale = 1 << 30
-    share = F.create_map(*[x for r in rows for x in (F.lit(r["lang"]), F.lit(min(scale, -(-scale * sample // r["count"]))))])
-    draw = F.pmod(F.xxhash64("id"), F.lit(scale))
-    drawn = src.where(draw < share[F.col("lang")]).select("lang", "text", (F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(5)) == 0).alias("aside"))
+    part = [min(1.0, sample / r["n"], SAMPLE_BYTES / max(1, r["bytes"] or 0)) for r in rows]
+    share = F.create_map(*[x for r, p in zip(rows, part) for x in (F.lit(r["lang"]), F.lit(-int(-scale * p // 1)))])
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(scale))
+    drawn = src.where(draw < share[F.col("lang")]).select("lang", "text", (F.pmod(F.xxhash64(F.lit(1), "id", "text"), F.lit(5)) == 0).alias("aside"))
     schema = "lang string, " + ", ".join(f"{c} long" for c in _COLUMNS) + ", n long"
     counted = drawn.where("not aside").select("lang", "text").mapInArrow(_count_grams, schema)
     got = counted.groupBy("lang", "h4").agg(*[F.first(c).alias(c) for c in _COLUMNS[1:]], F.sum("n").alias("n")).toArrow()

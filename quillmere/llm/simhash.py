@@ -1,17 +1,18 @@
 """SimHash near-duplicate groups.
 
 A text's fingerprint has a bit set if over half of its shingles' XXH64 values
-have it. Two fingerprints link if at most ``MOST_BITS`` differ. Pigeonhole:
-the 64 bits are cut into six blocks; at most three of them can hold a difference,
+have it. Two fingerprints link if at most ``most`` (3) bits differ. Pigeonhole:
+the 64 bits are cut into ``most`` + 3 blocks, six as a rule; at most ``most`` of them can hold a difference,
 so a close pair agrees on some three whole blocks. Each distinct fingerprint is
-dealt to the 20 choices of three blocks, joined with those of the same 32 or so
+dealt to the choices of three blocks (20), joined with those of the same 32 or so
 bits, and pairs there are verified by their Hamming distance. Only a spanning
 forest of each such bucket is kept.
 
 Exact copies meet before that, in a pre-aggregated grouping by fingerprint. A
 bucket of over ``BUCKET`` distinct fingerprints is dealt again by the same rule
-on the bits that it does not fix; those buckets fix 46 bits or more and cannot
-hold over 2**18 fingerprints.
+on the bits that it does not fix, as often as it takes: with every deal half of the free bits are fixed, and
+a bucket of ``FREE`` free bits cannot hold over ``BUCKET``. Documents of a fingerprint that holds a large share of all
+are joined apart (``hot_join``).
 
 Null and empty texts have fingerprint zero and link like others. Repeated rows
 share a component. A null id is never the smallest, and a component of null ids
@@ -25,19 +26,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmere.llm.batches import append_columns, column, raw_bytes
 from quillmere.llm.components import components
+from quillmere.llm.hot import hot_join
 from quillmere.llm.tables import staged
 
 SEED = 42
 MOST_BITS = 3
-BUCKET = 4096
-#: First bit and width of the six blocks.
-BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+#: Fingerprints of a bucket that are compared, and free bits that allow no more.
+BUCKET, FREE = 4096, 12
 
 
 def fingerprints(texts: list[bytes], words: int = 3) -> np.ndarray:
@@ -87,38 +88,31 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, ke
     return append_columns(docs, text_col, make, [T.StructField("fp", T.LongType())], keep, limit=1 << 20)
 
 
-def _bits(fp: Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+def finer_masks(mask: int, most: int = MOST_BITS) -> list[int]:
+    """Masks that fix, beside the bits of ``mask``, three of ``most`` + 3 blocks of those it leaves free."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    blocks = [sum(1 << int(b) for b in part) for part in np.array_split(np.array(free, int), max(MOST_BITS, most) + 3)]
+    keep = len(blocks) - most if most < MOST_BITS else 3
+    return sorted({mask | sum(three) for three in combinations(blocks, keep)})
 
 
-def block_keys(fp: Column) -> Column:
-    """Array of the 20 keys of a fingerprint."""
-    keys = []
-    for k, chosen in enumerate(combinations(BLOCKS, 3)):
-        key = F.lit(k).cast("long")
-        for first, width in chosen:
-            key = F.shiftleft(key, width).bitwiseOR(_bits(fp, first, width))
-        keys.append(key)
-    return F.array(*keys)
-
-
-def _fine_masks() -> Column:
-    """For each of the 20 choices, masks of its finer keys: the free bits in six blocks, three of which are kept."""
-    masks = []
-    for chosen in combinations(BLOCKS, 3):
-        free = [b for block in BLOCKS if block not in chosen for b in range(block[0], block[0] + block[1])]
-        cut = np.array_split(np.array(free), 6)
-        masks.append([int(np.uint64(sum(1 << int(b) for p in three for b in p)).view(np.int64)) for three in combinations(cut, 3)])
-    return F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in masks])
+def _deal(most: int):
+    """Arrow function from (mask, fp) to (mask, key, fp): the finer buckets of a fingerprint."""
+    finer: dict[int, np.ndarray] = {}
 
+    def run(batches):
+        for batch in batches:
+            mask, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for m in np.unique(mask).tolist():
+                if m not in finer:
+                    finer[m] = np.array(finer_masks(m & (1 << 64) - 1, most), np.uint64).view(np.int64)
+                own, new = fp[mask == m], finer[m]
+                for a in range(0, len(own), 4096):
+                    x = np.repeat(own[a : a + 4096], len(new))
+                    y = np.tile(new, len(x) // len(new))
+                    yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(x & y), pa.array(x)], names=["mask", "key", "fp"])
 
-def choice_of(key: Column) -> Column:
-    """Which of the 20 choices a key belongs to."""
-    out = F.lit(-1)
-    for k, chosen in reversed(list(enumerate(combinations(BLOCKS, 3)))):
-        width = sum(w for _, w in chosen)
-        out = F.when(F.shiftrightunsigned(key, width) == k, k).otherwise(out)
-    return out
+    return run
 
 
 def forest(group: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
@@ -139,27 +133,30 @@ def forest(group: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
 
 
 def _bucket_links(most: int, cap: int):
-    """Arrow function over rows (k1, k2, fp) sorted by bucket (k1, k2).
+    """Arrow function over rows (mask, key, fp) sorted by all three; the first two are the bucket.
 
-    Gives the links (a, b) of each bucket, or where it holds more than ``cap`` rows these
-    again (as a, with key k1) for a finer cut. At most one bucket of ``cap`` rows and one batch are held.
+    Gives the links (a, b) of each bucket, or where it holds more than ``cap`` rows, and not few free bits, these
+    again (fingerprint as a, mask as b) for a finer cut. At most one bucket of ``cap`` rows and one batch are held.
     """
-    names = ["a", "b", "key", "again"]
+    names = ["a", "b", "again"]
+
+    def batch_of(a, b, again):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), again))], names=names)
 
-    def batch_of(a, b, key, again):
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(key), pa.array(np.full(len(a), again))], names=names)
+    def limit(mask) -> int:
+        return cap if 64 - (int(mask) & (1 << 64) - 1).bit_count() > FREE else max(cap, 1 << FREE)
 
-    def links_of(k1, k2, fp):
+    def links_of(mask, key, fp):
         """Links of whole buckets, and the rows of those that are too large."""
-        edges = np.concatenate(([0], np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1, [len(fp)]))
+        edges = np.concatenate(([0], np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1, [len(fp)]))
         size = np.diff(edges)
         two = edges[:-1][size == 2]
         near = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= most]
-        aa, bb, again = [fp[near]], [fp[near + 1]], []
+        aa, bb = [fp[near]], [fp[near + 1]]
         for i in np.flatnonzero(size > 2).tolist():
             x = fp[edges[i] : edges[i + 1]]
-            if len(x) > cap:
-                again.append((x, k1[edges[i] : edges[i + 1]]))
+            if len(x) > limit(mask[edges[i]]):
+                yield batch_of(x, mask[edges[i] : edges[i + 1]], True)
                 continue
             links = forest(x.view(np.uint64), most)
             if links:
@@ -168,9 +165,7 @@ def _bucket_links(most: int, cap: int):
                 bb.append(x[at[:, 1]])
         a = np.concatenate(aa)
         if len(a):
-            yield batch_of(a, np.concatenate(bb), np.zeros(len(a), np.int64), False)
-        for x, k in again:
-            yield batch_of(x, x, k, True)
+            yield batch_of(a, np.concatenate(bb), False)
 
     def run(batches):
         none = np.zeros(0, np.int64)
@@ -182,21 +177,24 @@ def _bucket_links(most: int, cap: int):
                 same = (new[0] == large[0]) & (new[1] == large[1])
                 n = len(same) if same.all() else int(np.argmin(same))
                 if n:
-                    yield batch_of(new[2][:n], new[2][:n], new[0][:n], True)
+                    yield batch_of(new[2][:n], new[0][:n], True)
                 if n < len(same):
                     large = None
                 new = [x[n:] for x in new]
-            k1, k2, fp = (np.concatenate(x) for x in zip(rest, new))
+            mask, key, fp = (np.concatenate(x) for x in zip(rest, new))
+            if len(fp):  # two deals may lead to one bucket
+                once = np.concatenate(([True], (mask[1:] != mask[:-1]) | (fp[1:] != fp[:-1])))
+                mask, key, fp = mask[once], key[once], fp[once]
             if not len(fp):
-                rest = (k1, k2, fp)
+                rest = (mask, key, fp)
                 continue
-            tail = len(fp) - int(np.argmin(((k1 == k1[-1]) & (k2 == k2[-1]))[::-1])) if ((k1 != k1[-1]) | (k2 != k2[-1])).any() else 0
+            tail = len(fp) - int(np.argmin(((mask == mask[-1]) & (key == key[-1]))[::-1])) if ((mask != mask[-1]) | (key != key[-1])).any() else 0
             if tail:
-                yield from links_of(k1[:tail], k2[:tail], fp[:tail])
-            rest = (k1[tail:], k2[tail:], fp[tail:])
-            if len(rest[2]) > cap:
+                yield from links_of(mask[:tail], key[:tail], fp[:tail])
+            rest = (mask[tail:], key[tail:], fp[tail:])
+            if len(rest[2]) > limit(rest[0][0]):
                 large = (rest[0][0], rest[1][0])
-                yield batch_of(rest[2], rest[2], rest[0], True)
+                yield batch_of(rest[2], rest[0], True)
                 rest = (none, none, none)
         if len(rest[2]):
             yield from links_of(*rest)
@@ -205,31 +203,29 @@ def _bucket_links(most: int, cap: int):
 
 
 def near_links(fps: DataFrame, most: int = MOST_BITS, cap: int = BUCKET) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within ``most`` <= 3 bits in distinct values ``fp``."""
-    if most > MOST_BITS:
-        raise ValueError(f"the blocks are made for {MOST_BITS} bits at most")
-    schema = "a long, b long, key long, again boolean"
-    dealt = fps.select(F.explode(block_keys(F.col("fp"))).alias("k1"), F.lit(0).cast("long").alias("k2"), "fp")
-    first = staged(dealt.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_bucket_links(most, cap), schema))
-    masks = F.element_at(_fine_masks(), choice_of(F.col("key")) + 1)
-    finer = first.where("again").select(F.col("a").alias("fp"), "key", F.posexplode(masks).alias("n", "mask"))
-    # the finer key holds the choice of blocks in its high part of k1, and bits kept by the mask in k2
-    finer = finer.select((F.col("key") * 20 + F.col("n")).alias("k1"), F.col("fp").bitwiseAND(F.col("mask")).alias("k2"), "fp")
-    second = finer.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_bucket_links(most, 1 << 18), schema)
-    return first.where("not again").select("a", "b").unionByName(second.select("a", "b"))
+    """Links (a, b) whose components are those of all pairs within ``most`` bits in distinct values ``fp``; wider radii have more and shorter keys."""
+    rows, links = fps.select(F.lit(0).cast("long").alias("mask"), "fp"), None
+    while True:
+        dealt = rows.mapInArrow(_deal(most), "mask long, key long, fp long")
+        met = staged(dealt.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_bucket_links(most, cap), "a long, b long, again boolean"))
+        found = met.where("not again").select("a", "b")
+        links = found if links is None else links.unionByName(found)
+        rows = met.where("again").select(F.col("b").alias("mask"), F.col("a").alias("fp"))
+        if rows.isEmpty():
+            return links
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = MOST_BITS) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) of every document."""
     src = docs.select(column(id_col).alias("__id"), column(text_col).alias("__t"))
     prints = staged(with_fingerprint(src, "__t", words, keep=["__id"]))
-    each = prints.groupBy("fp").agg(F.min("__id").alias("low"))
+    each = staged(prints.groupBy("fp").agg(F.min("__id").alias("low"), F.count("*").alias("n")))
     comps = staged(components(near_links(each.select("fp"), most)))
     lows = comps.join(each, comps.node == each.fp).groupBy("root").agg(F.min("low").alias("component_low"))
     linked = comps.join(lows, "root").select(F.col("node").alias("fp"), "component_low")
     # a table of its own, so that the join below can be split where one fingerprint has many documents
     known = staged(each.join(linked, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id")))
-    return prints.join(known, "fp").select(
+    return hot_join(prints, known, "fp", each.select("fp", "n")).select(
         F.col("__id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

@@ -103,3 +103,20 @@ def test_entropies_equal_brute_force():
     models = li.build({"en": (h4, g[2][at], g[1][at], g[0][at], g[2][at - 1], g[1][at - 1], g[0][at - 1], n)})
     bits, _, _ = models.entropies(texts)
     assert np.allclose(bits[:, 0], brute(train, texts), rtol=1e-4)
+
+
+def test_rejection_does_not_depend_on_other_alphabets(spark):
+    rng = random.Random(12)
+    latin = rows(300, 1)
+    han = [(2000 + k, "".join(chr(0x4E00 + int(rng.paretovariate(0.6)) % 3000) for _ in range(200)), "zh") for k in range(120)]
+    models = li.fit(spark.createDataFrame(latin + han, "doc_id long, text string, lang string"))
+    assert models.languages == ["de", "en", "es", "zh"]
+    drawn = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400)) for _ in range(20)]
+    assert models.predict(drawn)[2].all()
+    known = [t for _, t, _ in rows(40, 3)] + ["".join(chr(0x4E00 + int(rng.paretovariate(0.6)) % 3000) for _ in range(200)) for _ in range(10)]
+    assert not models.predict(known)[2].any()
+
+
+def test_many_languages_and_one_id(spark):
+    few = spark.createDataFrame([(7, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 30, f"x{k:03d}") for k in range(340)], "doc_id long, text string, lang string")
+    assert len(li.fit(few, sample=10_000).languages) >= 200

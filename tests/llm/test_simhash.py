@@ -59,11 +59,11 @@ def test_links_equal_brute_force(spark):
     values = near_values(rng, 30, 40)
     signed = np.array(values, np.uint64).view(np.int64).tolist()
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
-    want = brute_roots(values)
-    for cap in (4096, 8):  # the second sends most buckets through the finer cut
-        links = simhash.near_links(fps, cap=cap).collect()
+    for cap, most in ((4096, 3), (8, 3), (4096, 6)):  # the second sends most buckets through finer cuts
+        want = brute_roots(values, most)
+        links = simhash.near_links(fps, most, cap).collect()
         both = [tuple(int(np.int64(x).view(np.uint64)) for x in r) for r in links]
-        assert all((a ^ b).bit_count() <= 3 for a, b in both)
+        assert all((a ^ b).bit_count() <= most for a, b in both)
         root = {v: v for v in values}
 
         def find(v):
@@ -77,6 +77,27 @@ def test_links_equal_brute_force(spark):
         assert {v: find(v) for v in values} == want
 
 
+def test_masks_leave_no_close_pair_out():
+    rng = random.Random(6)
+    for mask in (0, (1 << 32) - 1, rng.getrandbits(64) | rng.getrandbits(64), (1 << 60) - 1):
+        masks = simhash.finer_masks(mask)
+        free = [b for b in range(64) if not mask >> b & 1]
+        assert all(m & mask == mask for m in masks)
+        for _ in range(200):
+            differ = sum(1 << b for b in rng.sample(free, 3))
+            assert any(m & differ == 0 for m in masks)
+    assert all(m.bit_count() >= 31 for m in simhash.finer_masks(0)) and len(simhash.finer_masks(0)) == 20
+
+
+def test_many_values_in_few_free_bits(spark):
+    """Groups of which every deal's buckets are large: all values of 9 low bits, under one prefix."""
+    fps = spark.range(1 << 9).selectExpr("id + shiftleft(5L, 40) as fp")
+    links = simhash.near_links(fps, cap=64)
+    from quillmere.llm.components import components
+
+    assert components(links).groupBy("root").count().collect()[0][:] == (5 << 40, 1 << 9)
+
+
 def test_components_of_documents(spark):
     rng = random.Random(9)
     base = [" ".join(rng.choices([f"w{k}" for k in range(500)], k=400)) for _ in range(6)]
