@@ -1,18 +1,21 @@
 """HTML extraction: tag-path ratios.
 
-A page becomes blocks of text, each with the path of block-level tags from the
-root. Per path, text length and punctuation are summed over its blocks and taken as
-ratios to their number; ratios are smoothed over blocks in page order, fused as a
-geometric mean, damped by the share of linked text, and blocks whose fused
-value reaches a share of the page's best are content. The content container is the
-smallest element that holds most of the content's text; all its blocks are the main text
-but those of lists of links. What a page marks as no content by tag, role or
-class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments
-of readers) is left out before.
+A page becomes blocks of text. Every block has the path of block-level tags from the root to the element
+that holds it; elements that a page marks by tag, role, class or id have paths of their own. Per path, text length
+and punctuation are summed over its blocks and taken as ratios to their number; ratios are smoothed over blocks in
+page order, fused as a geometric mean and damped by the share of linked text. A path's fused value is the greatest of its
+blocks, times the weights of what it runs through: ``NAMED`` for an article or main element, ``STRONG`` or
+``WEAK`` for words of class and id that say what is no article, and ``LISTED`` for paths of lists of links. Paths whose value reaches
+``PATH_SHARE`` of the page's best are content, and all their blocks, and no others, are the main text.
+
+Words of class and id are weights and never drop a thing on their own. They don't count for elements that hold an
+article or main element or, on pages without one, half of the text. Left out before are what is never shown or no text (scripts,
+styles, templates, hidden elements, controls) and, with the same exception, what tags and roles say is no article: menus, headers
+outside of articles, footers, sidebars, forms, dialogs.
 
 Character references are decoded, white space inside a block becomes one space,
-blocks are trimmed and joined by one space in page order. Nothing else is
-dropped, and no length is capped. Null or empty pages give the empty text, as do pages of
+blocks are trimmed and joined by one space in page order. No length is capped; a page is read in one pass and
+every step is linear in its size and depth. Null or empty pages give the empty text, as do pages of
 markup only; text outside any tag is a block. Repeated rows get equal results. A kept
 column named like an output gives way to it.
 """
@@ -34,106 +37,118 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACES = frozenset("br wbr img hr input".split())
-OUT = frozenset("head title script style noscript template nav footer aside form button select option textarea input label iframe object svg canvas math dialog menu".split())
+#: No text, or never shown.
+SILENT = frozenset("head title script style noscript template button select option textarea label iframe object svg canvas".split())
+#: No article, unless one is inside.
+ASIDE = frozenset("nav footer aside form dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
-#: Words of class or id that mark what is no content.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification "
-    "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar "
-    "aside widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc skip footer header masthead topbar toolbar comment comments "
-    "commentlist respond disqus reply replies form search copyright legal disclaimer".split()
+#: Words of class or id that say what is no article: some always, some often.
+STRONG_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal "
+    "newsletter subscribe subscription signup sharing share social related recommended recommendations sidebar navbar navigation nav "
+    "breadcrumb breadcrumbs pagination pager comment comments commentlist respond disqus masthead topbar toolbar".split()
 )
+WEAK_WORDS = frozenset("banner notice notices notification alert overlay login aside widget widgets menu toc skip footer header reply replies form search copyright legal disclaimer".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile("[.,;:!?¡¿。，、；：！？]")
-#: Share of the page's best fused value that makes a path content, and of the content's text that its container holds.
-PATH_SHARE, BOX_SHARE = 0.25, 0.6
+#: Weights of paths, and the share of the page's best value that makes a path content.
+NAMED, STRONG, WEAK, LISTED = 8.0, 1 / 8, 1 / 2, 1 / 4
+PATH_SHARE = 0.2
 #: What an open tag of the first kind closes, if met on the way to the second.
-_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+_SHUT_BY = ("table", "td", "th", "button")
+PLAIN, SIDE, MUTE = 0, 1, 2
 
 
 class _Page(HTMLParser):
-    """Elements (tag, parent, whether out, path) and blocks (element, text, linked length)."""
+    """Elements in page order (tag, parent, kind, words of class and id) and blocks (element, text, linked length)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.out, self.path = [""], [-1], [False], [""]
-        self.open = [0]
+        self.tag, self.parent, self.kind, self.named = [""], [-1], [PLAIN], [False]
+        self.weight = [1.0]
+        self.silent = [False]  # whether it or what it is in is never shown
+        self.open, self.gone = [0], set()
+        self.at: dict[str, list[int]] = {}  # places in ``open`` of each tag
+        self.blocks_open = [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.links = 0
+
+    def _last(self, *tags):
+        """Place of the innermost open element of these tags, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def _flush(self):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append((self._block(), text, self.linked))
+                self.blocks.append((self.open[self.blocks_open[-1]], text, self.linked))
             self.parts = []
         self.linked = 0
 
-    def _block(self):
-        return next((e for e in reversed(self.open) if self.tag[e] in BLOCKS or self.out[e]), 0)
-
     def _pop_to(self, k):
-        for e in self.open[k:]:
-            self.links -= self.tag[e] == "a"
-        del self.open[k:]
-
-    def _marked(self, tag, attrs):
-        if tag in OUT:
-            return True
-        inside = any(self.tag[e] in ("article", "main") for e in self.open)
-        if tag == "header" and not inside:
-            return True
+        while len(self.open) > k:
+            e = self.open.pop()
+            if e in self.gone:
+                self.gone.discard(e)
+            else:
+                self.at[self.tag[e]].pop()
+            if self.blocks_open[-1] == len(self.open):
+                self.blocks_open.pop()
+
+    def _look(self, tag, attrs):
+        """Kind and weight of an element."""
+        if tag in SILENT:
+            return MUTE, 1.0
+        kind = SIDE if tag in ASIDE or tag == "header" and not self._last("article", "main") else PLAIN
+        weight = 1.0
         if tag in ("html", "body", "article", "main"):
-            return False
+            attrs = [(k, v) for k, v in attrs if k == "hidden"]
         for k, v in attrs:
-            if not v:
-                if k == "hidden":
-                    return True
-                continue
-            if k == "role" and v.lower() in ROLES or k == "aria-hidden" and v.lower() == "true" or k == "style" and "display:none" in v.replace(" ", "").lower():
-                return True
-            if k in ("class", "id") and not MARKS.isdisjoint(w.lower() for w in _WORDS.findall(v)):
-                return True
-        return False
+            v = v or ""
+            if k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and "display:none" in v.replace(" ", "").lower():
+                return MUTE, 1.0
+            if k == "role" and v.lower() in ROLES:
+                kind = SIDE
+            if k in ("class", "id"):
+                words = {w.lower() for w in _WORDS.findall(v)}
+                weight = min(weight, STRONG if words & STRONG_WORDS else WEAK if words & WEAK_WORDS else 1.0)
+        return kind, weight
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._flush()
-            if tag not in ("html", "body"):
-                k = next((k for k in range(len(self.open) - 1, 0, -1) if self.tag[self.open[k]] in ("p", "table", "td", "th", "button")), 0)
-                if k and self.tag[self.open[k]] == "p":
-                    self._pop_to(k)
+            p = self._last("p")
+            if p and tag not in ("html", "body") and p > self._last(*_SHUT_BY):
+                self._pop_to(p)
         if tag in _CLOSES:
             what, until = _CLOSES[tag]
-            for k in range(len(self.open) - 1, 0, -1):
-                t = self.tag[self.open[k]]
-                if t in until:
-                    break
-                if t in what:
-                    self._flush()
-                    self._pop_to(k)
-                    break
+            k = self._last(*what)
+            if k and k > self._last(*until):
+                self._flush()
+                self._pop_to(k)
         if tag in VOID:
             if tag in SPACES:
                 self.parts.append(" ")
             return
-        if tag == "a":
-            k = next((k for k in range(len(self.open) - 1, 0, -1) if self.tag[self.open[k]] == "a"), 0)
-            if k:
-                self._pop_to(k)
-            self.links += 1
+        if tag == "a" and self._last("a"):
+            self._pop_to(self._last("a"))
+        kind, weight = self._look(tag, attrs)
         top = self.open[-1]
-        out = self.out[top] or self._marked(tag, attrs)
-        if out and not self.out[top]:
+        if kind or weight < 1:
             self._flush()
         e = len(self.tag)
         self.tag.append(tag)
         self.parent.append(top)
-        self.out.append(out)
-        self.path.append(f"{self.path[top]}/{tag}" if tag in BLOCKS else self.path[top])
+        self.kind.append(kind)
+        self.weight.append(weight)
+        self.named.append(tag in ("article", "main"))
+        self.silent.append(self.silent[top] or kind == MUTE)
+        if tag in BLOCKS or kind or weight < 1:
+            self.blocks_open.append(len(self.open))
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(e)
 
     def handle_startendtag(self, tag, attrs):
@@ -146,24 +161,25 @@ class _Page(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
-        k = next((k for k in range(len(self.open) - 1, 0, -1) if self.tag[self.open[k]] == tag), 0)
+        k = self._last(tag)
         if not k:
             if tag == "p":
                 self._flush()
             return
-        if tag not in BLOCKS and any(self.tag[e] in BLOCKS for e in self.open[k + 1 :]):
+        e = self.open[k]
+        if self.blocks_open[-1] > k and tag not in BLOCKS:
             # an inline end inside later blocks ends only itself
-            self.links -= tag == "a"
-            del self.open[k]
+            self.gone.add(e)
+            self.at[tag].pop()
             return
-        if tag in BLOCKS or self.out[self.open[k]]:
+        if self.blocks_open[-1] >= k:
             self._flush()
         self._pop_to(k)
 
     def handle_data(self, data):
-        if not self.out[self.open[-1]]:
+        if not self.silent[self.open[-1]]:
             self.parts.append(data)
-            if self.links:
+            if self.at.get("a"):
                 self.linked += len(data)
 
 
@@ -172,6 +188,38 @@ def _smooth(values: list[float]) -> list[float]:
     return [(2 * v + (values[i - 1] if i else v) + (values[i + 1] if i + 1 < n else v)) / 4 for i, v in enumerate(values)]
 
 
+def _paths(page: _Page) -> tuple[list[int], list[float], list[bool]]:
+    """Each element's path, the weight of each path, and whether an element is part of no article."""
+    n = len(page.tag)
+    # text below each element, and whether an article or main element is it or in it
+    mass = [0] * n
+    for e, text, _ in page.blocks:
+        mass[e] += len(text)
+    holds = list(page.named)
+    for e in range(n - 1, 0, -1):  # parents come before children
+        mass[page.parent[e]] += mass[e]
+        holds[page.parent[e]] |= holds[e]
+    path, out = [0] * n, [False] * n
+    known: dict[tuple, int] = {}
+    weight, inside = [1.0], [False]
+    for e in range(1, n):
+        up, tag = page.parent[e], page.tag[e]
+        keeps = holds[e] or not holds[0] and 2 * mass[e] >= mass[0]
+        out[e] = out[up] or page.kind[e] == SIDE and not keeps
+        w = 1.0 if keeps else page.weight[e]
+        if tag not in BLOCKS and w == 1.0:
+            path[e] = path[up]
+            continue
+        key = (path[up], tag, w)
+        if key not in known:
+            known[key] = len(weight)
+            first = page.named[e] and not inside[path[up]]
+            weight.append(weight[path[up]] * w * (NAMED if first else 1.0))
+            inside.append(inside[path[up]] or page.named[e])
+        path[e] = known[key]
+    return path, weight, out
+
+
 def extract(html: str | None) -> str:
     """The main text of a page."""
     if not html:
@@ -180,50 +228,27 @@ def extract(html: str | None) -> str:
     page.feed(html)
     page.close()
     page._flush()
-    blocks = page.blocks
+    path, weight, out = _paths(page)
+    blocks = [(path[e], text, linked) for e, text, linked in page.blocks if not out[e]]
     if not blocks:
         return ""
-    # ratios per path
-    size: dict[str, list[float]] = {}
-    for e, text, linked in blocks:
-        s = size.setdefault(page.path[e], [0, 0, 0, 0])
+    size: dict[int, list[int]] = {}
+    for p, text, linked in blocks:
+        s = size.setdefault(p, [0, 0, 0, 0])
         s[0] += len(text)
         s[1] += len(_PUNCT.findall(text))
         s[2] += 1
         s[3] += min(linked, len(text))
-    lengths = _smooth([size[page.path[e]][0] / size[page.path[e]][2] for e, _, _ in blocks])
-    marks = _smooth([(1 + size[page.path[e]][1]) / size[page.path[e]][2] for e, _, _ in blocks])
-    fused = []
-    for k, (e, _, _) in enumerate(blocks):
-        s = size[page.path[e]]
-        fused.append((lengths[k] * marks[k]) ** 0.5 * (1 - s[3] / s[0]))
-    best: dict[str, float] = {}
-    for k, (e, _, _) in enumerate(blocks):
-        best[page.path[e]] = max(best.get(page.path[e], 0), fused[k])
-    bar = PATH_SHARE * max(fused)
-    content = [k for k, (e, _, _) in enumerate(blocks) if best[page.path[e]] >= bar]
-    # text of content below each element
-    mass: dict[int, int] = {}
-    for k in content:
-        e = blocks[k][0]
-        while e >= 0:
-            mass[e] = mass.get(e, 0) + len(blocks[k][1])
-            e = page.parent[e]
-    whole = mass.get(0, 0)
-    named = [e for e in mass if page.tag[e] in ("article", "main") and 2 * mass[e] >= whole]
-    boxes = [e for e in mass if mass[e] >= BOX_SHARE * whole and page.tag[e] in BLOCKS and page.tag[e] not in ("p", "li", "pre", "td", "th", "tr", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6")]
-    box = max(named) if named else max(boxes, default=0)  # later elements are deeper
-    inside = {box}
-    for e in range(box + 1, len(page.tag)):
-        if page.parent[e] in inside:
-            inside.add(e)
-    keep = []
-    for e, text, linked in blocks:
-        if e in inside:
-            s = size[page.path[e]]
-            if named or best[page.path[e]] >= bar or s[3] <= 0.5 * s[0]:
-                keep.append(text)
-    return " ".join(keep)
+    lengths = _smooth([size[p][0] / size[p][2] for p, _, _ in blocks])
+    marks = _smooth([(1 + size[p][1]) / size[p][2] for p, _, _ in blocks])
+    value: dict[int, float] = {}
+    for k, (p, _, _) in enumerate(blocks):
+        s = size[p]
+        linked = s[3] / s[0]
+        fused = (lengths[k] * marks[k]) ** 0.5 * (1 - linked) * weight[p] * (LISTED if linked > 0.5 else 1)
+        value[p] = max(value.get(p, 0.0), fused)
+    bar = PATH_SHARE * max(value.values())
+    return " ".join([text for p, text, _ in blocks if value[p] >= bar])
 
 
 def main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
