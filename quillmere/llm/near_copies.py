@@ -1,7 +1,11 @@
-"""Near copies: exact search for texts of similar shingle sets, by prefixes.
+"""Near copies: texts of similar shingle sets, by SimHash blocks and, beyond their radius, by prefixes.
 
 Two texts link if the Jaccard similarity of their sets of ``WORDS``-word shingles is
-at least ``SHARE``. Shingles are put in one order for all texts; two sets of n and m that
+at least ``SHARE``. Pairs of close SimHash fingerprints (of shingles of as many words) meet first, by the blocks of
+``simhash.near_links``, and are verified on their whole sets. Texts of a similarity of 0.8 to 0.9 differ in 4 to 14 of 64 bits,
+more than blocks can search for; so an exact prefix search adds the links that are left:
+
+Shingles are put in one order for all texts; two sets of n and m that
 are so similar share one of the first n - ceil(share * n) + 1 and m - ceil(share * m) + 1 of
 their shingles. Texts are dealt to those; pairs that meet, and whose sizes and places
 leave room for the similarity, are counted. Let x be that of the two sets whose prefix ends
@@ -15,7 +19,7 @@ paired at first; the rest of its pairs is looked at when it is known which texts
 those links join anyway, as only components are wanted.
 
 Words are what white space parts, ASCII letters in lower case. A text of fewer words is
-one shingle; null and empty texts have the same empty set. Texts of equal sets
+one shingle; null and empty texts have the same empty set. Texts of equal sets (by a hash of 64 bits)
 meet before the search, in a pre-aggregated grouping.
 """
 
@@ -27,9 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmere.llm.batches import append_columns, column, raw_bytes
+from quillmere.llm.batches import append_columns, column, free_name, raw_bytes
 from quillmere.llm.components import components
-from quillmere.llm.tables import staged
+from quillmere.llm.simhash import MOST_BITS, near_links, with_fingerprint
+from quillmere.llm.tables import drop_staged, staged
 
 WORDS, SHARE = 5, 0.8
 BUCKET = 64
@@ -189,7 +194,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, words: int, share: float) -> Da
     whole = staged(_with(sets.join(ids, "sid", "left_semi"), "h", T.ArrayType(T.LongType()), lambda h: h.view(np.int64).tolist(), words, ["sid"]))
     both = pairs.join(whole.select(F.col("sid").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("sid").alias("b"), F.col("h").alias("y")), "b")
     counts = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
-    return staged(counts.where(F.col("both") >= share * (F.col("all") - F.col("both")) - 1e-9).select("a", "b"))
+    out = staged(counts.where(F.col("both") >= share * (F.col("all") - F.col("both")) - 1e-9).select("a", "b"))
+    drop_staged(pairs)
+    drop_staged(whole)
+    return out
+
+
+def close_links(sets: DataFrame, words: int = WORDS, share: float = SHARE, most: int = MOST_BITS) -> DataFrame:
+    """Links (a, b) of similar sets whose fingerprints are equal or among the links of close ones."""
+    prints = staged(with_fingerprint(sets, "__t", words, keep=["sid"]))
+    first = staged(prints.groupBy("fp").agg(F.min("sid").alias("low")))
+    same = prints.join(first, "fp").where("sid <> low").select(F.col("low").alias("a"), F.col("sid").alias("b"))
+    near = near_links(first.select("fp"), most)
+    ends = first.select(F.col("fp").alias("a"), F.col("low").alias("x")), first.select(F.col("fp").alias("b"), F.col("low").alias("y"))
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return _verified(same.unionByName(near).distinct(), sets, words, share)
 
 
 def similar_links(sets: DataFrame, words: int = WORDS, share: float = SHARE, cap: int = BUCKET) -> DataFrame:
@@ -203,34 +222,42 @@ def similar_links(sets: DataFrame, words: int = WORDS, share: float = SHARE, cap
     def counted(pairs):
         return pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("s").alias("least"))
 
+    close = close_links(sets, words, share)
     first = staged(met(_prefixes(sets, words, share).withColumn("root", F.col("sid")), cap))
     again = first.where("again")
     few = staged(counted(first.where("not again")))
     # of a's shingles in large buckets each may be b's as well
     more = again.groupBy("a").agg(F.count("*").alias("more"))
-    links = _verified(few.join(more, "a", "left").where("met + coalesce(more, 0) >= least"), sets, words, share)
-    if again.isEmpty():
-        return links
-    known = components(links).select(F.col("node").alias("sid"), "root")
-    rows = again.select("s", "n", F.col("a").alias("sid"), F.col("b").alias("place"))
-    rows = rows.join(known, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rest = counted(met(rows, None)).join(few.select("a", "b", F.col("met").alias("before")), ["a", "b"], "left")
-    return links.unionByName(_verified(rest.where("met + coalesce(before, 0) >= least"), sets, words, share))
+    links = few.join(more, "a", "left").where("met + coalesce(more, 0) >= least").join(close, ["a", "b"], "left_anti")
+    links = close.unionByName(_verified(links, sets, words, share))
+    if not again.isEmpty():
+        known = components(links).select(F.col("node").alias("sid"), "root")
+        rows = again.select("s", "n", F.col("a").alias("sid"), F.col("b").alias("place"))
+        rows = rows.join(known, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        rest = counted(met(rows, None)).join(few.select("a", "b", F.col("met").alias("before")), ["a", "b"], "left")
+        links = links.unionByName(_verified(rest.where("met + coalesce(before, 0) >= least"), sets, words, share))
+    drop_staged(first)
+    drop_staged(few)
+    return links
 
 
 def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: float = SHARE, cap: int = BUCKET) -> DataFrame:
-    """All columns of one document of each component: that of the smallest id, null ids last; of equal rows one stays."""
-    row = F.xxhash64(column(id_col), column(text_col))
-    src = docs.select(column(id_col).alias("__id"), column(text_col).alias("__t"), row.alias("__row"))
-    prints = _with(src, "sid", T.LongType(), _digest, words, ["__id", "__row"])
-    rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    """All columns of one document of each component: that of the smallest id, null ids last, then of the smallest hash of all columns; of equal rows one stays."""
+    names = [free_name(f"__{n}", docs.columns) for n in ("row", "row2", "sid")]
+    every = [column(c) for c in docs.columns]
+    own = docs.withColumn(names[0], F.xxhash64(*every)).withColumn(names[1], F.xxhash64(F.lit(1), *every))
+    src = own.select(column(id_col).alias("id"), column(text_col).alias("__t"), column(names[0]).alias("row"), column(names[1]).alias("row2"))
+    prints = _with(src, "sid", T.LongType(), _digest, words, ["id", "row", "row2"])
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row", "row2")
     each = prints.groupBy("sid").agg(F.min(rank).alias("low"))
-    low = staged(each.select("sid", "low", F.col("low.row").alias("__row")))
-    held = docs.withColumn("__row", row).join(low.select("__row", F.col("sid").alias("__sid")), "__row")
-    once = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    kept = staged(held.withColumn("__n", once).where("__n = 1").drop("__n", "__row"))
-    comps = staged(components(similar_links(kept.select(F.col("__sid").alias("sid"), column(text_col).alias("__t")), words, share, cap)))
+    low = staged(each)
+    picked = low.select(F.col("low.row").alias(names[0]), F.col("low.row2").alias(names[1]), F.col("sid").alias(names[2]))
+    held = own.join(picked, names[:2])
+    once = F.row_number().over(Window.partitionBy(*map(column, names[:2])).orderBy(column(names[0])))
+    place = free_name("__n", held.columns)
+    kept = staged(held.withColumn(place, once).where(column(place) == 1).drop(place, *names[:2]))
+    comps = staged(components(similar_links(kept.select(column(names[2]).alias("sid"), column(text_col).alias("__t")), words, share, cap)))
     ranked = comps.join(low, comps.node == low.sid).select("root", "sid", "low")
     firsts = ranked.groupBy("root").agg(F.min("low").alias("first"))
-    gone = ranked.join(firsts, "root").where("low.row <> first.row").select(F.col("sid").alias("__sid"))
-    return kept.join(gone, "__sid", "left_anti").select(*[column(c) for c in docs.columns])
+    gone = ranked.join(firsts, "root").where("low <> first").select(F.col("sid").alias(names[2]))
+    return kept.join(gone, names[2], "left_anti").select(*every)

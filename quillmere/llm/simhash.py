@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmere.llm.batches import append_columns, column, raw_bytes
+from quillmere.llm.batches import append_columns, column, free_name, raw_bytes
 from quillmere.llm.components import components
 from quillmere.llm.hot import hot_join
 from quillmere.llm.tables import staged
@@ -233,15 +233,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = MOST_BITS) -> DataFrame:
-    """All columns of one document of each component: that of the smallest id, null ids last; of equal rows one stays."""
-    row = F.xxhash64(column(id_col), column(text_col))
-    src = docs.select(column(id_col).alias("__id"), column(text_col).alias("__t"), row.alias("__row"))
-    prints = staged(with_fingerprint(src, "__t", words, keep=["__id", "__row"]))
-    rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    """All columns of one document of each component: that of the smallest id, null ids last, then of the smallest hash of all columns; of equal rows one stays."""
+    names = [free_name(f"__{n}", docs.columns) for n in ("row", "row2")]
+    every = [column(c) for c in docs.columns]
+    own = docs.withColumn(names[0], F.xxhash64(*every)).withColumn(names[1], F.xxhash64(F.lit(1), *every))
+    src = own.select(column(id_col).alias("id"), column(text_col).alias("__t"), column(names[0]).alias("row"), column(names[1]).alias("row2"))
+    prints = staged(with_fingerprint(src, "__t", words, keep=["id", "row", "row2"]))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row", "row2")
     each = prints.groupBy("fp").agg(F.min(rank).alias("low"))
     comps = components(near_links(each.select("fp"), most))
     root = each.join(comps, each.fp == comps.node, "left").select(F.coalesce("root", "fp").alias("root"), "low")
-    first = root.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__row"))
-    kept = docs.withColumn("__row", row).join(first, "__row", "left_semi")
-    once = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    return kept.withColumn("__n", once).where("__n = 1").select(*[column(c) for c in docs.columns])
+    first = root.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias(names[0]), F.col("low.row2").alias(names[1]))
+    kept = own.join(first, names, "left_semi")
+    once = F.row_number().over(Window.partitionBy(*map(column, names)).orderBy(column(names[0])))
+    place = free_name("__n", kept.columns)
+    return kept.withColumn(place, once).where(column(place) == 1).select(*every)

@@ -3,13 +3,18 @@ import random
 import pytest
 import sentencepiece
 
-from quillmere.llm import decontaminate, language_id, queries, secret_scan, simhash
+from quillmere.llm import decontaminate, language_id, queries, secret_scan
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 PARTS = {"en": ["th", "er", "an", "in", "on", "re", "at", "the", "ing"], "de": ["sch", "ver", "ung", "ein", "ü", "keit", "ge", "be"]}
 
 
+def near_shingles(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def prose(rng, lang, n):
     return " ".join("".join(rng.choices(PARTS[lang], k=rng.randint(1, 3))) for _ in range(n))
 
@@ -51,7 +56,7 @@ def test_stages_equal_brute_force(spark, folder):
     assert sorted(r.doc_id or -1 for r in first.collect()) == sorted(i or -1 for i, _, _ in left)
     # 2: single linkage over all pairs
     second = corpus_pipeline.one_of_each(spark, first, sf)
-    prints = simhash.fingerprints([(t or "").encode() for _, t, _ in left]).tolist()
+    grams = [near_shingles(t) for _, t, _ in left]
     root = list(range(len(left)))
 
     def find(k):
@@ -61,7 +66,7 @@ def test_stages_equal_brute_force(spark, folder):
 
     for a in range(len(left)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
+            if grams[a] == grams[b] or len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) - 1e-9:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     groups = {}

@@ -61,6 +61,17 @@ def test_one_of_similar_equals_brute_force(spark, cap):
     assert nc.one_of_similar(df.limit(0)).count() == 0
 
 
+def test_ties_and_clashing_names(spark):
+    rows = [(1, "one two three four five six", 9, "b"), (1, "one two three four five six", 7, "a"), (2, "another text of some words here", 5, "c"), (2, "another text of some words here", 5, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row long, __n string")
+    from quillmere.llm import simhash
+
+    for f in (nc.one_of_similar, simhash.representatives):
+        runs = [sorted(map(tuple, f(df.repartition(k)).collect())) for k in (1, 3)]
+        assert runs[0] == runs[1] and f(df).columns == df.columns
+        assert [r[0] for r in runs[0]] == [1, 2] and runs[0][0] in rows and runs[0][1] == rows[2]
+
+
 def test_stage_finds_copies_of_more_than_three_bits(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from quillmere.llm import simhash
