@@ -19,14 +19,21 @@ def local_session(cores: str = "*", name: str = "quillmere", shuffle_partitions:
     )
 
 
+#: Bytes of one Arrow batch to a Python worker, where the session names no limit: rows may be long texts.
+ARROW_BYTES = 16 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once a context, unless PYTHONPATH says that they have it."""
+    """Sends this package to the executors, once a context, unless PYTHONPATH says that they have it; bounds Arrow batches by bytes."""
     import atexit
     import os
     import shutil
     import tempfile
     from pathlib import Path
 
+    if not spark.sparkContext.getConf().contains(_ARROW_LIMIT):
+        spark.conf.set(_ARROW_LIMIT, str(ARROW_BYTES))
     root = Path(__file__).resolve().parent.parent
     sc = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_quillmere_sent", False):
