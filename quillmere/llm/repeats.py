@@ -1,11 +1,10 @@
 """Suffix-array dedup: bytes that any repeated string of ``LENGTH`` bytes covers.
 
-Method: a run-length index. A run-compressed Burrows-Wheeler transform keeps, for
-the end of each of its runs, the text position and how far that suffix agrees with
-its neighbour. Elsewhere a suffix agrees with a neighbour exactly one byte less
-than the suffix one position before it, so matching statistics of the whole collection are
-streamed from the sampled run ends in text order; a place whose statistic
-reaches LENGTH starts a repeated string.
+Method: a run-length index. A run-compressed Burrows-Wheeler transform keeps each run's symbol and
+first row, the row that its head is led to by the step to the symbol before (LF), and, as samples at its two ends, how far
+the suffixes that these are led to agree with the next ones outside of the run. Matching statistics are streamed from it backwards
+from each segment's end: a step over a run's inner row adds one byte to what a suffix and its neighbour agree in, a
+step over a run's end takes the sample. A place whose statistic reaches LENGTH starts a repeated string.
 
 One transform of all text can't be built in pieces, so text is dealt first, without
 loss. Every string of LENGTH bytes has an anchor, the smallest of the hashes of its
@@ -20,13 +19,15 @@ and strings can only be equal within segments of one anchor's value:
    anchor, and each task builds run-length indexes of blocks of whole anchors. Starts
    are taken relative to the anchor in classes of ``CLASS``; all strings of a class share its
    core, and only classes whose core another segment has are laid into the index, equal ones once.
-3. For anchors with more, each string's own hash is counted, pre-aggregated, so
-   no group is gathered anywhere (an exact way for what 2 leaves out).
+3. Segments of anchors with more are cut into their classes and dealt again, by anchor, class and core, and go through 1 and 2
+   once more. Where over ``GROUP`` different contents share even a core, they are cut into single strings, of which 1 says all:
+   each string's hash is counted, pre-aggregated. No group is gathered anywhere.
 
-Content hashes have 64 bits and are compared only within one anchor's hash of 64 bits.
+Content hashes have 64 bits and are compared only within one anchor's hash of 64 bits; rows are told apart by hashes of
+96 bits of id and text.
 
 Null is an empty text. Matches never cross documents. Rows that repeat (id and
-text) repeat each other's text. An id may be null or repeated. An empty table
+text) repeat each other's text, and each set of marks is kept once for all of them. An id may be null or repeated. An empty table
 gives an empty result; other columns are not carried.
 """
 
@@ -41,7 +42,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmere.llm.batches import column, cut_by_bytes, raw_bytes
-from quillmere.llm.tables import staged
+from quillmere.llm.hot import hot_join
+from quillmere.llm.tables import drop_staged, staged
 
 LENGTH, K = 200, 32
 #: Contents of one anchor that are indexed together, and bytes of one index.
@@ -168,9 +170,9 @@ def _agreement(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class RunLengthIndex:
     """Runs of a Burrows-Wheeler transform with samples at their ends.
 
-    ``text`` holds segments as bytes plus one, each followed by a 0. Samples are (place,
-    symbols shared with the nearer neighbour); segment starts are samples too, as the
-    statistic cannot be handed on over an end.
+    ``text`` holds segments as bytes plus one, each followed by a 0. Nothing of the size of the text is kept
+    but the segments' ends: ``run_start``, ``run_symbols`` and ``run_target`` (the row that the step to the symbol
+    before leads a run's head to) have an entry a run, and so have the samples ``up`` and ``down``.
     """
 
     def __init__(self, text: np.ndarray):
@@ -178,26 +180,41 @@ class RunLengthIndex:
         order = suffix_order(text)
         last = text[order - 1]
         change = np.flatnonzero(last[1:] != last[:-1]) + 1
-        self.run_symbols = last[np.concatenate(([0], change))]
-        self.run_lengths = np.diff(np.concatenate(([0], change, [n])))
-        self.text = text
-        heads, tails = np.concatenate(([0], change)), np.concatenate((change - 1, [n - 1]))
-        starts = np.concatenate(([0], np.flatnonzero(text[:-1] == 0) + 1))
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        up = np.unique(np.concatenate((heads, place[starts])))
-        down = np.unique(np.concatenate((tails, place[starts])))
-        up, down = up[up > 0], down[down < n - 1]
-        at = np.concatenate((order[up], order[down]))
-        shared = _agreement(text, at, np.concatenate((order[up - 1], order[down + 1])))
-        self.sample_at, self.sample_shared = at, shared
+        self.size = n
+        self.run_start = np.concatenate(([0], change))
+        self.run_symbols = last[self.run_start]
+        self.run_lengths = np.diff(np.append(self.run_start, n))
+        by_symbol = np.argsort(self.run_symbols, kind="stable")
+        self.run_target = np.empty_like(self.run_start)
+        self.run_target[by_symbol] = np.cumsum(self.run_lengths[by_symbol]) - self.run_lengths[by_symbol]
+        head, tail = self.run_target, self.run_target + self.run_lengths - 1
+        self.up = np.where(head > 0, _agreement(text, order[head], order[np.maximum(head - 1, 0)]), 0)
+        self.down = np.where(tail < n - 1, _agreement(text, order[tail], order[np.minimum(tail + 1, n - 1)]), 0)
+        self.ends = np.flatnonzero(text == 0)
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
+        self.end_rows = row[self.ends]
 
     def matching_statistics(self) -> np.ndarray:
-        """For each place, the longest string from there within its segment that stands elsewhere in the collection too."""
-        best = np.zeros(len(self.text), np.int64)
-        np.maximum.at(best, self.sample_at, self.sample_shared)
-        place = np.arange(len(best))
-        return np.maximum(np.maximum.accumulate(best + place) - place, 0)
+        """For each place, the longest string from there within its segment that stands elsewhere in the collection too.
+
+        All segments are walked at once, from their ends; the longest come first, so those still walked are the first ones.
+        """
+        out = np.zeros(self.size, np.int64)
+        length = np.diff(self.ends, prepend=-1) - 1
+        longest = np.argsort(-length, kind="stable")
+        at, row = self.ends[longest], self.end_rows[longest]
+        live = np.searchsorted(-length[longest], -np.arange(1, int(length.max(initial=0)) + 1), "right")
+        up, down = np.zeros((2, len(at)), np.int64)
+        for step, n in enumerate(live.tolist(), 1):
+            row, up, down = row[:n], up[:n], down[:n]
+            run = np.searchsorted(self.run_start, row, "right") - 1
+            inner = row - self.run_start[run]
+            up = np.where(inner == 0, self.up[run], up + 1)
+            down = np.where(inner == self.run_lengths[run] - 1, self.down[run], down + 1)
+            row = self.run_target[run] + inner
+            out[at[:n] - step] = np.maximum(up, down)
+        return out
 
 
 def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -214,7 +231,7 @@ def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray
 # ---- the operator ---------------------------------------------------------
 
 #: ``place`` holds the first string, the number of strings and the anchor's place after the first, in 48, 8 and 8 bits.
-_SEGMENT = "anchor long, content long, rk long, place long"
+_SEGMENT = "anchor long, content long, rk long, rk2 int, place long"
 
 
 def _place(start: np.ndarray, strings: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -229,19 +246,19 @@ def _segment_rows(length: int):
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for part in cut_by_bytes(batch, 1):
-                data, at = raw_bytes(part.column(1))
-                keys = part.column(0).to_numpy(zero_copy_only=False)
+            for part in cut_by_bytes(batch, 2):
+                data, at = raw_bytes(part.column(2))
+                keys, more = (part.column(k).to_numpy(zero_copy_only=False) for k in range(2))
                 rows = []
                 for i in np.flatnonzero(np.diff(at) >= length).tolist():
                     own = data[at[i] : at[i + 1]]
                     start, count, after, anchor = segments(own, length)
                     raw = own.tobytes()
                     content = np.array([digest(raw[a : a + n + length - 1]) for a, n in zip(start.tolist(), count.tolist())], np.uint64)
-                    rows.append((anchor, content, np.full(len(start), keys[i]), _place(start, count, after)))
+                    rows.append((anchor, content, np.full(len(start), keys[i]), np.full(len(start), more[i]), _place(start, count, after)))
                 if rows:
-                    a, c, k, p = (np.concatenate(x) for x in zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(k), pa.array(p)], names=names)
+                    a, c, k, m, p = (np.concatenate(x) for x in zip(*rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(k), pa.array(m), pa.array(p)], names=names)
 
     return run
 
@@ -269,26 +286,54 @@ def _cut_text(length: int):
     return run
 
 
+def _recut(length: int):
+    """Rows (anchor, content, after, piece) to the parts of each class: (of, from, at, anchor, content, after, piece), the first three the segment and the part's place in it."""
+
+    def run(batches):
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        names = ["of", "from", "at", "anchor", "content", "after", "piece"]
+        for batch in batches:
+            rows = []
+            for anchor, content, after, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for (c, core), a, b in classes(after, piece, length):
+                    part = piece[a : b + length - 1]
+                    rows.append((anchor, content, a, digest(core, (anchor + c) & (1 << 64) - 1), digest(part), after - a, part))
+            if rows:
+                of, source, at, key, value, after, part = zip(*rows)
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(source, pa.int64()), pa.array(at, pa.int32()), signed(key), signed(value), pa.array(after, pa.int32()), pa.array(part, pa.binary())], names=names)
+
+    return run
+
+
 def _runs(hit: np.ndarray) -> list[list[int]]:
     """[first, end) of each run of true values, flat."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
     return edge.tolist()
 
 
+def classes(after: int, piece: bytes, length: int = LENGTH) -> list[tuple[tuple[int, bytes], int, int]]:
+    """((class, its core), first, end) of the starts of strings of a segment, whose anchor is ``after`` bytes from its first string."""
+    span = length - K
+    strings = len(piece) - length + 1
+    out = []
+    for c in range((span - after) // CLASS, (span - after + strings - 1) // CLASS + 1):
+        low = c * CLASS - span + after  # of the class, relative to the segment; may lie before it
+        high = min(low + CLASS - 1, after)
+        out.append(((c, piece[high : low + length]), max(low, 0), min(high + 1, strings)))
+    return out
+
+
 def shared_parts(group: list[tuple[int, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each (anchor's place, segment) of one anchor, [first, end) runs of starts in classes whose core another segment has too."""
-    span = length - K
     seen: dict[tuple[int, bytes], int] = {}
-    keys: list[list[tuple[tuple[int, bytes], int, int]]] = []
+    keys = []
     for after, piece in group:
-        own = []
-        strings = len(piece) - length + 1
-        for c in range((span - after) // CLASS, (span - after + strings - 1) // CLASS + 1):
-            low = c * CLASS - span + after  # of the class, relative to the segment; may lie before it
-            high = min(low + CLASS - 1, after)
-            key = (c, piece[high : low + length])
+        own = classes(after, piece, length)
+        for key, _, _ in own:
             seen[key] = seen.get(key, 0) + 1
-            own.append((key, max(low, 0), min(high + 1, strings)))
         keys.append(own)
     out = []
     for own in keys:
@@ -399,41 +444,71 @@ def covered(marks: list[list[int]], length: int = LENGTH) -> list[tuple[int, int
     return [(a, b) for a, b in spans]
 
 
-def repeated_spans(docs: DataFrame, text_col: str, length: int = LENGTH, group: int = GROUP, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """(rk, marks) of the rows of ``docs`` (rk long, text) with repeated strings: marks are runs of their starts."""
-    rows = staged(docs.select("rk", column(text_col).alias("text")).mapInArrow(_segment_rows(length), _SEGMENT))
-    contents = rows.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "place")).alias("one"))
+def _indexed(pieces: DataFrame, length: int, index_bytes: int) -> DataFrame:
+    """(anchor, content, runs of repeated strings) of (anchor, content, after, piece), by indexes of whole anchors."""
+    dealt = pieces.select("anchor", "content", "after", "piece").repartition("anchor").sortWithinPartitions("anchor", "content")
+    return dealt.mapInArrow(_index_groups(length, index_bytes), "anchor long, content long, runs array<int>")
+
+
+def _counted(pieces: DataFrame, length: int) -> DataFrame:
+    """As ``_indexed``, of pieces cut into single strings."""
+    strings = pieces.select("anchor", "content", "piece").mapInArrow(_string_hashes(length), "anchor long, content long, h long, k int")
+    twice = strings.groupBy("anchor", "h").count().where("count > 1").select("anchor", "h")
+    found = strings.join(twice, ["anchor", "h"], "left_semi").select("anchor", "content", F.array(F.col("k"), F.col("k") + 1).alias("runs"))
+    return found.groupBy("anchor", "content").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def _of_large(pieces: DataFrame, length: int, group: int, index_bytes: int) -> DataFrame:
+    """(anchor, content, runs) of segments of anchors with many contents, dealt again by the cores of their classes."""
+    schema = "of long, from long, at int, anchor long, content long, after int, piece binary"
+    parts = staged(pieces.dropDuplicates(["anchor", "content"]).select("anchor", "content", "after", "piece").mapInArrow(_recut(length), schema))
+    contents = parts.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.first("after").alias("after"), F.first("piece").alias("piece"))
     anchors = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("copies").alias("most")).where("kinds > 1 or most > 1")
-    live = staged(contents.join(anchors, "anchor").select("anchor", "content", "copies", "one", "kinds"))
+    live = staged(contents.join(anchors, "anchor"))
+    whole = live.where("copies > 1").select("anchor", "content", F.array(F.lit(0), F.octet_length("piece") - (length - 1)).alias("runs"))
+    once = live.where("copies = 1").select("anchor", "content")
+    found = _indexed(live.where(F.col("kinds").between(2, group)), length, index_bytes).unionByName(_counted(live.where(F.col("kinds") > group), length))
+    known = whole.unionByName(found.join(once, ["anchor", "content"]))
+    back = parts.select("of", "from", "at", "anchor", "content").join(known, ["anchor", "content"])
+    back = back.select(F.col("of").alias("anchor"), F.col("from").alias("content"), F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
+    return back.groupBy("anchor", "content").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def repeated_spans(docs: DataFrame, text_col: str, length: int = LENGTH, group: int = GROUP, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """(rk, rk2, marks) of the rows of ``docs`` (rk long, rk2 int, text) with repeated strings: marks are runs of their starts."""
+    texts = docs.select("rk", "rk2", column(text_col).alias("text"))
+    rows = staged(texts.mapInArrow(_segment_rows(length), _SEGMENT))
+    contents = rows.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "rk2", "place")).alias("one"))
+    anchors = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("copies").alias("most"), F.min("copies").alias("least")).where("kinds > 1 or most > 1")
+    live = staged(hot_join(contents, anchors.select("anchor", "kinds", "least"), "anchor", anchors.select("anchor", F.col("kinds").alias("n"))))
     # contents with copies are repeated throughout; those alone are compared with the anchor's others
-    alone = live.where("kinds > 1").select("anchor", "content", "copies", "one.rk", "one.place", (F.col("kinds") > group).alias("many"))
-    open_ = alone.groupBy("anchor").agg(F.min("copies").alias("least")).where("least = 1").select("anchor")
-    picks = alone.join(open_, "anchor").groupBy("rk").agg(F.collect_list(F.struct("anchor", "content", "place", "many")).alias("picks"))
-    texts = docs.select("rk", column(text_col).alias("text"))
-    pieces = staged(texts.join(picks, "rk").select("text", "picks").mapInArrow(_cut_text(length), "anchor long, content long, many boolean, after int, piece binary"))
-    indexed = (
-        pieces.where("not many").select("anchor", "content", "after", "piece").repartition("anchor").sortWithinPartitions("anchor", "content")
-        .mapInArrow(_index_groups(length, index_bytes), "anchor long, content long, runs array<int>")
-    )
-    strings = pieces.where("many").select("anchor", "content", "piece").dropDuplicates(["anchor", "content"]).mapInArrow(_string_hashes(length), "anchor long, content long, h long, k int")
-    twice = strings.groupBy("anchor", "h").count().where("count > 1").select("anchor", "h")
-    counted = strings.join(twice, ["anchor", "h"], "left_semi").select("anchor", "content", F.array(F.col("k"), F.col("k") + 1).alias("runs"))
-    some = indexed.unionByName(counted.groupBy("anchor", "content").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    alone = live.where("kinds > 1 and least = 1").select("anchor", "content", "one.rk", "one.rk2", "one.place", (F.col("kinds") > group).alias("many"))
+    picks = alone.groupBy("rk", "rk2").agg(F.collect_list(F.struct("anchor", "content", "place", "many")).alias("picks"))
+    pieces = staged(texts.join(picks, ["rk", "rk2"]).select("text", "picks").mapInArrow(_cut_text(length), "anchor long, content long, many boolean, after int, piece binary"))
+    some = _indexed(pieces.where("not many"), length, index_bytes)
+    large = pieces.where("many")
+    if not large.isEmpty():
+        some = some.unionByName(_of_large(large, length, group, index_bytes))
     whole = live.where("copies > 1").select("anchor", "content", F.lit(None).cast("array<int>").alias("runs"))
     once = live.where("copies = 1").select("anchor", "content").join(some, ["anchor", "content"])
     known = staged(whole.unionByName(once))
+    drop_staged(live)
+    drop_staged(pieces)
     start, strings = F.shiftright("place", 16).cast("int"), F.shiftright("place", 8).bitwiseAND(F.lit(255).cast("long")).cast("int")
     marked = rows.join(known, ["anchor", "content"]).select(
-        "rk", F.when(F.col("runs").isNull(), F.array(start, start + strings)).otherwise(F.transform("runs", lambda x: x + start)).alias("runs")
+        "rk", "rk2", F.when(F.col("runs").isNull(), F.array(start, start + strings)).otherwise(F.transform("runs", lambda x: x + start)).alias("runs")
     )
-    return marked.groupBy("rk").agg(F.collect_list("runs").alias("marks"))
+    marks = staged(marked.groupBy("rk", "rk2").agg(F.collect_set("runs").alias("marks")))
+    drop_staged(rows)
+    drop_staged(known)
+    return marks
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     src = docs.select(column(id_col).alias("__id"), column(text_col).cast("string").alias("text"))
-    src = src.withColumn("rk", F.xxhash64("__id", "text"))
+    src = src.withColumn("rk", F.xxhash64("__id", "text")).withColumn("rk2", F.hash(F.lit(1), "__id", "text"))
     marks = repeated_spans(src, "text", length, group, index_bytes)
     out = T.StructType([T.StructField("__id", src.schema["__id"].dataType), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())])
-    joined = src.join(marks, "rk", "left").select("__id", "text", "marks")
+    joined = src.join(marks, ["rk", "rk2"], "left").select("__id", "text", "marks")
     return joined.mapInArrow(_cover(length), out).withColumnRenamed("__id", id_col)

@@ -31,7 +31,7 @@ def test_statistics_equal_brute_force():
         ends = np.cumsum(size) - 1
         text[ends] = 0
         index = repeats.RunLengthIndex(text)
-        assert index.run_lengths.sum() == len(text)
+        assert index.run_lengths.sum() == len(text) and sorted(index.run_symbols.repeat(index.run_lengths)) == sorted(text)
         ms = index.matching_statistics()
         for i, p in enumerate(parts):
             for a in range(len(p)):
@@ -78,3 +78,29 @@ def test_removal_equals_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.remove_repeats(df).count() == 0
+
+
+def test_equal_rows_are_linear(spark):
+    """Many rows equal in id and text: one set of marks for all of them."""
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(600))
+    rows = [(1, text)] * 1000 + [(2, "x" + text[50:900])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    src = df.selectExpr("text", "xxhash64(doc_id, text) rk", "hash(1, doc_id, text) rk2")
+    marks = repeats.repeated_spans(src, "text").collect()
+    assert len(marks) == 2 and max(len(r.marks) for r in marks) < 80
+    got = repeats.remove_repeats(df).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, got)) == [(1, len(text), len(text), 1, 1000), (2, 851, 850, 1, 1)]
+
+
+def test_large_anchors_go_through_indexes_again(spark):
+    """One passage in texts of different words about it: by cores, and by strings where these are many too."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage = " ".join(word() for _ in range(45))
+    tails = [" ".join(word() for _ in range(60)) for _ in range(4)]
+    texts = [f"{' '.join(word() for _ in range(20))} {passage} {rng.choice(tails) if k % 3 else word()}" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((i, *w) for i, w in enumerate(brute(texts, repeats.LENGTH)))
+    for group in (8192, 20, 2):
+        assert sorted(map(tuple, repeats.remove_repeats(df, group=group).collect())) == want
