@@ -5,11 +5,12 @@ a program map packet, then elementary packets with a presentation time each, cut
 into 188-byte packets with continuity counters. Every elementary packet starts a
 packet with the random-access flag and a clock reference.
 
-``read_stream`` parses any single-program stream of that kind: it follows the
-association table to the map table and on to the elementary stream, checks table
-checksums and continuity counters, reassembles elementary packets by their start
-flags and lists their times, sizes and random-access points. It does not rely on
-how the writer laid packets out.
+``read_stream`` parses any stream of whole packets: it follows the
+association table to the first program's map table and on to its first elementary stream, reassembles sections over
+packets and checks their checksums, checks continuity counters, reassembles elementary packets by their start
+flags and lists their times, sizes and random-access points. Repeated packets are read once, flagged discontinuities are
+no errors, elementary packets without a length end where the next one starts. Lost packets are counted, as breaks of the counter and as
+``damaged`` elementary packets, of which what arrived is kept. It does not rely on how the writer laid packets out.
 
 A null or empty text is a payload of 192 spaces. Repeated texts give equal
 values. An empty table gives an empty result.
@@ -135,22 +136,30 @@ class Stream:
     audio_pid: int
     stream_type: int
     continuity_errors: int
-    pts: np.ndarray
+    damaged: int  # elementary packets that are not as long as they say
+    pts: np.ndarray  # -1 where there is none
     sizes: np.ndarray
     access_points: np.ndarray  # packet numbers
 
 
-def _read_section(packet: np.ndarray, begin: int) -> bytes:
-    raw = packet[begin:].tobytes()
-    raw = raw[1 + raw[0] :]
-    size = 3 + ((raw[1] & 15) << 8 | raw[2])
-    if section_crc(raw[:size]):
-        raise ValueError("a table's checksum is wrong")
-    return raw[:size]
+def _sections(packets: np.ndarray, begin: np.ndarray, start: np.ndarray):
+    """Whole sections with right checksums, from packets of one table, in order; and whether any was wrong."""
+    for k in np.flatnonzero(start).tolist():
+        raw = packets[k, begin[k] :].tobytes()
+        raw = raw[1 + raw[0] :] if raw else raw
+        following = k + 1
+        while len(raw) < 3 or raw[0] != 0xFF and len(raw) < 3 + ((raw[1] & 15) << 8 | raw[2]):
+            if following == len(packets) or start[following]:
+                break
+            raw += packets[following, begin[following] :].tobytes()
+            following += 1
+        size = 3 + ((raw[1] & 15) << 8 | raw[2]) if len(raw) > 2 else 3
+        if len(raw) >= size and raw[0] != 0xFF and size > 3 and not section_crc(raw[:size]):
+            yield raw[:size]
 
 
 def read_stream(media: np.ndarray) -> Stream:
-    """Parses a stream; broken sync bytes, tables or elementary packets raise ValueError."""
+    """Parses a stream; broken sync bytes, tables that are missing or wrong, or no elementary packet at all raise ValueError."""
     if len(media) % PACKET:
         raise ValueError("no whole number of packets")
     p = media.reshape(-1, PACKET)
@@ -162,38 +171,47 @@ def read_stream(media: np.ndarray) -> Stream:
     begin[(control & 1) == 0] = PACKET
     start = (p[:, 1] & 0x40) > 0
 
-    def table(of: int) -> bytes:
-        at = np.flatnonzero((pid == of) & start)
-        if not len(at):
-            raise ValueError("a table is missing")
-        return _read_section(p[at[0]], int(begin[at[0]]))
+    def table(of: int, kind: int) -> bytes:
+        mine = pid == of
+        found = next((s for s in _sections(p[mine], begin[mine], start[mine]) if s[0] == kind), None)
+        if found is None:
+            raise ValueError("a table is missing or its checksum is wrong")
+        return found
 
-    pat = table(PAT_PID)
+    pat = table(PAT_PID, 0)
     program, map_pid = next((n, m) for n, m in ((pat[k] << 8 | pat[k + 1], (pat[k + 2] & 31) << 8 | pat[k + 3]) for k in range(8, len(pat) - 4, 4)) if n)
-    pmt = table(map_pid)
+    pmt = table(map_pid, 2)
     at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
     kind, audio = pmt[at], (pmt[at + 1] & 31) << 8 | pmt[at + 2]
-    mine = pid == audio
-    q, begin, start = p[mine], begin[mine], start[mine]
-    counter = q[:, 3] & 15
-    carries = (q[:, 3] & 0x10) > 0
+    number = np.flatnonzero(pid == audio)
+    counter, carries = p[number, 3] & 15, (p[number, 3] & 0x10) > 0
+    twin = np.flatnonzero((counter[1:] == counter[:-1]) & carries[1:] & carries[:-1]) + 1
+    twin = twin[(p[number[twin]] == p[number[twin - 1]]).all(1)]
+    if len(twin):
+        number, counter, carries = (np.delete(x, twin) for x in (number, counter, carries))
+    q, begin, start = p[number], begin[number], start[number]
+    flags = np.where((q[:, 3] & 0x20 > 0) & (q[:, 4] > 0), q[:, 5], 0)
     jump = (counter[1:] - counter[:-1] - carries[1:]) & 15
-    flagged = (q[:, 3] & 0x20 > 0) & (q[:, 4] > 0) if len(q) else np.zeros(0, bool)
-    access = flagged & (q[:, 5] & 0x40 > 0) & start
+    errors = int(((jump != 0) & (flags[1:] & 0x80 == 0)).sum())
     pes = q[np.arange(PACKET) >= begin[:, None]]
     held = PACKET - begin
     heads = (np.cumsum(held) - held)[start]
-    if len(heads) == 0 or (pes[heads] | pes[heads + 1]).any() or (pes[heads + 2] != 1).any():
+    ends = np.append(heads[1:], len(pes))
+    whole = ends - heads >= 9
+    if not whole.any() or (pes[heads[whole]] | pes[heads[whole] + 1]).any() or (pes[heads[whole] + 2] != 1).any():
         raise ValueError("an elementary packet has no start code")
+    damaged = int((~whole).sum())
+    heads, ends = heads[whole], ends[whole]
     skip = 9 + pes[heads + 8].astype(np.int64)
-    sizes = 6 + (pes[heads + 4].astype(np.int64) << 8 | pes[heads + 5]) - skip
-    ends = np.append(heads[1:], len(pes))
-    if (heads + skip + sizes != ends).any():
-        raise ValueError("an elementary packet's length is wrong")
-    t = pes[heads[:, None] + np.arange(9, 14)].astype(np.int64)
-    pts = (t[:, 0] >> 1 & 7) << 30 | t[:, 1] << 22 | t[:, 2] >> 1 << 15 | t[:, 3] << 7 | t[:, 4] >> 1
-    payload = np.concatenate([pes[a:b] for a, b in zip((heads + skip).tolist(), ends.tolist())])
-    return Stream(payload, program, map_pid, audio, kind, int((jump != 0).sum()), pts, sizes, np.flatnonzero(mine)[access])
+    said = pes[heads + 4].astype(np.int64) << 8 | pes[heads + 5]
+    there = np.maximum(ends - heads - skip, 0)
+    sizes = np.where(said > 0, np.minimum(there, np.maximum(6 + said - skip, 0)), there)
+    damaged += int(((said > 0) & (there != 6 + said - skip)).sum())
+    timed = (pes[heads + 7] & 0x80 > 0) & (ends - heads >= 14)
+    t = pes[np.minimum(heads[:, None] + np.arange(9, 14), len(pes) - 1)].astype(np.int64)
+    pts = np.where(timed, (t[:, 0] >> 1 & 7) << 30 | t[:, 1] << 22 | t[:, 2] >> 1 << 15 | t[:, 3] << 7 | t[:, 4] >> 1, -1)
+    payload = np.concatenate([pes[a : a + n] for a, n in zip((heads + skip).tolist(), sizes.tolist())])
+    return Stream(payload, program, map_pid, audio, kind, errors, damaged, pts, sizes, number[(flags & 0x40 > 0) & start])
 
 
 def feature(s: Stream) -> str:
