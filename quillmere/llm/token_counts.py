@@ -55,7 +55,7 @@ def load(path: str):
             tok.no_truncation()
             tok.no_padding()
             pre = json.loads(tok.to_str()).get("pre_tokenizer") or {}
-            cut = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True))
+            cut = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True)) and not pre.get("add_prefix_space", True) and not json.loads(tok.to_str()).get("normalizer")
             _LOADED[path] = (lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)], cut)
         else:
             import sentencepiece
