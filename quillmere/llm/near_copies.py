@@ -14,9 +14,11 @@ most the number of buckets in which they met and the rest of x. Pairs for which
 are verified on their whole sets. No link is missed.
 
 Any order is right. To keep buckets small, shingles that many texts of a
-sample hold come last. In a bucket of over ``BUCKET`` texts only neighbours are
-paired at first; the rest of its pairs is looked at when it is known which texts
-those links join anyway, as only components are wanted.
+sample hold come last. Buckets of over ``BUCKET`` texts don't emit their pairs. Each of their texts has a bitmap of
+``BITS`` bits, in which a bit is the parity of the shingles that fall on it: two sets differ in at least as many shingles as their
+bitmaps do in bits, so a pair is left out by its bitmaps only if it can't be similar. As only components are wanted, a
+bucket, in parts of ``PART`` texts at most, first gives a spanning forest of pairs that bitmaps allow; these are verified. What is
+still apart then is compared with all of the bucket, part by part, and every pair that bitmaps allow is verified.
 
 Words are what white space parts, ASCII letters in lower case. A text of fewer words is
 one shingle; null and empty texts have the same empty set. Texts of equal sets (by a hash of 64 bits)
@@ -38,6 +40,8 @@ from quillmere.llm.tables import drop_staged, staged
 
 WORDS, SHARE = 5, 0.8
 BUCKET = 64
+#: Bits of a bitmap, most texts of a part of a bucket, and forests that are made over different parts of larger ones.
+BITS, PART, ROUNDS = 1024, 8192, 3
 SEED = 42
 #: One text in so many counts shingles for their order; at most so many shingles are put last.
 SAMPLE, LAST = 16, 1 << 17
@@ -114,12 +118,11 @@ def _prefixes(sets: DataFrame, words: int, share: float) -> DataFrame:
     return found.select("sid", F.col("p.n").alias("n"), F.posexplode("p.h").alias("place", "s")).select("s", "sid", "n", F.col("place").cast("long").alias("place"))
 
 
-def _pairs(share: float, cap: int | None):
-    """Arrow function over rows (s, n, sid, place, root) sorted by s, n.
+def _pairs(share: float, cap: int):
+    """Arrow function over rows (s, n, sid, place) sorted by s, n.
 
-    Gives the pairs (a, b) in a bucket s that may be similar and have different roots, and as s the least number of
-    buckets in which they meet if they are; of one of over ``cap`` rows only neighbours, and its rows
-    (again, as a row s, n, sid = a, place = b).
+    Gives the pairs (a, b) in a bucket s that may be similar, and as s the least number of
+    buckets in which they meet if they are; of a bucket of over ``cap`` rows these (again, as a row s, n, sid = a, place = b).
     """
     names = ["a", "b", "s", "n", "again"]
 
@@ -134,25 +137,25 @@ def _pairs(share: float, cap: int | None):
         return common >= _needed(n[i], n[j], share)
 
     def run(batches):
-        rest = [np.zeros(0, np.int64)] * 5
+        rest = [np.zeros(0, np.int64)] * 4
+        large = None  # the bucket whose rows so far went again
         for batch in _and_end(batches):
             new = rest if batch is None else [np.concatenate((r, batch.column(k).to_numpy(zero_copy_only=False))) for k, r in enumerate(rest)]
-            s = new[0]
-            if not len(s):
-                rest = new
-                continue
-            tail = len(s) if batch is None else int(np.searchsorted(s, s[-1]))
+            s, n, sid, place = new
+            tail = len(s) if batch is None or not len(s) else int(np.searchsorted(s, s[-1]))
+            if len(s) - tail > cap:  # the last bucket is large: what is there of it goes again at once
+                large, tail = s[-1], len(s)
             rest = [x[tail:] for x in new]
-            s, n, sid, place, root = (x[:tail] for x in new)
+            s, n, sid, place = (x[:tail] for x in new)
             if not tail:
                 continue
             edges = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1, [tail]))
             size = np.diff(edges)
-            two = edges[:-1][size == 2]
+            two = edges[:-1][(size == 2) & (s[edges[:-1]] != large if large is not None else True)]
             aa, bb, cc, held = [], [], [], 0
 
             def add(i, j):
-                ok = room(n, place, i, j) & (root[i] != root[j])
+                ok = room(n, place, i, j)
                 x, y = sid[i][ok], sid[j][ok]
                 aa.append(np.minimum(x, y))
                 bb.append(np.maximum(x, y))
@@ -160,11 +163,9 @@ def _pairs(share: float, cap: int | None):
                 return len(x)
 
             add(two, two + 1)
-            for k in np.flatnonzero(size > 2).tolist():
+            for k in np.flatnonzero((size > 2) | (s[edges[:-1]] == large if large is not None else False)).tolist():
                 a, b = int(edges[k]), int(edges[k + 1])
-                if cap is not None and b - a > cap:
-                    i = np.arange(a, b - 1)
-                    held += add(i, i + 1)
+                if b - a > cap or s[a] == large:
                     yield batch_of(sid[a:b], place[a:b], s[a:b], n[a:b])
                     continue
                 for j in range(a + 1, b):
@@ -182,6 +183,79 @@ def _pairs(share: float, cap: int | None):
     return run
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """Parities of how many of the shingles fall on each of ``BITS`` bits."""
+    return np.packbits((np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
+def _may_be(bits: np.ndarray, n: np.ndarray, one: np.ndarray, m: int, share: float) -> np.ndarray:
+    """Whether sets with these bitmaps and sizes may be similar to one of m: of n + m, both hold what is needed twice and the rest once."""
+    apart = np.bitwise_count(bits ^ one).sum(1, dtype=np.int64)
+    return (apart <= n + m - 2 * _needed(n, m, share)) & (np.minimum(n, m) >= share * np.maximum(n, m) - 1e-9)
+
+
+def _groups(batches):
+    """Rows (key, n, sid, root, bits, few) sorted by the key, as arrays of whole groups."""
+    held = None
+    for batch in _and_end(batches):
+        if batch is not None:
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3)]
+            new.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, BITS // 64))
+            new.append(batch.column(5).to_numpy(zero_copy_only=False))
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        if held is None or not len(held[0]):
+            continue
+        key = held[0]
+        end = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
+        edges = np.concatenate(([0], np.flatnonzero(key[1:end] != key[: max(end - 1, 0)]) + 1, [end])) if end else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield [x[a:b] for x in held[1:]]
+        held = [x[end:] for x in held]
+
+
+def _trees(share: float):
+    """Groups of rows to (a, b): a spanning forest of the pairs that bitmaps allow, links between texts of one root left out."""
+
+    def run(batches):
+        for n, sid, root, bits, _ in _groups(batches):
+            aa, bb = [], []
+            left = np.arange(len(n))
+            while len(left):
+                queue, left = [int(left[0])], left[1:]
+                seen = {int(root[queue[0]])}
+                while queue and len(left):
+                    u = queue.pop()
+                    near = (root[left] == root[u]) | _may_be(bits[left], n[left], bits[u], int(n[u]), share)
+                    for v in left[near].tolist():
+                        queue.append(v)
+                        if int(root[v]) not in seen:
+                            seen.add(int(root[v]))
+                            aa.append(min(sid[u], sid[v]))
+                            bb.append(max(sid[u], sid[v]))
+                    left = left[~near]
+            if aa:
+                yield pa.RecordBatch.from_arrays([pa.array(aa, pa.int64()), pa.array(bb, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _apart(share: float):
+    """Groups of rows to (a, b): all pairs of different roots that bitmaps allow, of a row that is ``few`` and any other."""
+
+    def run(batches):
+        for n, sid, root, bits, few in _groups(batches):
+            aa, bb = [], []
+            for k in np.flatnonzero(few).tolist():
+                other = np.flatnonzero((root != root[k]) & (~few | (sid > sid[k])))
+                other = other[_may_be(bits[other], n[other], bits[k], int(n[k]), share)]
+                aa += np.minimum(sid[other], sid[k]).tolist()
+                bb += np.maximum(sid[other], sid[k]).tolist()
+            if aa:
+                yield pa.RecordBatch.from_arrays([pa.array(aa, pa.int64()), pa.array(bb, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _and_end(batches):
     yield from batches
     yield None
@@ -211,37 +285,58 @@ def close_links(sets: DataFrame, words: int = WORDS, share: float = SHARE, most:
     return _verified(same.unionByName(near).distinct(), sets, words, share)
 
 
-def similar_links(sets: DataFrame, words: int = WORDS, share: float = SHARE, cap: int = BUCKET) -> DataFrame:
+def similar_links(sets: DataFrame, words: int = WORDS, share: float = SHARE, cap: int = BUCKET, part: int = PART) -> DataFrame:
     """Links (a, b) whose components are those of all similar pairs of distinct sets (``sid``, text ``__t``)."""
     schema = "a long, b long, s long, n long, again boolean"
-
-    def met(rows, cap):
-        rows = rows.select("s", "n", "sid", "place", "root")
-        return rows.repartition("s").sortWithinPartitions("s", "n", "sid").mapInArrow(_pairs(share, cap), schema)
-
-    def counted(pairs):
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("s").alias("least"))
-
     close = close_links(sets, words, share)
-    first = staged(met(_prefixes(sets, words, share).withColumn("root", F.col("sid")), cap))
-    again = first.where("again")
-    few = staged(counted(first.where("not again")))
+    dealt = _prefixes(sets, words, share).select("s", "n", "sid", "place").repartition("s").sortWithinPartitions("s", "n", "sid")
+    first = staged(dealt.mapInArrow(_pairs(share, cap), schema))
+    again = first.where("again").select("s", "n", F.col("a").alias("sid"))
+    few = first.where("not again").groupBy("a", "b").agg(F.count("*").alias("met"), F.max("s").alias("least"))
     # of a's shingles in large buckets each may be b's as well
-    more = again.groupBy("a").agg(F.count("*").alias("more"))
-    links = few.join(more, "a", "left").where("met + coalesce(more, 0) >= least").join(close, ["a", "b"], "left_anti")
-    links = close.unionByName(_verified(links, sets, words, share))
+    more = again.groupBy(F.col("sid").alias("a")).agg(F.count("*").alias("more"))
+    few = few.join(more, "a", "left").where("met + coalesce(more, 0) >= least").join(close, ["a", "b"], "left_anti")
+    links = close.unionByName(_verified(few, sets, words, share))
     if not again.isEmpty():
-        known = components(links).select(F.col("node").alias("sid"), "root")
-        rows = again.select("s", "n", F.col("a").alias("sid"), F.col("b").alias("place"))
-        rows = rows.join(known, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        rest = counted(met(rows, None)).join(few.select("a", "b", F.col("met").alias("before")), ["a", "b"], "left")
-        links = links.unionByName(_verified(rest.where("met + coalesce(before, 0) >= least"), sets, words, share))
+        links = _of_large_buckets(again, sets, links, words, share, part)
     drop_staged(first)
-    drop_staged(few)
     return links
 
 
-def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: float = SHARE, cap: int = BUCKET) -> DataFrame:
+def _of_large_buckets(again: DataFrame, sets: DataFrame, links: DataFrame, words: int, share: float, part: int) -> DataFrame:
+    """``links`` with those that the large buckets (s, n, sid) add."""
+    ids = again.select("sid").distinct()
+    bits = _with(sets.join(ids, "sid", "left_semi"), "bits", T.BinaryType(), bitmap, words, ["sid"])
+    sizes = again.groupBy("s").agg(F.count("*").alias("size"))
+    parts = F.ceil(F.col("size") / part).cast("long")
+    rows = staged(again.join(bits, "sid").join(sizes, "s").select("s", "n", "sid", "bits", parts.alias("parts")))
+    most = rows.agg(F.max("parts")).first()[0]
+
+    def with_roots(rows):
+        known = components(links).select(F.col("node").alias("sid"), "root")
+        return rows.join(known, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+    def found(rows, key, of):
+        cols = rows.select(key.alias("key"), "n", "sid", "root", "bits", "few")
+        return cols.repartition("key").sortWithinPartitions("key").mapInArrow(of(share), "a long, b long").distinct().join(links, ["a", "b"], "left_anti")
+
+    for k in range(ROUNDS if most > 1 else 1):
+        key = F.xxhash64("s", F.pmod(F.xxhash64(F.lit(k), "sid"), F.col("parts")))
+        links = links.unionByName(_verified(found(with_roots(rows).withColumn("few", F.lit(False)), key, _trees), sets, words, share))
+    # in each bucket, all but the texts of its largest root are compared with all: where there are parts, they go to each
+    held = staged(with_roots(rows))
+    roots = held.groupBy("s", "root").agg(F.count("*").alias("n_root"))
+    main = roots.groupBy("s").agg(F.max(F.struct("n_root", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    open_ = held.join(main.select("s", "main.root").withColumnRenamed("root", "main"), "s").withColumn("few", F.col("root") != F.col("main"))
+    own = F.array(F.pmod(F.xxhash64("sid"), F.col("parts")))
+    spread = open_.withColumn("part", F.explode(F.when(F.col("few"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)))
+    links = links.unionByName(_verified(found(spread, F.xxhash64("s", "part"), _apart), sets, words, share))
+    drop_staged(rows)
+    drop_staged(held)
+    return links
+
+
+def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: float = SHARE, cap: int = BUCKET, part: int = PART) -> DataFrame:
     """All columns of one document of each component: that of the smallest id, null ids last, then of the smallest hash of all columns; of equal rows one stays."""
     names = [free_name(f"__{n}", docs.columns) for n in ("row", "row2", "sid")]
     every = [column(c) for c in docs.columns]
@@ -256,7 +351,7 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     once = F.row_number().over(Window.partitionBy(*map(column, names[:2])).orderBy(column(names[0])))
     place = free_name("__n", held.columns)
     kept = staged(held.withColumn(place, once).where(column(place) == 1).drop(place, *names[:2]))
-    comps = staged(components(similar_links(kept.select(column(names[2]).alias("sid"), column(text_col).alias("__t")), words, share, cap)))
+    comps = staged(components(similar_links(kept.select(column(names[2]).alias("sid"), column(text_col).alias("__t")), words, share, cap, part)))
     ranked = comps.join(low, comps.node == low.sid).select("root", "sid", "low")
     firsts = ranked.groupBy("root").agg(F.min("low").alias("first"))
     gone = ranked.join(firsts, "root").where("low <> first").select(F.col("sid").alias(names[2]))

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from quillmere.llm import near_copies as nc
@@ -49,11 +50,11 @@ def corpus():
     return rows + [(None, rows[10][1]), rows[12], (None, "only one, without an id, of words that stand nowhere else")]
 
 
-@pytest.mark.parametrize("cap", [64, 3])
-def test_one_of_similar_equals_brute_force(spark, cap):
+@pytest.mark.parametrize(("cap", "part"), [(64, 8192), (3, 8192), (2, 7)])
+def test_one_of_similar_equals_brute_force(spark, cap, part):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string")
-    out = nc.one_of_similar(df, cap=cap)
+    out = nc.one_of_similar(df, cap=cap, part=part)
     assert out.columns == df.columns
     want = brute_firsts(rows)
     assert len(want) < len(rows) - 40
@@ -61,6 +62,38 @@ def test_one_of_similar_equals_brute_force(spark, cap):
     assert nc.one_of_similar(df.limit(0)).count() == 0
 
 
+def test_bitmaps_leave_no_similar_pair_out():
+    rng = random.Random(3)
+    for _ in range(300):
+        base = [rng.getrandbits(64) for _ in range(rng.choice((1, 5, 20, 200, 3000)))]
+        x, y = set(base), set(base)
+        for _ in range(rng.randint(0, len(base) // 8 + 1)):
+            y.discard(rng.choice(base))
+            y.add(rng.getrandbits(64)) if rng.random() < 0.5 else None
+        if not y or len(x & y) < 0.8 * len(x | y):
+            continue
+        a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+        bits = [np.frombuffer(nc.bitmap(s), np.uint64) for s in (a, b)]
+        assert nc._may_be(bits[0][None], np.array([len(a)]), bits[1], len(b), 0.8).all()
+
+
+def test_large_group_emits_few_pairs(spark):
+    """Near copies of one text, many of them not similar to each other: pairs stay in proportion to texts."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(150)] = f"x{k}y{rng.randrange(99)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "sid long, __t string")
+    links = nc.similar_links(df)
+    assert links.count() < 4 * len(rows)
+    got = nc.components(links).groupBy("root").count().collect()
+    assert sorted(r["count"] for r in got)[-1] + len(brute_firsts([*rows])) - 1 == 400
+
+
 def test_ties_and_clashing_names(spark):
     rows = [(1, "one two three four five six", 9, "b"), (1, "one two three four five six", 7, "a"), (2, "another text of some words here", 5, "c"), (2, "another text of some words here", 5, "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, __row long, __n string")
