@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.functions.sizes import maybe_broadcast
+from quillmere.functions.tables import staged
+from quillmere.functions.ranges import with_sums_below
 from quillmere.functions.text import hash_tokens
-from quillmere.operators.sparse import top_k
+from quillmere.operators.sparse import counted, top_k
 
 DIM = 1024
 
@@ -17,81 +20,149 @@ def bucket(token: Column, dim: int = DIM) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("long")
 
 
+def hashed(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> DataFrame:
+    """(doc, buckets, values): 1 + ln(tf) of each distinct token and its bucket, counted within the row; buckets may repeat."""
+    tokens = docs.select(F.col(id_col).alias("doc"), counted(hash_tokens(F.col(text_col))).alias("x")).where(F.size("x") > 0)
+    return tokens.select("doc", F.transform("x", lambda x: bucket(x["term"], dim)).alias("buckets"), F.transform("x", lambda x: 1.0 + F.log(x["tf"])).alias("values"))
+
+
 def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> DataFrame:
     """(doc, bucket, w): unit vectors of 1 + ln(tf) per token's bucket; texts without a token have no row."""
-    counts = docs.select(F.col(id_col).alias("doc"), F.explode(hash_tokens(F.col(text_col))).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("tf"))
-    raw = counts.select("doc", bucket(F.col("token"), dim).alias("bucket"), (1.0 + F.log("tf")).alias("v")).groupBy("doc", "bucket").agg(F.sum("v").alias("v"))
+    raw = hashed(docs, id_col, text_col, dim).select("doc", F.inline(F.arrays_zip(F.col("buckets").alias("bucket"), F.col("values").alias("v")))).groupBy("doc", "bucket").agg(F.sum("v").alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc")))
     return raw.select("doc", "bucket", (F.col("v") / norm).alias("w"))
 
 
-def sparse_cosine_topk(docs: DataFrame, queries: DataFrame, k: int, source: DataFrame | None = None) -> DataFrame:
-    """(query, doc, score, rank) of (doc, bucket, w) against queries of the same form; broadcast if their ``source`` table is small."""
-    q = queries.select(F.col("doc").alias("query"), "bucket", F.col("w").alias("qw"))
-    q = maybe_broadcast(q, source) if source is not None else q
-    scored = docs.join(q, "bucket").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
-    return top_k(scored, k, F.desc("score"), F.asc("doc"))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Query vectors of one block of a search.
+BLOCK = 2048
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 where a norm is 0."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+def _blocks(rows: DataFrame, size: int):
+    """Lists of at most ``size`` rows, streamed from a table; one empty list if it has none."""
+    held, some = [], False
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == size:
+            yield held
+            held, some = [], True
+    if held or not some:
+        yield held
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", batch: int = 2048) -> DataFrame:
-    """(query, doc, score, rank) by cosine over all vectors.
+def _searched(rows: DataFrame, queries: DataFrame, k: int, size: int, matrix, parse) -> DataFrame:
+    """(query, doc, score, rank) of the k best rows for each query.
 
-    Queries are broadcast in blocks of ``batch`` vectors (a stated bound: ``batch`` rows of one fixed dimension), each block
-    scored against every vector by one matrix product per Arrow batch that keeps its own k best;
-    those partial lists are then merged.
+    Queries are taken in blocks of ``size`` vectors, each broadcast as one matrix (a stated bound) and scored by a matrix
+    product per Arrow batch; a task hands on the k best it has seen for each query, and these partial lists are merged. No pair of
+    a query and a row is laid out. Where there are several blocks, each one's result is written and its matrix dropped before the next.
     """
     import numpy as np
     import pyarrow as pa
 
-    spark = vectors.sparkSession
-    src = vectors.select(F.col(id_col).cast("long").alias("doc"), F.col(vec_col).cast("array<float>").alias("v"))
-    parts = []
-
-    def blocks():
-        held = []
-        for r in queries.select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).cast("array<float>").alias("v")).toLocalIterator():
-            held.append((r["q"], r["v"]))
-            if len(held) == batch:
-                yield held
-                held = []
-        if held or not parts:
-            yield held
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    for block in blocks():
-        ids = np.array([q for q, _ in block], np.int64)
-        mat = np.array([v for _, v in block], np.float64).reshape(len(block), -1)
-        mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, mat))
+    types = [queries.schema["doc"].dataType, rows.schema["doc"].dataType]
+    kinds = [to_arrow_type(t) for t in types]
+    schema = T.StructType([T.StructField("query", types[0]), T.StructField("doc", types[1]), T.StructField("score", T.DoubleType())])
+    sc, done = rows.sparkSession.sparkContext, []
+    blocks = _blocks(queries, size)
+    block, following = next(blocks), next(blocks, None)
+    while block is not None:
+        shared = sc.broadcast(matrix(block))
 
         def run(batches, shared=shared):
             q_ids, q = shared.value
+            best_s = best_d = None
             for b in batches:
-                n = b.num_rows
-                if not n or not len(q_ids):
+                if not b.num_rows or not len(q_ids):
+                    continue
+                docs, m, there = parse(b)
+                if not len(docs):
                     continue
-                docs = b.column(0).to_numpy()
-                m = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                 s = np.round(q @ m.T, 6)
-                best = np.lexsort((np.broadcast_to(docs, s.shape), -s), axis=1)[:, :k]
-                rows = np.arange(len(q_ids))[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, best.shape[1])), pa.array(docs[best].ravel()), pa.array(s[rows, best].ravel())], names=["query", "doc", "score"])
+                if there is not None:
+                    s = np.where(q.astype(bool).astype(np.float32) @ there.T.astype(np.float32) > 0, s, -np.inf)
+                d = np.broadcast_to(docs, s.shape)
+                if best_s is not None:
+                    s, d = np.hstack((best_s, s)), np.hstack((best_d, d))
+                best = np.lexsort((d, -s), axis=1)[:, :k]
+                line = np.arange(len(q_ids))[:, None]
+                best_s, best_d = s[line, best], d[line, best]
+            if best_s is not None:
+                ok = best_s > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, ok.sum(1)).tolist(), kinds[0]), pa.array(best_d[ok].tolist(), kinds[1]), pa.array(best_s[ok])], names=["query", "doc", "score"])
+
+        found = top_k(rows.mapInArrow(run, schema), k, F.desc("score"), F.asc("doc"))
+        if following is None and not done:
+            return found
+        done.append(staged(found))
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def sparse_cosine_topk(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, dim: int = DIM) -> DataFrame:
+    """(query, doc, score, rank) of hashed vectors (doc, buckets, values) against queries of the same form.
+
+    Only documents that share a bucket with a query are its hits. A batch of documents is one dense block.
+    """
+    import numpy as np
+
+    def dense(ids, buckets, sizes, values):
+        m = np.zeros((len(ids), dim))
+        np.add.at(m, (np.repeat(np.arange(len(ids)), sizes), buckets), values)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def matrix(rows):
+        ids = np.array([r["doc"] for r in rows])
+        sizes = np.array([len(r["buckets"]) for r in rows], np.int64)
+        flat = lambda c, t: np.array([x for r in rows for x in r[c]], t)
+        return ids, dense(ids, flat("buckets", np.int64), sizes, flat("values", float))
+
+    def parse(b):
+        import pyarrow.compute as pc
+
+        ids = np.array(b.column(0).to_pylist())
+        sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+        m = dense(ids, b.column(1).flatten().to_numpy(zero_copy_only=False), sizes, b.column(2).flatten().to_numpy(zero_copy_only=False))
+        return ids, m, m > 0
+
+    cols = ["doc", "buckets", "values"]
+    return _searched(docs.select(*cols).where("doc is not null"), queries.select(*cols).where("doc is not null"), k, block, matrix, parse)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """0 where a norm is 0."""
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", batch: int = BLOCK) -> DataFrame:
+    """(query, doc, score, rank) by cosine over all vectors; null vectors and those of another length than the first query's are no hits, and as queries have none."""
+    import numpy as np
+
+    cols = [F.col(id_col).cast("long").alias("doc"), F.col(vec_col).cast("array<float>").alias("v")]
+    asked = queries.select(*cols).where("v is not null and doc is not null")
+    head = asked.select(F.size("v").alias("n")).first()
+    dim = head["n"] if head else 0
+    whole = f"v is not null and doc is not null and size(v) = {dim} and not exists(v, x -> x is null)"
+
+    def unit(m):
+        m = np.asarray(m, np.float64).reshape(-1, dim) if dim else np.zeros((len(m), 0))
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def matrix(rows):
+        return np.array([r["doc"] for r in rows], np.int64), unit([r["v"] for r in rows])
+
+    def parse(b):
+        return b.column(0).to_numpy(), unit(b.column(1).flatten().to_numpy(zero_copy_only=False)), None
 
-        parts.append(src.mapInArrow(run, "query long, doc long, score double"))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return top_k(scored, k, F.desc("score"), F.asc("doc"))
+    return _searched(vectors.select(*cols).where(whole), asked.where(whole), k, batch, matrix, parse)
 
 
 def adjacent_distance(rows: DataFrame, group: str, order: str, vec: str) -> DataFrame:
@@ -115,16 +186,9 @@ def breakpoints(distances: DataFrame, group: str) -> DataFrame:
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """One row ``auc``: rank sum with mean ranks for ties; null if a class is empty.
 
-    Scores are counted first, so ranks run over distinct values; those are ranked within ranges of equal width
-    whose counts are summed up, not in one sort of all rows.
+    Scores are counted first, so ranks run over distinct values (``with_sums_below``).
     """
     counts = scored.where(f"{score} is not null and {label} is not null").groupBy(F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    lo_hi = counts.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 999)).otherwise(F.lit(0))
-    cut = counts.crossJoin(F.broadcast(lo_hi)).withColumn("part", part)
-    sums = cut.groupBy("part").agg(F.sum("n").alias("pn"))
-    offset = sums.select("part", F.coalesce(F.sum("pn").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cut.join(F.broadcast(offset), "part").withColumn("mean_rank", F.col("below") + within + (F.col("n") + 1) / 2)
+    ranked = with_sums_below(counts, "s", ["n"]).withColumn("mean_rank", F.col("n_below") + (F.col("n") + 1) / 2)
     got = ranked.agg(F.sum(F.col("mean_rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return got.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")), 6)).alias("auc"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmere.functions.ranges import with_sums_below
+
 KS = (5, 10, 20)
 # Categories and splits of a qrels table.
 CATEGORIES = ["exact", "semantic", "mixed", "multi_hop", "unanswerable"]
@@ -32,20 +34,25 @@ def required_stages(stages) -> set[str]:
 def find_contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """(needle, doc) where a needle (needle, needle_text) is a substring of a text (doc, text).
 
-    Each needle is looked up by its longest inner word, which any text that holds the needle has
-    as a whole word too: an equi-join, verified by the substring test. Needles of under three words
-    have no inner word and are compared with every text, in a join that Catalyst picks.
+    A needle without a word is found nowhere. Each other is looked up by its longest inner word, which any text that holds the needle has
+    as a whole word too. A needle of one or two words has no inner word: the distinct words of all texts that hold it, or
+    end as its first word does, are found, and texts are looked up by those. Either way ids are joined by equal words first, and
+    texts are brought back once, to verify the pairs.
     """
     word = r"[^ \n\t]+"
-    words = F.regexp_extract_all("needle_text", F.lit(word), F.lit(0))
-    keyed = needles.withColumn("ws", words).withColumn("inner", F.slice("ws", 2, F.greatest(F.size("ws") - 2, F.lit(0))))
-    key = F.element_at(F.array_sort(F.transform("inner", lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
-    long = keyed.where("size(ws) > 2").select("needle", "needle_text", key.alias("key"))
-    tokens = texts.select("doc", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("key"))
-    found = tokens.join(long, "key").where(F.contains("text", "needle_text")).select("needle", "doc")
-    short = keyed.where("size(ws) <= 2 and length(needle_text) > 0").select("needle", "needle_text")
-    loop = texts.join(short, F.contains(texts.text, short.needle_text)).select("needle", "doc")
-    return found.unionByName(loop)
+    needles = needles.where("length(needle_text) > 0")
+    keyed = needles.withColumn("ws", F.regexp_extract_all("needle_text", F.lit(word), F.lit(0)))
+    inner = F.slice("ws", 2, F.greatest(F.size("ws") - 2, F.lit(0)))
+    key = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
+    words = texts.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("key"))
+    pairs = words.join(keyed.where("size(ws) > 2").select("needle", key.alias("key")), "key").select("needle", "doc")
+    short = keyed.where("size(ws) between 1 and 2").select("needle", F.element_at("ws", 1).alias("head"), (F.size("ws") == 1).alias("one"), F.expr("not startswith(needle_text, ws[0])").alias("led"))
+    fits = F.when(F.col("led") & F.col("one"), F.startswith("key", "head")).when(F.col("one"), F.contains("key", "head")).when(F.col("led"), F.col("key") == F.col("head")).otherwise(F.endswith("key", "head"))
+    some = words.select("key").distinct().join(short, fits).select("needle", "key")
+    blank = keyed.where("size(ws) = 0").select("needle").join(texts.select("doc").where("text rlike '[ \\\\n\\\\t]'"), F.lit(True)) if False else None
+    pairs = pairs.unionByName(words.join(some, "key").select("needle", "doc")).distinct()
+    both = pairs.join(needles.select("needle", "needle_text"), "needle").join(texts.select("doc", "text"), "doc")
+    return both.where(F.contains("text", "needle_text")).select("needle", "doc")
 
 
 def query_scores(hits: DataFrame, gold: DataFrame, queries: DataFrame, ks=KS) -> DataFrame:
@@ -95,19 +102,24 @@ def summarize_scores(scores: DataFrame, ks=KS) -> DataFrame:
 
 
 def distribution(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Per group n, min, p25, p50, p75 and max, each the value at place min(floor(n p), n - 1) of the sorted ones."""
-    w = Window.partitionBy(group).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"), (F.row_number().over(w) - 1).alias("at"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    pick = lambda p: F.max(F.when(F.col("at") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("v")))
-    return ranked.groupBy(group).agg(F.max("n").cast("long").alias("n"), F.min("v").alias("min"), pick(0.25).alias("p25"), pick(0.5).alias("p50"), pick(0.75).alias("p75"), F.max("v").alias("max"))
+    """Per group n, min, p25, p50, p75 and max, each the value at place min(floor(n p), n - 1) of the sorted ones; values are counted first."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("m"))
+    sizes = counts.groupBy(group).agg(F.sum("m").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
+    ranked = with_sums_below(counts, "v", ["m"], [group]).join(sizes.select(group, "n"), group)
+
+    def pick(p):
+        at = F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+        return F.max(F.when((F.col("m_below") <= at) & (at < F.col("m_below") + F.col("m")), F.col("v")))
+
+    mid = ranked.groupBy(group).agg(pick(0.25).alias("p25"), pick(0.5).alias("p50"), pick(0.75).alias("p75"))
+    return sizes.join(mid, group).select(group, F.col("n").cast("long").alias("n"), "min", "p25", "p50", "p75", "max")
 
 
 def abstention_sweep(rows: DataFrame) -> DataFrame:
     """For each score as a threshold, unanswerable queries below it (caught) and others (wrong). ``rows`` (answerable, score)."""
     counts = rows.where("score is not null").groupBy("score").agg(F.count_if(~F.col("answerable")).alias("neg"), F.count_if("answerable").alias("pos"))
-    before = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
-    return counts.select(F.col("score").alias("threshold"), below("neg").alias("caught"), below("pos").alias("wrong"))
+    below = with_sums_below(counts, "score", ["neg", "pos"])
+    return below.select(F.col("score").alias("threshold"), F.col("neg_below").cast("long").alias("caught"), F.col("pos_below").cast("long").alias("wrong"))
 
 
 def abstention_best(rows: DataFrame) -> DataFrame:
@@ -121,7 +133,10 @@ def abstention_best(rows: DataFrame) -> DataFrame:
 def gap_split(rows: DataFrame) -> DataFrame:
     """One row: hit rate of the lower floor(n/2) gaps and of the rest; none with under six rows. ``rows`` (query, gap, hit)."""
     ok = rows.where("gap is not null and hit is not null")
-    ranked = ok.withColumn("at", F.row_number().over(Window.orderBy("gap", "query"))).crossJoin(ok.agg(F.count("*").alias("n")))
+    counts = ok.groupBy("gap").agg(F.count("*").alias("m"))
+    n = ok.agg(F.count("*").alias("n"))
+    tied = F.row_number().over(Window.partitionBy("gap").orderBy("query"))
+    ranked = ok.join(with_sums_below(counts, "gap", ["m"]), "gap").withColumn("at", F.col("m_below") + tied).crossJoin(F.broadcast(n))
     low = F.col("at") <= F.floor(F.col("n") / 2)
     rate = lambda c: F.round(F.avg(F.when(c, F.col("hit"))), 4)
     out = ranked.agg(

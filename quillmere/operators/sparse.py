@@ -15,12 +15,24 @@ def with_terms(docs: DataFrame, id_col: str, text_col: str, terms=analyze) -> Da
     return docs.select(F.col(id_col).alias("doc"), terms(F.col(text_col)).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
 
 
+def counted(terms: Column) -> Column:
+    """(term, tf) of an array's values, counted within the row: the sorted array's runs, each as long as it is to the next one's start."""
+
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, F.greatest(i - 1, F.lit(1)))))
+        ends = F.concat(F.slice(starts, 2, n), F.array(n + 1))
+        found = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct(F.element_at(ordered, x["a"]).alias("term"), (x["b"] - x["a"]).cast("long").alias("tf")))
+        return F.when(n > 0, found).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    # as a variable, so that it is sorted once a row
+    return F.element_at(F.transform(F.array(F.array_sort(terms)), runs), 1)
+
+
 def term_frequencies(termed: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(doc, dl, term, tf); with ``only`` (term) just for its terms, which are filtered before the grouping."""
-    rows = termed.select("doc", "dl", F.explode("terms").alias("term"))
-    if only is not None:
-        rows = rows.join(only, "term", "left_semi")
-    return rows.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    """(doc, dl, term, tf), counted within each document's row, so nothing is shuffled; with ``only`` (term) just for its terms."""
+    rows = termed.select("doc", "dl", F.inline(counted(F.col("terms"))))
+    return rows if only is None else rows.join(only, "term", "left_semi").select("doc", "dl", "term", "tf")
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -48,18 +60,26 @@ def postings(tf: DataFrame, stats: DataFrame, p: Bm25Params = Bm25Params(), doc_
     return tf.crossJoin(F.broadcast(stats)).select("doc", "term", "tf", w.alias("weight"))
 
 
+#: Characters of the prefixes in which terms are ranked, one within the other.
+PREFIXES = (1, 2, 4)
+
+
 def vocabulary(df: DataFrame) -> DataFrame:
     """(term, term_id, df, cf): dense ids in term order, without sorting all terms in one task.
 
-    Terms are ranked within their first two characters; only the counts of those prefixes are
-    summed up in one place.
+    Terms are ranked within their first four characters, these within their first two, these within their first one; only the counts of
+    first characters, of which there are no more than characters, are summed up in one place.
     """
-    keyed = df.withColumn("prefix", F.substring("term", 1, 2))
-    sizes = keyed.groupBy("prefix").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("prefix", before.alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("prefix").orderBy("term"))
-    return keyed.join(offsets, "prefix").select("term", (F.col("offset") + rank - 1).cast("long").alias("term_id"), "df", "cf")
+    keyed = df.select("*", *[F.substring("term", 1, n).alias(f"p{n}") for n in PREFIXES])
+    names = [f"p{n}" for n in PREFIXES]
+    offset, sizes = None, keyed.groupBy(*names).agg(F.count("*").alias("n"))
+    for k, name in enumerate(names):
+        level = sizes.groupBy(*names[: k + 1]).agg(F.sum("n").alias("n"))
+        window = Window.partitionBy(*names[:k]).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        own = level.select(*names[: k + 1], F.coalesce(F.sum("n").over(window), F.lit(0)).alias("below"))
+        offset = own if offset is None else own.join(offset.withColumnRenamed("below", "outer"), names[:k]).select(*names[: k + 1], (F.col("below") + F.col("outer")).alias("below"))
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy("term"))
+    return keyed.join(offset, names).select("term", (F.col("below") + rank - 1).cast("long").alias("term_id"), "df", "cf")
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str, terms=analyze) -> DataFrame:
@@ -81,30 +101,54 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query") -> DataF
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _parts(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, p: Bm25Params, terms) -> tuple[DataFrame, DataFrame]:
+    """(doc, term, weight) of the queries' terms, dealt by document, and (query, term, qw).
+
+    Documents are analysed once: each also gives a row without a term that holds its length, and what the
+    statistics, the document frequencies and the postings read is one exchange by document. Only terms of the queries get there.
+    """
+    qt = query_terms(queries, query_id, query_text, terms)
+    wanted = maybe_broadcast(qt.select("term").distinct(), queries).withColumn("known", F.lit(True))
+    termed = docs.select(F.col(doc_id).alias("doc"), terms(F.col(doc_text)).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
+    length = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("dl").alias("tf")))
+    rows = termed.select("doc", "dl", F.inline(F.concat(length, counted(F.col("terms")))))
+    rows = rows.join(wanted, "term", "left").where("term is null or known").select("doc", "dl", "term", "tf").repartition("doc")
+    stats = rows.where("term is null").agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    tf = rows.where("term is not null")
+    q = qt.join(document_frequencies(tf), "term").crossJoin(F.broadcast(stats)).select("query", "term", (idf(F.col("n_docs"), F.col("df")) * F.col("qtf")).alias("qw"))
+    return postings(tf, stats, p), q
+
+
 def bm25_scores(
     docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text",
     p: Bm25Params = Bm25Params(), terms=analyze,
 ) -> DataFrame:
-    """(query, doc, score, matched): every document that shares a term with a query.
+    """(query, doc, score): every document that shares a term with a query.
 
-    Only terms of the queries are grouped, so postings of the rest never move. A small table of queries is broadcast,
-    so that neither tokens nor postings are dealt by term; a large one is joined by term.
+    A small table of queries is broadcast, so that neither tokens nor postings are dealt by term, and scores are summed where a
+    document's postings are; a large one is joined by term.
     """
-    qt = query_terms(queries, query_id, query_text, terms)
-    termed = with_terms(docs, doc_id, doc_text, terms)
-    stats = corpus_stats(termed)
-    tf = term_frequencies(termed, maybe_broadcast(qt.select("term").distinct(), queries))
-    df = document_frequencies(tf)
-    q = qt.join(df, "term").crossJoin(F.broadcast(stats)).select("query", "term", (idf(F.col("n_docs"), F.col("df")) * F.col("qtf")).alias("qw"))
-    hits = postings(tf, stats, p).join(maybe_broadcast(q, queries), "term")
-    return hits.groupBy("query", "doc").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"), F.array_sort(F.collect_list("term")).alias("matched")).where("score > 0")
+    posted, q = _parts(docs, queries, doc_id, doc_text, query_id, query_text, p, terms)
+    hits = posted.join(maybe_broadcast(q, queries), "term")
+    return hits.groupBy("query", "doc").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score")).where("score > 0")
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, **options) -> DataFrame:
-    """(query, doc, score, matched, rank): best first, ties by document."""
+    """(query, doc, score, rank): best first, ties by document."""
     return top_k(bm25_scores(docs, queries, **options), k, F.desc("score"), F.asc("doc"))
 
 
+def with_matched(
+    hits: DataFrame, docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text", terms=analyze
+) -> DataFrame:
+    """Hits (query, doc, ...) with ``matched``: the terms that each has in common with its query, in order; found for these hits only."""
+    ask = queries.select(F.col(query_id).alias("query"), F.array_distinct(terms(F.col(query_text))).alias("__asked"))
+    own = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("__text")).join(hits.select("doc").distinct(), "doc", "left_semi")
+    own = own.select("doc", F.array_distinct(terms(F.col("__text"))).alias("__own"))
+    both = hits.join(maybe_broadcast(ask, queries), "query").join(own, "doc")
+    return both.withColumn("matched", F.array_sort(F.array_intersect("__asked", "__own"))).drop("__asked", "__own")
+
+
 def sparse_export(posting: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc, vector): each document's (term_id, weight) pairs in id order."""
     return posting.join(vocab.select("term", "term_id"), "term").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("vector"))

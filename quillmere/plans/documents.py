@@ -77,15 +77,39 @@ def q_toc_flag(spark, sf):
     return docs(spark, sf).select("doc_id", tx.is_toc(F.col("text")).alias("toc"))
 
 
-@query(r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]\[]+)\]\([^)\s]*\)', '\1', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s+', ' ', 'g')) as text from (select doc_id, replace(replace(text, '*', ''), '_', '') as text from documents)")
+@query(r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]\[]+)\]\([^)\s]*\)', '\1', 'g'), '(?s)\*{1,3}(\S|\S.*?\S)\*{1,3}', '\1', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s+', ' ', 'g')) as text from (select doc_id, '[a **link** of](https://x/' || doc_id || ') , *' || source || '* then **' || text || '** 2 * 3 * 4' as text from documents)")
 def q_metric_normalize(spark, sf):
-    """Gold-matching text of documents without emphasis marks (paired marks need look-around, which the SQL lacks)."""
-    return docs(spark, sf).select("doc_id", tx.metric_text(F.replace(F.replace("text", F.lit("*"), F.lit("")), F.lit("_"), F.lit(""))).alias("text"))
+    """Gold-matching text of documents within a link and star emphasis (marks of the other kinds need look-around, which the SQL lacks: q_metric_emphasis)."""
+    marked = F.concat(F.lit("[a **link** of](https://x/"), "doc_id", F.lit(") , *"), "source", F.lit("* then **"), "text", F.lit("** 2 * 3 * 4"))
+    return docs(spark, sf).select("doc_id", tx.metric_text(marked).alias("text"))
 
 
-@query(r"select doc_id, trim(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '\.{4,}\s*\d+\s*$|^\s*[0-9A-Z]+(\.[0-9]+)+\.?\s+\S.*\s+\d+\s*$') and not regexp_matches(x, '^\s*\d{1,4}\s*$') and not regexp_matches(x, '^\s*!\[[^\]]*\]\([^)]*\)\s*$')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) as text from documents")
+#: Texts and what they become by the rules for gold matching.
+_EMPHASIS = [
+    ("**Context** refers to the set of tokens.", "Context refers to the set of tokens."), ("__bold__ and _it_", "bold and it"), ("`code_span` here", "code_span here"), ("use snake_case_names and doc_a here", "use snake_case_names and doc_a here"),
+    ("x * 2 * y", "x * 2 * y"), ("multi\nline   text", "multi line text"), ("a [simple definition](https://x/y) for agents", "a simple definition for agents"), ("see [**Managed Agents**](https://x) here", "see Managed Agents here"),
+    ("Agents , on the other hand", "Agents, on the other hand"), ("**_both_** and `*star*`", "_both_ and *star*"), ("", ""), ("_a_ _b_ _c_", "a b c"), ("été_x_ _ü_", "été_x_ ü"),
+]
+
+
+@query("select * from (values " + ", ".join(f"({k}::int, '{b}')" for k, (_, b) in enumerate(_EMPHASIS)) + ") t(id, text)")
+def q_metric_emphasis(spark, sf):
+    rows = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(_EMPHASIS)], "id int, raw string")
+    return rows.select("id", tx.metric_text(F.col("raw")).alias("text"))
+
+
+_NOISY = "'<!-- Image -->' || chr(10) || '![a chart](b.png)  ' || chr(10) || '1.1. ' || source || ' ..... ' || doc_id || chr(10) || '. . . . . . . chapter' || chr(10) || '  12 ' || chr(10) || '# ' || source || chr(10) || '2.1 Part 7' || chr(10) || text || chr(10) || chr(10) || '   ' || chr(10) || '…………··········' || chr(10) || 'end .. 3'"
+
+
+@query(
+    f"with l as (select doc_id, list_transform(string_split({_NOISY}, chr(10)), lambda x: rtrim(x, ' ' || chr(9))) as ls from documents), k as (select doc_id, list_filter(ls, lambda x: not (trim(x) = '<!-- Image -->' or regexp_matches(ltrim(x), '^[\\s.·…]{{10}}') or (regexp_matches(ltrim(x), '[.][.][.]\\s*[0-9]+$') and regexp_matches(ltrim(x), '^.{{0,80}}[.]{{3,}}\\s*[0-9]+$')) or (length(trim(x)) between 1 and 4 and regexp_full_match(trim(x), '[0-9]+')))) as ls from l) "
+    "select doc_id, trim(regexp_replace(array_to_string(ls, chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) as text from k"
+)
 def q_markdown_line_clean(spark, sf):
-    return docs(spark, sf).select("doc_id", tx.clean_markdown_lines(F.col("text")).alias("text"))
+    """Documents within lines of each kind that the cleaning drops, and such as look alike and stay."""
+    lines = ["<!-- Image -->", "![a chart](b.png)  ", ("1.1. ", "source", " ..... ", "doc_id"), ". . . . . . . chapter", "  12 ", ("# ", "source"), "2.1 Part 7", ("", "text"), "", "   ", "…………··········", "end .. 3"]
+    cols = [F.lit(x) if isinstance(x, str) else F.concat(*[F.col(v) if k % 2 else F.lit(v) for k, v in enumerate(x)]) for x in lines]
+    return docs(spark, sf).select("doc_id", tx.clean_markdown_lines(F.concat_ws("\n", *cols)).alias("text"))
 
 
 @query("with c as (select doc_id, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) as z, len(regexp_extract_all(text, '[A-Za-z]')) as l from documents) select doc_id, case when greatest(z, l) = 0 then 'unknown' when least(z, l) > greatest(z, l) * 0.15 then 'mixed' when z > l then 'zh' else 'en' end as language from c")

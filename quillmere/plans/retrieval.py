@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as tx
+from quillmere.functions.tables import staged
 from quillmere.operators import context as ctx
 from quillmere.operators import dense as de
 from quillmere.operators import evaluate as ev
@@ -115,12 +116,12 @@ def sparse_list(spark, sf, k: int = DEPTH) -> DataFrame:
 
 def dense_list(spark, sf, k: int = DEPTH) -> DataFrame:
     d, b = docs(spark, sf), bench(spark, sf)
-    return de.sparse_cosine_topk(de.hash_embedding(d, "doc_id", "text"), de.hash_embedding(b, "item_id", "text"), k, b)
+    return de.sparse_cosine_topk(de.hashed(d, "doc_id", "text"), de.hashed(b, "item_id", "text"), k)
 
 
 def lists(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Both channels' ranked lists, kept for the stages made from them: at most DEPTH rows per query."""
-    return dense_list(spark, sf).persist(), sparse_list(spark, sf).persist()
+    """Both channels' ranked lists, written for the stages made from them: at most DEPTH rows per query."""
+    return staged(dense_list(spark, sf)), staged(sparse_list(spark, sf))
 
 
 def texts(spark, sf):
@@ -157,9 +158,9 @@ def scores(spark, sf) -> DataFrame:
 
 def top_rows(spark, sf) -> DataFrame:
     """(query, answerable, top_score, gap, hit) of the dense channel."""
-    d = dense_list(spark, sf).persist()
-    answers = gold(spark, sf).select("query").distinct().withColumn("answerable", F.lit(True))
-    per = ev.query_scores(d.withColumn("stage", F.lit("dense")), gold(spark, sf), bench(spark, sf).select(F.col("item_id").alias("query"))).select("query", F.col("hit_5").alias("hit"))
+    d, g = staged(dense_list(spark, sf)), staged(gold(spark, sf))
+    answers = g.select("query").distinct().withColumn("answerable", F.lit(True))
+    per = ev.query_scores(d.withColumn("stage", F.lit("dense")), g, bench(spark, sf).select(F.col("item_id").alias("query"))).select("query", F.col("hit_5").alias("hit"))
     return hy.margin(d).join(answers, "query", "left").join(per, "query").select("query", F.coalesce("answerable", F.lit(False)).alias("answerable"), "top_score", "gap", "hit")
 
 
@@ -199,7 +200,7 @@ def q_bm25_topk(spark, sf):
 
 @query(f"with {_BM25} select query, doc, matched from sparse where rank <= 5")
 def q_matched_terms(spark, sf):
-    return sparse_list(spark, sf, 5).select("query", "doc", F.array_join("matched", " ").alias("matched"))
+    return sp.with_matched(sparse_list(spark, sf, 5), docs(spark, sf), bench(spark, sf)).select("query", "doc", F.array_join("matched", " ").alias("matched"))
 
 
 @query(f"with {_TOKENS} select query, term, qtf from qt where term in (select term from df)")
@@ -386,13 +387,12 @@ def q_pool_invariant(spark, sf):
     return ev.not_in_pools(hy.rrf(d, s, limit=DEPTH), d, s).select("query", "doc")
 
 
-@query(f"with {_GOLD} select stage, query, 1.0::double as hit_5, 1.0::double as mrr_5, 1.0::double as ndcg_5 from (select distinct 'stub' as stage, query from gold) where query in (select query from gold group by query having count(*) <= 5)")
+@query(f"with {_GOLD}, n as (select query, count(distinct doc) as n from gold group by query) select 'stub' as stage, query, 1.0::double as hit_5, 1.0::double as mrr_5, 1.0::double as ndcg_5, round(least(n, 5)::double / n, 6) as recall_5, round(least(n, 20)::double / n, 6) as recall_20, 1.0::double as precision_5 from n")
 def q_stub_perfect(spark, sf):
-    """A retriever that returns the gold must score 1 everywhere."""
-    g = gold(spark, sf).persist()
+    """A retriever that returns the gold scores 1 everywhere, but for the recall of queries with more gold than k."""
+    g = staged(gold(spark, sf))
     hits = sp.top_k(g.withColumn("stage", F.lit("stub")), 1 << 30, F.asc("doc"))
-    few = g.groupBy("query").count().where("count <= 5").select("query")
-    return ev.query_scores(hits, g, few).select("stage", "query", "hit_5", "mrr_5", "ndcg_5")
+    return ev.query_scores(hits, g, g.select("query").distinct()).select("stage", "query", "hit_5", "mrr_5", "ndcg_5", "recall_5", "recall_20", "precision_5")
 
 
 @query(f"with {_scores()} select stage, round(avg(recall_5), 4) as recall_5, round(avg(recall_10), 4) as recall_10, round(avg(mrr_20), 4) as mrr_20 from scores where stage in ('rrf', 'rerank') group by stage")
