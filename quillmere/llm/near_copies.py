@@ -305,34 +305,32 @@ def similar_links(sets: DataFrame, words: int = WORDS, share: float = SHARE, cap
 
 def _of_large_buckets(again: DataFrame, sets: DataFrame, links: DataFrame, words: int, share: float, part: int) -> DataFrame:
     """``links`` with those that the large buckets (s, n, sid) add."""
-    ids = again.select("sid").distinct()
-    bits = _with(sets.join(ids, "sid", "left_semi"), "bits", T.BinaryType(), bitmap, words, ["sid"])
-    sizes = again.groupBy("s").agg(F.count("*").alias("size"))
-    parts = F.ceil(F.col("size") / part).cast("long")
-    rows = staged(again.join(bits, "sid").join(sizes, "s").select("s", "n", "sid", "bits", parts.alias("parts")))
-    most = rows.agg(F.max("parts")).first()[0]
-
-    def with_roots(rows):
+    bits = staged(_with(sets.join(again.select("sid").distinct(), "sid", "left_semi"), "bits", T.BinaryType(), bitmap, words, ["sid"]))
+    sizes = staged(again.groupBy("s").agg(F.ceil(F.count("*") / part).cast("long").alias("parts")))
+    most = sizes.agg(F.max("parts")).first()[0]
+
+    def rooted():
+        """Rows of buckets with more than one root; each row's root, and the root of most of its bucket's rows."""
         known = components(links).select(F.col("node").alias("sid"), "root")
-        return rows.join(known, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        rows = again.join(known, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        roots = rows.groupBy("s", "root").agg(F.count("*").alias("n_root")).groupBy("s").agg(F.max(F.struct("n_root", "root")).alias("main"), F.count("*").alias("kinds"))
+        return rows.join(roots.where("kinds > 1").select("s", F.col("main.root").alias("main")), "s").join(sizes, "s")
 
-    def found(rows, key, of):
-        cols = rows.select(key.alias("key"), "n", "sid", "root", "bits", "few")
+    def found(rows, key, few, of):
+        # bitmaps are brought to the rows last, so that they are shuffled once
+        cols = rows.select("sid", key.alias("key"), "n", "root", few.alias("few")).join(bits, "sid").select("key", "n", "sid", "root", "bits", "few")
         return cols.repartition("key").sortWithinPartitions("key").mapInArrow(of(share), "a long, b long").distinct().join(links, ["a", "b"], "left_anti")
 
     for k in range(ROUNDS if most > 1 else 1):
         key = F.xxhash64("s", F.pmod(F.xxhash64(F.lit(k), "sid"), F.col("parts")))
-        links = links.unionByName(_verified(found(with_roots(rows).withColumn("few", F.lit(False)), key, _trees), sets, words, share))
+        links = links.unionByName(_verified(found(rooted(), key, F.lit(False), _trees), sets, words, share))
     # in each bucket, all but the texts of its largest root are compared with all: where there are parts, they go to each
-    held = staged(with_roots(rows))
-    roots = held.groupBy("s", "root").agg(F.count("*").alias("n_root"))
-    main = roots.groupBy("s").agg(F.max(F.struct("n_root", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    open_ = held.join(main.select("s", "main.root").withColumnRenamed("root", "main"), "s").withColumn("few", F.col("root") != F.col("main"))
+    few = F.col("root") != F.col("main")
     own = F.array(F.pmod(F.xxhash64("sid"), F.col("parts")))
-    spread = open_.withColumn("part", F.explode(F.when(F.col("few"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)))
-    links = links.unionByName(_verified(found(spread, F.xxhash64("s", "part"), _apart), sets, words, share))
-    drop_staged(rows)
-    drop_staged(held)
+    spread = rooted().withColumn("part", F.explode(F.when(few, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)))
+    links = links.unionByName(_verified(found(spread, F.xxhash64("s", "part"), few, _apart), sets, words, share))
+    drop_staged(bits)
+    drop_staged(sizes)
     return links
 
 
