@@ -22,7 +22,10 @@ _OUT = frozenset("script style noscript template nav footer aside form button se
 _BLOCK = frozenset("html body address article blockquote details div dl dd dt fieldset figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section table ul tr td th figcaption caption".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Class names that tell a code language by themselves.
-_LANGUAGES = frozenset("python bash shell json yaml javascript typescript java go rust sql c cpp html css xml".split())
+_LANGUAGES = {
+    "python", "py", "javascript", "js", "typescript", "ts", "java", "go", "rust", "c", "cpp", "csharp", "ruby", "php", "swift", "kotlin", "scala", "bash", "sh", "shell", "zsh", "powershell", "sql",
+    "json", "yaml", "yml", "toml", "ini", "xml", "html", "css", "scss", "markdown", "md", "dockerfile", "makefile", "nginx", "text", "plaintext", "diff", "patch",
+}
 MAX_LINKS, MAX_LINK_TEXT = 20, 200
 
 BLOCK_TYPE = T.ArrayType(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as tx
+from quillmere.functions.tables import staged
 from quillmere.operators import blocks as bl
 from quillmere.operators import chunk as ch
 from quillmere.operators import evaluate as ev
@@ -129,7 +132,13 @@ def q_metadata_prefix(spark, sf):
     return ch.metadata_prefixes(rows, "artifact", "ord", "heading").select("artifact", "ord", "prefix")
 
 
-@query()
+@query(
+    f"with recursive {_LINES}, t as (select artifact, row_number() over w as i, ord, length(text) as size, (length(text) % 97) / 97.0::double as dist, sum(length(text)) over w as cum, count(*) over (partition by artifact) as n from lines where text <> '' window w as (partition by artifact order by ord)), "
+    "e as (select t.artifact, t.i, t.n, max(u.i) as last, max(u.cum) as cum from t join t u on u.artifact = t.artifact and u.i between t.i and t.i + 1200 and (u.i = t.i or u.cum - t.cum + t.size <= 1200) group by t.artifact, t.i, t.n), "
+    "c as (select e.artifact, e.i, case when e.last = e.n then e.n else coalesce(max_by(u.i, u.dist * 1e6 + u.i * 1e-3) filter (u.i > e.i), e.last) end as cut from e join t u on u.artifact = e.artifact and u.i between e.i and e.last and (u.i = e.i or e.cum - u.cum <= 400) group by e.artifact, e.i, e.n, e.last), "
+    "walk as (select artifact, i, cut, 0 as chunk from c where i = 1 union all select c.artifact, c.i, c.cut, w.chunk + 1 from walk w join c on c.artifact = w.artifact and c.i = w.cut + 1) "
+    "select w.artifact, w.chunk::int as chunk, a.ord::bigint as first, b.ord::bigint as last from walk w join t a on a.artifact = w.artifact and a.i = w.i join t b on b.artifact = w.artifact and b.i = w.cut"
+)
 def q_length_cuts(spark, sf):
     """Length-first cuts with the choice within a back window; distances are the change in line length."""
     rows = bl.line_blocks(docs(spark, sf)).where("text <> ''").withColumn("distance", (F.length("text") % 97) / 97.0)
@@ -211,7 +220,18 @@ def q_source_name(spark, sf):
     return pages(spark, sf).select("page_id", ix.source_name(none, none, F.col("url")).alias("file_name"))
 
 
-@query()
+_UNESCAPED = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+
+
+def _plain(x: str) -> str:
+    return "trim(regexp_replace(" + _UNESCAPED.format(f"regexp_replace(regexp_replace({x}, '<br>', chr(10), 'g'), '<[^>]*>', '', 'g')") + ", '\\s+', ' ', 'g'))"
+
+
+@query(
+    "with a as (select page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as body from pages), h as (select page_id, url, " + _plain("regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1)") + " as title, string_split(regexp_extract(body, '(?s)</h1>(.*)$', 1), '<p>') as ps from a), "
+    "p as (select page_id, url, title, k, " + _plain("ps[k]") + " as text from (select *, unnest(range(1, len(ps) + 1)) as k from h)), r as (select page_id, url, 0 as k, 'heading' as type, title as text, 1 as level, '' as section from h where title <> '' union all select page_id, url, k, 'text', text, null, title from p where text <> '') "
+    "select page_id as artifact, row_number() over (partition by page_id order by k)::int as ord, type, text, level::int as level, section, url from r"
+)
 def q_html_blocks(spark, sf):
     b = ph.html_blocks(pages(spark, sf))
     return b.select("artifact", "ord", "type", "text", "level", F.array_join("section_path", " > ").alias("section"), "url")
@@ -222,7 +242,11 @@ def q_html_title(spark, sf):
     return pages(spark, sf).select("page_id", ph.page_title(F.col("html")).alias("title"))
 
 
-@query()
+@query(
+    "with t as (select page_id, url, html, nullif(trim(" + _UNESCAPED.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + "), '') as title, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.|\\.\\w+$', '', 'g') as site from pages), "
+    "s as (select *, regexp_extract(title, '(?s)^(.*)\\s+[|\\-–—·]\\s+(.{1,40})$', 1) as head, lower(regexp_replace(regexp_extract(title, '(?s)^(.*)\\s+[|\\-–—·]\\s+(.{1,40})$', 2), '\\W', '', 'g')) as tail, lower(regexp_replace(site, '\\W', '', 'g')) as name from t) "
+    "select page_id, coalesce(case when tail <> '' and name <> '' and (contains(tail, name) or contains(name, tail)) and length(head) >= 4 then head else title end, nullif(" + _plain("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)") + ", '')) as title, null::varchar as author, null::varchar as date, site as sitename, url from s"
+)
 def q_page_metadata(spark, sf):
     return ph.page_metadata(pages(spark, sf))
 
@@ -281,6 +305,22 @@ p as (select artifact, i, n, len, text, 0 as k, n as open from t where i = 1 uni
 c as (select artifact, row_number() over (partition by artifact order by k) as number, sum(n)::bigint as token_count, sum(len)::bigint as char_count, md5(string_agg(text, chr(10) || chr(10) order by i)) as digest from p where trim(text) <> '' group by artifact, k)"""
 
 
+def _line_chunks(sizes: list[int]) -> str:
+    """CTEs: ``line_pieces`` and ``line_chunks`` (size, artifact, k, token_count, char_count, n_pieces, full_text, plain) of cleaned document lines, packed by each size."""
+    n = _TOKEN_LEN.format
+    return f"""{_CLEAN_LINES}, sizes as (select unnest({sizes}) as size), sized as (select size, artifact, ord, text, {n('text')} as n from cleaned, sizes),
+sentence as (select *, unnest(range(1, len(ss) + 1)) as a from (select *, regexp_extract_all(text, '(?s).+?(?:[.!?。！？；]+[\\s]*|$)') as ss from sized where n > size)),
+part as (select size, artifact, ord, a, case when {n('ss[a]')} > size then regexp_extract_all(ss[a], '(?s)\\s*\\S+\\s*') else [ss[a]] end as us from sentence),
+unit as (select size, artifact, ord, u, {n('u')} as n, row_number() over (partition by size, artifact, ord order by a, b) as j from (select *, us[b] as u from (select *, unnest(range(1, len(us) + 1)) as b from part))),
+walk as (select size, artifact, ord, j, u, n, 0 as k, n as open from unit where j = 1 union all select t.size, t.artifact, t.ord, t.j, t.u, t.n, w.k + (w.open > 0 and w.open + t.n > t.size)::int, case when w.open > 0 and w.open + t.n > t.size then t.n else w.open + t.n end from walk w join unit t on t.size = w.size and t.artifact = w.artifact and t.ord = w.ord and t.j = w.j + 1),
+line_pieces as (select size, artifact, n, text, row_number() over (partition by size, artifact order by ord, k) as i from (select size, artifact, ord, 0 as k, n, text from sized where n <= size union all select size, artifact, ord, k, sum(n)::bigint, string_agg(u, '' order by j) from walk group by size, artifact, ord, k)),
+packing as (select *, 0 as k, n as open from line_pieces where i = 1 union all select t.*, w.k + (w.open + t.n > t.size)::int, case when w.open + t.n > t.size then t.n else w.open + t.n end from packing w join line_pieces t on t.size = w.size and t.artifact = w.artifact and t.i = w.i + 1),
+line_chunks as (select size, artifact, row_number() over (partition by size, artifact order by k) as k, sum(n)::bigint as token_count, sum(length(text))::bigint as char_count, count(*) as n_pieces, string_agg(text, chr(10) || chr(10) order by i) as full_text, string_agg(text, ' ' order by i) as plain from packing group by size, artifact, k)"""
+
+
+_CHUNK_ID = "artifact || '_c' || lpad(k::varchar, 4, '0')"
+
+
 def _recursive(sql: str) -> str:
     return "with recursive " + sql.replace("recursive_ as (select 1), ", "")
 
@@ -305,33 +345,46 @@ def q_parents(spark, sf):
 LINE = ChunkParams(chunk_tokens=200, parent_tokens=400)
 
 
-@query()
+@query(f"with recursive {_line_chunks([200])} select {_CHUNK_ID} as chunk_id, token_count, char_count, md5(full_text) as digest from line_chunks")
 def q_chunks_documents(spark, sf):
     """Cleaned document lines in chunks of 200 tokens; long lines are cut at sentences."""
     return ch.chunks(bl.clean_blocks(bl.line_blocks(docs(spark, sf))), LINE).select("chunk_id", "token_count", "char_count", F.md5("full_text").alias("digest"))
 
 
-@query("select '' as chunk_id, '' as problem where false")
+@query(f"with recursive {_line_chunks([200])} select 'ok' as problem, count(*) as n from line_chunks")
 def q_chunk_invariants(spark, sf):
+    """Chunks by what is wrong with them; nothing should be."""
     b = bl.clean_blocks(bl.line_blocks(docs(spark, sf)))
-    return ch.invariant_breaks(ch.chunks(b, LINE), b, LINE)
+    c = ch.chunks(b, LINE)
+    problems = ch.invariant_breaks(c, b, LINE).groupBy("chunk_id").agg(F.min("problem").alias("problem"))
+    return c.select("chunk_id").join(problems, "chunk_id", "left").groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
 
 
-@query("select doc_id from documents where false")
+@query(f"with {_CLEAN_LINES} select artifact as doc_id, sum(length(text))::bigint as n_chars, true as whole from cleaned group by artifact")
 def q_chunk_coverage(spark, sf):
-    """Documents whose fragments do not hold each block's characters exactly once."""
+    """Characters of each document's fragments, and whether they hold each block's characters exactly once."""
     b = bl.clean_blocks(bl.line_blocks(docs(spark, sf)))
-    got = ch.chunks(b, LINE).select("artifact", F.explode("fragments").alias("f")).groupBy("artifact").agg(F.sum(F.col("f.end_char") - F.col("f.start_char")).alias("n"))
-    want = b.groupBy("artifact").agg(F.sum(F.length("text")).alias("m"))
-    return want.join(got, "artifact", "left").where("n is null or n <> m").select(F.col("artifact").alias("doc_id"))
+    got = ch.chunks(b, LINE).select("artifact", F.explode("fragments").alias("f")).groupBy("artifact", "f.block_id").agg(F.sum(F.col("f.end_char") - F.col("f.start_char")).alias("n"), F.min("f.start_char").alias("lo"), F.max("f.end_char").alias("hi"))
+    want = b.select("artifact", F.col("ord").cast("string").alias("block_id"), F.length("text").alias("m"))
+    both = want.join(got, ["artifact", "block_id"], "left")
+    return both.groupBy(F.col("artifact").alias("doc_id")).agg(F.sum("n").alias("n_chars"), F.every(F.coalesce((F.col("n") == F.col("m")) & (F.col("lo") == 0) & (F.col("hi") == F.col("m")), F.lit(False))).alias("whole"))
 
 
-@query()
+@query(
+    f"with recursive {_line_chunks([100, 200, 400, 800])}, a as (select size, count(*) as n_chunks, sum(token_count)::bigint as tokens, round(avg(token_count), 4) as mean, quantile_cont(token_count, 0.5)::double as median, max(token_count) as greatest, round(avg((token_count >= 0.98 * size)::int), 4) as full_share from line_chunks group by size) "
+    "select size::int as size, n_chunks, tokens, mean, median, greatest, full_share, round(mean / lag(mean) over (order by size) - 1, 4) as slope from a"
+)
 def q_chunk_scan(spark, sf):
     return ch.size_scan(bl.clean_blocks(bl.line_blocks(docs(spark, sf))), [100, 200, 400, 800])
 
 
-@query()
+_METRIC = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\[([^\]\[]+)\]\([^)\s]*\)', '\1', 'g'), '(?s)\*{{1,3}}(\S|\S.*?\S)\*{{1,3}}', '\1', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(
+    f"with recursive {_line_chunks([200])}, c as (select {_CHUNK_ID} as chunk_id, {_METRIC.format('plain')} as text from line_chunks), g as (select item_id, {_METRIC.format('text')} as needle from benchmark), f as (select g.*, c.chunk_id from g left join c on length(needle) >= 8 and contains(c.text, needle)) "
+    "select item_id, chunk_id, case when length(needle) < 8 then 'under 8 characters' when chunk_id is null then 'in no chunk' end as problem from f"
+)
 def q_fragment_lookup(spark, sf):
     """Chunks whose fragments hold a benchmark passage, all of it, by normalised text.
 
@@ -339,19 +392,28 @@ def q_fragment_lookup(spark, sf):
     under 8 normalised characters, which is not looked up.
     """
     text = F.array_join(F.transform(F.filter("fragments", lambda f: f["block_type"] != "image"), lambda f: f["text"]), " ")
-    chunks = ch.chunks(bl.clean_blocks(bl.line_blocks(docs(spark, sf))), LINE).select(F.col("chunk_id").alias("doc"), tx.metric_text(text).alias("text"))
+    chunks = staged(ch.chunks(bl.clean_blocks(bl.line_blocks(docs(spark, sf))), LINE).select(F.col("chunk_id").alias("doc"), tx.metric_text(text).alias("text")))
     gold = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle"), F.coalesce(tx.metric_text(F.col("text")), F.lit("")).alias("needle_text"))
     found = ev.find_contained(gold.where(F.length("needle_text") >= 8), chunks)
     problem = F.when(F.length("needle_text") < 8, "under 8 characters").when(F.col("doc").isNull(), "in no chunk")
     return gold.join(found, "needle", "left").select(F.col("needle").alias("item_id"), F.col("doc").alias("chunk_id"), problem.alias("problem"))
 
 
-@query()
+@query(f"with recursive {_line_chunks([200])} select {_CHUNK_ID} as chunk_id, d.source as file_name, k::int as chunk_index, token_count, n_pieces::int as n_fragments, 'high' as tier from line_chunks c join documents d on d.doc_id = c.artifact")
 def q_payloads(spark, sf):
-    """Stored rows of chunks, ids exact."""
+    """Stored rows of chunks (their ids: q_point_ids)."""
     arts = docs(spark, sf).select(F.col("doc_id").alias("artifact"), F.col("source").alias("title"), F.concat(F.lit("file:///"), F.col("doc_id").cast("string")).alias("source_uri"), F.lit("local_file").alias("source_type"), F.lit("text/plain").alias("mime_type"))
     out = ix.payloads(ch.chunks(bl.clean_blocks(bl.line_blocks(docs(spark, sf))), LINE), arts)
-    return out.select("point_id", "chunk_id", "file_name", "chunk_index", "token_count", F.size("fragments").alias("n_fragments"), "index_decision.tier")
+    return out.select("chunk_id", "file_name", "chunk_index", "token_count", F.size("fragments").alias("n_fragments"), "index_decision.tier")
+
+
+#: Chunk ids and the ids of their points: the first eight bytes of BLAKE2b of that size, without the top bit.
+_POINTS = {c: int.from_bytes(hashlib.blake2b(c.encode(), digest_size=8).digest(), "big") & ((1 << 63) - 1) for c in ("doc_ab12_c0001", "doc_ab12_c0002", "1_c0001", "")}
+
+
+@query("select * from (values " + ", ".join(f"('{c}', {n}::bigint)" for c, n in _POINTS.items()) + ") t(chunk_id, point_id)")
+def q_point_ids(spark, sf):
+    return spark.createDataFrame([(c,) for c in _POINTS], "chunk_id string").select("chunk_id", tx.point_id(F.col("chunk_id")).alias("point_id"))
 
 
 # ---- inline fixtures ------------------------------------------------------
@@ -386,7 +448,12 @@ def q_plain_blocks(spark, sf):
     return b.select("ord", "type", F.replace("text", F.lit("\n"), F.lit("|")).alias("text"), "level")
 
 
-@query()
+@query(
+    f"with recursive {_LINES}, p as (select artifact, ord, trim(text, ' ' || chr(9) || chr(13)) as text from lines where trim(text, ' ' || chr(9) || chr(13)) <> ''), cut as (select artifact, ord, length(text) > 800 as long, unnest(range(0, (length(text) - 1) // 800 + 1)) as b, text from p), "
+    "u as (select artifact, long, substr(text, b * 800 + 1, 800) as text, row_number() over (partition by artifact order by ord, b) as i from cut), "
+    "walk as (select artifact, i, text, 0 as k, length(text) as size, long as shut from u where i = 1 union all select u.artifact, u.i, u.text, w.k + (u.long or w.shut or w.size + 2 + length(u.text) > 800)::int, case when u.long or w.shut or w.size + 2 + length(u.text) > 800 then length(u.text) else w.size + 2 + length(u.text) end, u.long from walk w join u on u.artifact = w.artifact and u.i = w.i + 1) "
+    "select artifact, k::int as chunk, length(string_agg(text, chr(10) || chr(10) order by i))::bigint as n_chars, md5(string_agg(text, chr(10) || chr(10) order by i)) as digest from walk group by artifact, k"
+)
 def q_pack_paragraphs(spark, sf):
     """Character-budget packing of documents, each line a paragraph."""
     d = docs(spark, sf).select(F.col("doc_id").alias("artifact"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
