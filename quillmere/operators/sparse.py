@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmere.functions.sizes import maybe_broadcast
+from quillmere.functions.tables import staged
 from quillmere.functions.text import analyze
 from quillmere.params import Bm25Params
 
@@ -70,7 +71,8 @@ def vocabulary(df: DataFrame) -> DataFrame:
     Terms are ranked within their first four characters, these within their first two, these within their first one; only the counts of
     first characters, of which there are no more than characters, are summed up in one place.
     """
-    keyed = df.select("*", *[F.substring("term", 1, n).alias(f"p{n}") for n in PREFIXES])
+    # written once: what needs ranks and counts alike would else be computed for each
+    keyed = staged(df.select("term", "df", "cf")).select("*", *[F.substring("term", 1, n).alias(f"p{n}") for n in PREFIXES])
     names = [f"p{n}" for n in PREFIXES]
     offset, sizes = None, keyed.groupBy(*names).agg(F.count("*").alias("n"))
     for k, name in enumerate(names):
