@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmere.llm.batches import column, cut_by_bytes, raw_bytes
-from quillmere.llm.hot import hot_join
 from quillmere.llm.tables import drop_staged, staged
 
 LENGTH, K = 200, 32
@@ -480,7 +479,7 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int = LENGTH, group:
     rows = staged(texts.mapInArrow(_segment_rows(length), _SEGMENT))
     contents = rows.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "rk2", "place")).alias("one"))
     anchors = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("copies").alias("most"), F.min("copies").alias("least")).where("kinds > 1 or most > 1")
-    live = staged(hot_join(contents, anchors.select("anchor", "kinds", "least"), "anchor", anchors.select("anchor", F.col("kinds").alias("n"))))
+    live = staged(contents.join(anchors.select("anchor", "kinds", "least"), "anchor"))
     # contents with copies are repeated throughout; those alone are compared with the anchor's others
     alone = live.where("kinds > 1 and least = 1").select("anchor", "content", "one.rk", "one.rk2", "one.place", (F.col("kinds") > group).alias("many"))
     picks = alone.groupBy("rk", "rk2").agg(F.collect_list(F.struct("anchor", "content", "place", "many")).alias("picks"))
