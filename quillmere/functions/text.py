@@ -59,9 +59,13 @@ def unstable_pattern(least: int = 32) -> str:
     return f"[^{''.join(stable)}{marks}]"
 
 
+#: A text of the commonest stable characters: few ranges, so that most texts are told at once.
+COMMON = r"^[\x00-\x7f\x{c0}-\x{ff}\x{4e00}-\x{9fff}]*+\z"
+
+
 def normal_text(text: Column) -> Column:
     """Compatibility form, no-break blanks as blanks, lower case. Only texts with a character that it may change leave the JVM."""
-    odd = text.rlike(unstable_pattern())
+    odd = ~text.rlike(COMMON) & text.rlike(unstable_pattern())
     changed = F.when(odd, F.coalesce(nfkc(F.when(odd, text)), text)).otherwise(text)
     return F.lower(F.replace(changed, F.lit("\u00a0"), F.lit(" ")))
 
