@@ -209,9 +209,56 @@ def q_artifact_id(spark, sf):
     return pages(spark, sf).select("page_id", tx.artifact_id(F.col("url"), F.col("url"), F.sha2("html", 256)).alias("artifact"))
 
 
-@query("select 'ok' as problem, count(*) as n from pages")
+#: Addresses and why they must not be fetched.
+_HOSTS = [
+    ("http://127.0.0.1/x", "private"), ("https://10.1.2.3:8080/", "private"), ("http://192.168.0.1", "private"), ("http://172.16.9.9/", "private"), ("http://172.32.0.1/", "ok"), ("http://169.254.169.254/latest", "private"),
+    ("http://localhost/", "private"), ("http://a.localhost/", "private"), ("http://[::1]/", "private"), ("ftp://example.org/", "scheme"), ("file:///etc/passwd", "scheme"), ("", "scheme"), ("https://Example.org/a", "ok"), ("http://11.0.0.1/", "ok"), ("http://localhost.example.org/", "ok"),
+]
+
+
+@query(
+    "with u as (select case page_id % 6 when 0 then url when 1 then 'http://10.' || page_id % 250 || '.0.1/' || page_id when 2 then 'ftp' || substr(url, strpos(url, ':')) when 3 then 'http://localhost:' || page_id || '/' when 4 then 'https://172.' || page_id % 40 || '.1.1/' else 'http://192.168.1.' || page_id % 250 || '/' end as url, page_id from pages) "
+    "select case when page_id % 6 = 2 then 'scheme' when page_id % 6 in (1, 3, 5) or (page_id % 6 = 4 and page_id % 40 between 16 and 31) then 'private' else 'ok' end as problem, count(*) as n from u group by 1"
+)
 def q_host_guard(spark, sf):
-    return pages(spark, sf).groupBy(F.coalesce(rd.host_problem(F.col("url")), F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
+    """Addresses of pages, five of six in forms that a guard looks at, by what is wrong with them."""
+    k = F.col("page_id") % 6
+    made = (
+        F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("http://10."), F.col("page_id") % 250, F.lit(".0.1/"), "page_id")).when(k == 2, F.regexp_replace("url", "^[a-z]+:", "ftp:"))
+        .when(k == 3, F.concat(F.lit("http://localhost:"), "page_id", F.lit("/"))).when(k == 4, F.concat(F.lit("https://172."), F.col("page_id") % 40, F.lit(".1.1/"))).otherwise(F.concat(F.lit("http://192.168.1."), F.col("page_id") % 250, F.lit("/")))
+    )
+    return pages(spark, sf).groupBy(F.coalesce(rd.host_problem(made), F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("select * from (values " + ", ".join(f"({k}::int, '{v}')" for k, (_, v) in enumerate(_HOSTS)) + ") t(id, problem)")
+def q_host_guard_fixture(spark, sf):
+    return spark.createDataFrame([(k, u) for k, (u, _) in enumerate(_HOSTS)], "id int, url string").select("id", F.coalesce(rd.host_problem(F.col("url")), F.lit("ok")).alias("problem"))
+
+
+@query("select doc_id, source, length(text)::bigint as n_chars from documents where doc_id > 40 order by doc_id limit 25")
+def q_scroll(spark, sf):
+    """A page of a stored table: the 25 rows after a key."""
+    rows = docs(spark, sf).select("doc_id", "source", F.length("text").cast("long").alias("n_chars"))
+    return rd.scroll(rows, "doc_id", 40, 25)
+
+
+@query("select artifact, ord::int as ord, type, (max(case when type = 'heading' then ord end) over (partition by artifact order by ord rows between unbounded preceding and 1 preceding))::int as parent_ord from (select doc_id as artifact, i as ord, case when length(string_split(text, chr(10))[i]) < 40 then 'heading' else 'text' end as type from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) r(i))")
+def q_parent_pointer(spark, sf):
+    """Lines with the number of the heading before them; lines of under 40 characters count as headings."""
+    lines = bl.line_blocks(docs(spark, sf)).withColumn("type", F.when(F.length("text") < 40, "heading").otherwise("text")).withColumn("level", F.when(F.col("type") == "heading", 1))
+    return bl.with_section_path(lines).select("artifact", "ord", "type", F.col("parent_ord").cast("int").alias("parent_ord"))
+
+
+#: Lines of a page, entries of an outline and the level that each line takes from it: by name, by a similar name a page off at most, or none.
+_OUTLINE = [("Chapter One: Getting Started", 1, 0), ("Installation of the Service", 2, 3), ("Configuration and Monitoring", 2, 9)]
+_NAMED = [("Chapter One: Getting Started", 0, 1), ("chapter one getting started", 1, 1), ("Installation of the Services", 3, 2), ("Installation of the Services", 4, 2), ("Installation of the Services", 6, None), ("Configuration and Tuning", 9, None), ("Body text of no heading at all", 3, None)]
+
+
+@query("select * from (values " + ", ".join(f"({k}::int, {v}::int)" for k, (_, _, v) in enumerate(_NAMED) if v) + ") t(line_no, level)")
+def q_outline_fuzzy(spark, sf):
+    lines = spark.createDataFrame([("a", p, k, t) for k, (t, p, _) in enumerate(_NAMED)], "artifact string, page int, line_no int, text string")
+    outline = spark.createDataFrame([("a", n, t, p) for t, n, p in _OUTLINE], "artifact string, level int, title string, page int")
+    return pl.outline_matches(lines, outline).select("line_no", F.col("level").cast("int").alias("level"))
 
 
 @query("select page_id, coalesce(nullif(list_last(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')), ''), url) as file_name from pages")

@@ -441,9 +441,19 @@ def q_qrels_summary(spark, sf):
     return ev.qrels_summary(_qrels(spark, sf))
 
 
-@query("select item_id::varchar as query_id, 'short gold' as problem from benchmark where length(trim(text)) < 8 union all select item_id::varchar, 'repeated id' from benchmark where item_id in (select item_id from benchmark group by 1 having count(*) > 1)")
+@query(
+    "select item_id::varchar as query_id, unnest(case item_id % 8 when 1 then ['unknown category'] when 2 then ['unanswerable with gold'] when 3 then ['no gold'] when 4 then ['short gold'] when 5 then ['empty query'] when 6 then ['unknown split'] else [] end || case when length(trim(text)) < 8 and item_id % 8 not in (3, 4) then ['short gold'] else [] end || case when length(trim(text)) = 0 and item_id % 8 <> 5 then ['empty query'] else [] end) as problem from benchmark"
+)
 def q_qrels_violations(spark, sf):
-    return ev.qrels_violations(_qrels(spark, sf))
+    """Rules that rows break, of which six in eight are broken on purpose."""
+    k = F.col("query_id").cast("long") % 8
+    text = lambda t: F.array(F.struct(t.alias("text")))
+    broken = _qrels(spark, sf).select(
+        "query_id", F.when(k == 5, F.lit("  ")).otherwise(F.col("query")).alias("query"), "query_lang",
+        F.when(k == 3, F.slice("gold", 1, 0)).when(k == 4, text(F.lit("abc"))).otherwise(F.col("gold")).alias("gold"),
+        F.when(k == 1, "odd").when(k == 2, "unanswerable").otherwise(F.col("category")).alias("category"), F.when(k == 6, "train").otherwise(F.col("split")).alias("split"),
+    )
+    return ev.qrels_violations(broken)
 
 
 def _qrels(spark, sf):

@@ -76,6 +76,12 @@ def host_problem(url: Column) -> Column:
     return F.when(~F.coalesce(url, F.lit("")).rlike("^https?://"), "scheme").when(host.isNull() | (host == ""), "host").when(private, "private")
 
 
+def scroll(rows: DataFrame, key: str, after=None, limit: int = 100) -> DataFrame:
+    """The next ``limit`` rows of a stored table in the order of ``key``, after a key value (None: from the start): a bounded page, whose last key leads to the next one."""
+    rest = rows if after is None else rows.where(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(limit)
+
+
 def read_chunks(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Chunk exports: JSON lines, or with ``multiline`` an array or one object; ids also from ``metadata``."""
     df = spark.read.schema(CHUNK_SCHEMA).option("multiLine", str(multiline).lower()).json(path)

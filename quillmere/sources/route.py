@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,15 @@ def route(data: Column, mime: Column, path: Column) -> Column:
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
+def known_options(f: Callable, options: dict) -> dict:
+    """Those of ``options`` that a parser takes, all if it takes any: what a caller sets for one parser does not break another."""
+    params = inspect.signature(f).parameters.values()
+    if any(p.kind is p.VAR_KEYWORD for p in params):
+        return dict(options)
+    names = {p.name for p in params if p.kind in (p.POSITIONAL_OR_KEYWORD, p.KEYWORD_ONLY)}
+    return {k: v for k, v in options.items() if k in names}
+
+
 def parser(name: str):
     def add(f):
         PARSERS[name] = f
@@ -55,10 +65,10 @@ def parser(name: str):
     return add
 
 
-def parse_chain(routed: DataFrame, accept: Callable[[DataFrame], DataFrame], tries: int = 2) -> tuple[DataFrame, DataFrame]:
+def parse_chain(routed: DataFrame, accept: Callable[[DataFrame], DataFrame], tries: int = 2, options: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(blocks, attempts): rows go to their parser; those that ``accept`` (blocks to accepted artifacts) leaves out go to their next fallback.
 
-    ``routed`` has artifact, parser and fallbacks. Rows of parsers that are not installed end as attempts with the outcome ``unsupported``.
+    Each parser gets those of ``options`` that it takes. ``routed`` has artifact, parser and fallbacks. Rows of parsers that are not installed end as attempts with the outcome ``unsupported``.
     """
     rest = routed.withColumn("chain", F.concat(F.array("parser"), "fallbacks"))
     found, attempts = None, None
@@ -66,7 +76,7 @@ def parse_chain(routed: DataFrame, accept: Callable[[DataFrame], DataFrame], tri
         now = rest.withColumn("parser", F.try_element_at("chain", F.lit(k))).where("parser is not null")
         blocks = None
         for name, parse in PARSERS.items():
-            part = parse(now.where(F.col("parser") == name))
+            part = parse(now.where(F.col("parser") == name), **known_options(parse, options or {}))
             blocks = part if blocks is None else blocks.unionByName(part, allowMissingColumns=True)
         if blocks is None:
             raise ValueError("no parser is installed")

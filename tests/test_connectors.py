@@ -64,3 +64,22 @@ def test_reports(spark, tmp_path):
     s = spark.createDataFrame([("stage", "rrf", None, 0.5, 4), ("category", "rrf", "exact", 1.0, 2)], "level string, stage string, category string, hit_5 double, hit_5_n long")
     out = rp.markdown_report(s, ["hit_5"], failures={"rerank": 0.5})
     assert "| rrf | 0.5000 (n=4) |" in out and "| rrf | exact | 1.0000 (n=2) |" in out and "rerank: 50 %" in out
+
+
+def test_scroll_goes_through_all_rows(spark):
+    from quillmere.sources.readers import scroll
+
+    rows, seen, after = spark.range(25).selectExpr("id * 3 as k"), [], None
+    while page := [r.k for r in scroll(rows, "k", after, 7).collect()]:
+        seen += page
+        after = page[-1]
+    assert seen == [3 * k for k in range(25)]
+
+
+def test_parsers_get_the_options_they_take():
+    from quillmere.sources.route import known_options
+
+    options = {"max_chars": 5, "other": 1}
+    assert known_options(lambda rows, max_chars=8: rows, options) == {"max_chars": 5}
+    assert known_options(lambda rows: rows, options) == {}
+    assert known_options(lambda rows, **more: rows, options) == options

@@ -355,3 +355,27 @@ def test_engine(spark):
     a = e.answer_context(q, SearchParams(top_k=2)).first()
     assert "[C1]" in a.prompt and a.n_citations == 2
     assert e.info().first().n_docs == 3 and [r.section for r in e.sections().collect()] == ["S1", "S2"]
+
+
+def test_dense_topk_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 1.0]), (5, [None, 1.0]), (6, [0.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = de.dense_topk(df, df.where("vec_id in (1, 2)"), 5).collect()
+    assert sorted((r["query"], r.doc, r.score) for r in got) == [(1, 1, 1.0), (1, 4, 0.0), (1, 6, 0.0)]
+    assert de.dense_topk(df.limit(0), df.where("vec_id = 1"), 5).count() == 0
+    assert de.dense_topk(df, df.where("vec_id = 2"), 5).count() == 0
+
+
+def test_hashed_search_takes_any_id(spark):
+    docs = spark.createDataFrame([("a", "red apple"), ("b", "green pear"), ("c", ""), ("d", None)], "doc string, text string")
+    asked = spark.createDataFrame([("q1", "apple red"), ("q2", "nothing")], "query string, q string")
+    for block in (1, 2048):
+        got = de.sparse_cosine_topk(de.hashed(docs, "doc", "text"), de.hashed(asked, "query", "q"), 3, block).collect()
+        assert [(r["query"], r.doc, r.score) for r in got] == [("q1", "a", 1.0)]
+
+
+def test_short_needles(spark):
+    texts = spark.createDataFrame([(1, "one applesauce two"), (2, "apple"), (3, "sauce boat house"), (4, "the applesau ce")], "doc long, text string")
+    needles = [(1, "apple"), (2, "sauce boat"), (3, "ce bo"), (4, " two"), (5, "e b"), (6, "e applesau c")]
+    got = ev.find_contained(spark.createDataFrame(needles, "needle long, needle_text string"), texts).collect()
+    assert sorted(map(tuple, got)) == sorted((n, d) for n, x in needles for d, t in [(1, "one applesauce two"), (2, "apple"), (3, "sauce boat house"), (4, "the applesau ce")] if x in t)
