@@ -196,32 +196,63 @@ def metadata_prefixes(sents: DataFrame, group: str, order: str, heading: str, pe
 def cut_points(sents: DataFrame, group: str, order: str, text: str, distance: str, max_chars: int, back: int) -> DataFrame:
     """(group, chunk, first, last): length first; each cut at the greatest distance within the last ``back`` characters.
 
-    The next start hangs on the last cut, so each group is walked in order by an Arrow function.
+    The next start hangs on the last cut, so an Arrow function walks the groups' rows in order; it holds the lengths of one
+    chunk and of one batch, never a group or its texts.
     """
-    import pandas as pd
-
-    schema = sents.select(F.col(group)).schema
-    out = f"{group} {schema[group].dataType.simpleString()}, chunk int, first long, last long"
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        pos, size, dist = pdf[order].tolist(), pdf[text].str.len().tolist(), pdf[distance].fillna(0).tolist()
-        rows, start = [], 0
-        while start < len(pos):
-            total, end = 0, start
-            while end < len(pos) and (end == start or total + size[end] <= max_chars):
-                total += size[end]
-                end += 1
-            cut = end
-            if end < len(pos):
-                room, k, best = 0, end - 1, -1.0
-                while k > start and room <= back:
-                    if dist[k] > best:
-                        best, cut = dist[k], k + 1
-                    room += size[k]
-                    k -= 1
-            rows.append((pdf[group].iloc[0], len(rows), pos[start], pos[cut - 1]))
-            start = cut
-        return pd.DataFrame(rows, columns=[group, "chunk", "first", "last"])
-
-    return sents.select(group, order, text, distance).groupBy(group).applyInPandas(walk, out)
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = sents.schema[group].dataType
+    schema = f"{group} {kind.simpleString()}, chunk int, first long, last long"
+    names = [group, "chunk", "first", "last"]
+
+    def run(batches):
+        out: list[tuple] = []
+        pos, size, dist = [], [], []
+        key, chunk, start = None, 0, 0
+
+        def cut(to_end):
+            """Cuts what is known: all that is left, if the group ends, else as long as there is more than a chunk."""
+            nonlocal chunk, start
+            while start < len(pos):
+                total, end = 0, start
+                while end < len(pos) and (end == start or total + size[end] <= max_chars):
+                    total += size[end]
+                    end += 1
+                if end == len(pos) and not to_end:
+                    return
+                at = end
+                if end < len(pos):
+                    room, k, best = 0, end - 1, -1.0
+                    while k > start and room <= back:
+                        if dist[k] > best:
+                            best, at = dist[k], k + 1
+                        room += size[k]
+                        k -= 1
+                out.append((key, chunk, pos[start], pos[at - 1]))
+                chunk, start = chunk + 1, at
+
+        def batch():
+            cols = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], to_arrow_type(kind)), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=names)
+
+        for b in batches:
+            for g, o, n, d in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if pos and g != key:
+                    cut(True)
+                    pos, size, dist, chunk, start = [], [], [], 0, 0
+                key = g
+                pos.append(o)
+                size.append(n)
+                dist.append(d)
+            cut(False)
+            pos, size, dist, start = pos[start:], size[start:], dist[start:], 0
+            if out:
+                yield batch()
+        cut(True)
+        if out:
+            yield batch()
+
+    rows = sents.select(group, F.col(order).cast("long").alias("__o"), F.coalesce(F.length(text), F.lit(0)).alias("__n"), F.coalesce(F.col(distance).cast("double"), F.lit(0.0)).alias("__d"))
+    return rows.repartition(group).sortWithinPartitions(group, "__o").mapInArrow(run, schema)

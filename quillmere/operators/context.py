@@ -14,6 +14,7 @@ def _has(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
+# The labels in this module are texts that a context has word for word.
 def page_text(df: DataFrame) -> Column:
     a, b, page = (_has(df, c, "int") for c in ("page_start", "page_end", "page"))
     both = a.isNotNull() & b.isNotNull()
