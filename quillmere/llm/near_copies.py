@@ -14,14 +14,16 @@ most the number of buckets in which they met and the rest of x. Pairs for which
 are verified on their whole sets. No link is missed.
 
 Any order is right. To keep buckets small, shingles that many texts of a
-sample hold come last. Buckets of over ``BUCKET`` texts don't emit their pairs. Each of their texts has a bitmap of
-``BITS`` bits, in which a bit is the parity of the shingles that fall on it: two sets differ in at least as many shingles as their
-bitmaps do in bits, so a pair is left out by its bitmaps only if it can't be similar. As only components are wanted, a
+sample hold come last. A text that is in a pair has a bitmap of about as many
+bits as shingles (``BITS`` are the least and most), in which a bit is the parity of the shingles that fall on it: two sets differ in at least as many shingles as their
+bitmaps do in bits, so a pair is left out by its bitmaps only if it can't be similar; only the rest is verified on whole sets. Buckets of
+over ``BUCKET`` texts don't emit their pairs. As only components are wanted, such a
 bucket, in parts of ``PART`` texts at most, first gives a spanning forest of pairs that bitmaps allow; these are verified. What is
 still apart then is compared with all of the bucket, part by part, and every pair that bitmaps allow is verified.
 
 Words are what white space parts, ASCII letters in lower case. A text of fewer words is
-one shingle; null and empty texts have the same empty set. Texts of equal sets (by a hash of 64 bits)
+one shingle; null and empty texts have the same empty set. Texts move only once, to lose their copies; later steps find
+the texts of a list of ids where they are (``members``). Texts of equal sets (by a hash of 64 bits)
 meet before the search, in a pre-aggregated grouping.
 """
 
@@ -33,15 +35,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmere.llm.batches import append_columns, column, free_name, raw_bytes
+from quillmere.llm.batches import append_columns, column, free_name, raw_bytes, release_memory
 from quillmere.llm.components import components
+from quillmere.llm.members import among, parted
 from quillmere.llm.simhash import MOST_BITS, near_links, with_fingerprint
 from quillmere.llm.tables import drop_staged, staged
 
 WORDS, SHARE = 5, 0.8
 BUCKET = 64
-#: Bits of a bitmap, most texts of a part of a bucket, and forests that are made over different parts of larger ones.
-BITS, PART, ROUNDS = 1024, 8192, 3
+#: Least and most bits of a bitmap, most texts of a part of a bucket, and forests that are made over different parts of larger ones.
+BITS, PART, ROUNDS = (1 << 10, 1 << 15), 8192, 3
 SEED = 42
 #: One text in so many counts shingles for their order; at most so many shingles are put last.
 SAMPLE, LAST = 16, 1 << 17
@@ -184,23 +187,74 @@ def _pairs(share: float, cap: int):
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parities of how many of the shingles fall on each of ``BITS`` bits."""
-    return np.packbits((np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+    """Parities of how many of the shingles fall on each bit; the bits are a power of two, as many as shingles at least within ``BITS``."""
+    size = min(BITS[1], max(BITS[0], 1 << max(0, len(h) - 1).bit_length()))
+    return np.packbits((np.bincount((h % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
 
 
-def _may_be(bits: np.ndarray, n: np.ndarray, one: np.ndarray, m: int, share: float) -> np.ndarray:
-    """Whether sets with these bitmaps and sizes may be similar to one of m: of n + m, both hold what is needed twice and the rest once."""
-    apart = np.bitwise_count(bits ^ one).sum(1, dtype=np.int64)
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of the same shingles with fewer bits (``width`` words)."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def _may_be(bits: np.ndarray, n: np.ndarray, one: np.ndarray, m, share: float) -> np.ndarray:
+    """Whether sets with these bitmaps and sizes may be similar to one of m, or each to its own: of n + m, both hold what is needed twice and the rest once."""
+    width = min(bits.shape[-1], one.shape[-1])
+    apart = np.bitwise_count(_folded(bits, width) ^ _folded(one, width)).sum(1, dtype=np.int64)
     return (apart <= n + m - 2 * _needed(n, m, share)) & (np.minimum(n, m) >= share * np.maximum(n, m) - 1e-9)
 
 
+class _Bitmaps:
+    """Bitmaps of a group's rows, in one table for each width."""
+
+    def __init__(self, values):
+        self.width = np.array([len(v) // 8 for v in values], np.int64)
+        self.at, self.of = np.zeros(len(values), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            self.at[rows] = np.arange(len(rows))
+            self.of[w] = np.frombuffer(b"".join(values[k] for k in rows.tolist()), np.uint64).reshape(-1, w)
+
+    def may_be(self, rows: np.ndarray, n: np.ndarray, u: int, share: float) -> np.ndarray:
+        """For each of ``rows``, whether it may be similar to row u."""
+        own = int(self.width[u])
+        out, one = np.zeros(len(rows), bool), self.of[own][self.at[u]]
+        for w, table in self.of.items():  # sizes of similar sets, and so widths, are less than twice and half the other's
+            if own <= 2 * w <= 4 * own:
+                mine = np.flatnonzero(self.width[rows] == w)
+                out[mine] = _may_be(table[self.at[rows[mine]]], n[rows[mine]], one, int(n[u]), share)
+        return out
+
+
+def _pairs_left(share: float):
+    """Arrow function over pairs (a, b, n, x, m, y) with sizes and bitmaps: those that bitmaps allow."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+            x, y = (_Bitmaps(batch.column(k).to_pylist()) for k in (3, 5))
+            ok = np.zeros(batch.num_rows, bool)
+            for v, one in x.of.items():
+                for w, two in y.of.items():
+                    rows = np.flatnonzero((x.width == v) & (y.width == w))
+                    if len(rows):
+                        ok[rows] = _may_be(one[x.at[rows]], n[rows], two[y.at[rows]], m[rows], share)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+        release_memory()
+
+    return run
+
+
 def _groups(batches):
     """Rows (key, n, sid, root, bits, few) sorted by the key, as arrays of whole groups."""
     held = None
     for batch in _and_end(batches):
         if batch is not None:
             new = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3)]
-            new.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, BITS // 64))
+            new.append(np.array([*batch.column(4).to_pylist(), None], object)[:-1])
             new.append(batch.column(5).to_numpy(zero_copy_only=False))
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         if held is None or not len(held[0]):
@@ -209,7 +263,8 @@ def _groups(batches):
         end = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
         edges = np.concatenate(([0], np.flatnonzero(key[1:end] != key[: max(end - 1, 0)]) + 1, [end])) if end else [0]
         for a, b in zip(edges[:-1], edges[1:]):
-            yield [x[a:b] for x in held[1:]]
+            n, sid, root, bits, few = (x[a:b] for x in held[1:])
+            yield n, sid, root, _Bitmaps(bits), few
         held = [x[end:] for x in held]
 
 
@@ -225,7 +280,7 @@ def _trees(share: float):
                 seen = {int(root[queue[0]])}
                 while queue and len(left):
                     u = queue.pop()
-                    near = (root[left] == root[u]) | _may_be(bits[left], n[left], bits[u], int(n[u]), share)
+                    near = (root[left] == root[u]) | bits.may_be(left, n, u, share)
                     for v in left[near].tolist():
                         queue.append(v)
                         if int(root[v]) not in seen:
@@ -247,7 +302,7 @@ def _apart(share: float):
             aa, bb = [], []
             for k in np.flatnonzero(few).tolist():
                 other = np.flatnonzero((root != root[k]) & (~few | (sid > sid[k])))
-                other = other[_may_be(bits[other], n[other], bits[k], int(n[k]), share)]
+                other = other[bits.may_be(other, n, k, share)]
                 aa += np.minimum(sid[other], sid[k]).tolist()
                 bb += np.maximum(sid[other], sid[k]).tolist()
             if aa:
@@ -257,15 +312,33 @@ def _apart(share: float):
 
 
 def _and_end(batches):
-    yield from batches
-    yield None
+    try:
+        yield from batches
+        yield None
+    finally:
+        release_memory()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+
+
+def _bitmaps(ids: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(sid, n, bits): sizes and bitmaps of the sets with these ids, and of few others."""
+    kind = T.StructType([T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType())])
+    return _with(among(sets, ids.distinct(), "sid"), "p", kind, lambda h: {"n": len(h), "bits": bitmap(h)}, words, ["sid"]).select("sid", "p.n", "p.bits")
+
+
+def _allowed(pairs: DataFrame, bits: DataFrame, share: float) -> DataFrame:
+    """The pairs that bitmaps allow."""
+    x, y = bits.select(F.col("sid").alias("a"), "n", F.col("bits").alias("x")), bits.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(_pairs_left(share), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, words: int, share: float) -> DataFrame:
     """The pairs whose whole sets are similar."""
     pairs = staged(pairs.select("a", "b"))
-    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    whole = staged(_with(sets.join(ids, "sid", "left_semi"), "h", T.ArrayType(T.LongType()), lambda h: h.view(np.int64).tolist(), words, ["sid"]))
+    whole = staged(_with(among(sets, _ends(pairs).distinct(), "sid"), "h", T.ArrayType(T.LongType()), lambda h: h.view(np.int64).tolist(), words, ["sid"]))
     both = pairs.join(whole.select(F.col("sid").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("sid").alias("b"), F.col("h").alias("y")), "b")
     counts = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
     out = staged(counts.where(F.col("both") >= share * (F.col("all") - F.col("both")) - 1e-9).select("a", "b"))
@@ -295,17 +368,18 @@ def similar_links(sets: DataFrame, words: int = WORDS, share: float = SHARE, cap
     few = first.where("not again").groupBy("a", "b").agg(F.count("*").alias("met"), F.max("s").alias("least"))
     # of a's shingles in large buckets each may be b's as well
     more = again.groupBy(F.col("sid").alias("a")).agg(F.count("*").alias("more"))
-    few = few.join(more, "a", "left").where("met + coalesce(more, 0) >= least").join(close, ["a", "b"], "left_anti")
-    links = close.unionByName(_verified(few, sets, words, share))
+    few = staged(few.join(more, "a", "left").where("met + coalesce(more, 0) >= least").join(close, ["a", "b"], "left_anti").select("a", "b"))
+    bits = staged(_bitmaps(_ends(few).unionByName(again.select("sid")), sets, words))
+    links = close.unionByName(_verified(_allowed(few, bits, share), sets, words, share))
     if not again.isEmpty():
-        links = _of_large_buckets(again, sets, links, words, share, part)
-    drop_staged(first)
+        links = _of_large_buckets(again, bits.select("sid", "bits"), sets, links, words, share, part)
+    for table in (first, few, bits):
+        drop_staged(table)
     return links
 
 
-def _of_large_buckets(again: DataFrame, sets: DataFrame, links: DataFrame, words: int, share: float, part: int) -> DataFrame:
-    """``links`` with those that the large buckets (s, n, sid) add."""
-    bits = staged(_with(sets.join(again.select("sid").distinct(), "sid", "left_semi"), "bits", T.BinaryType(), bitmap, words, ["sid"]))
+def _of_large_buckets(again: DataFrame, bits: DataFrame, sets: DataFrame, links: DataFrame, words: int, share: float, part: int) -> DataFrame:
+    """``links`` with those that the large buckets (s, n, sid) add; ``bits`` are their sets' bitmaps."""
     sizes = staged(again.groupBy("s").agg(F.ceil(F.count("*") / part).cast("long").alias("parts")))
     most = sizes.agg(F.max("parts")).first()[0]
 
@@ -329,7 +403,6 @@ def _of_large_buckets(again: DataFrame, sets: DataFrame, links: DataFrame, words
     own = F.array(F.pmod(F.xxhash64("sid"), F.col("parts")))
     spread = rooted().withColumn("part", F.explode(F.when(few, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)))
     links = links.unionByName(_verified(found(spread, F.xxhash64("s", "part"), few, _apart), sets, words, share))
-    drop_staged(bits)
     drop_staged(sizes)
     return links
 
@@ -352,5 +425,7 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comps = staged(components(similar_links(kept.select(column(names[2]).alias("sid"), column(text_col).alias("__t")), words, share, cap, part)))
     ranked = comps.join(low, comps.node == low.sid).select("root", "sid", "low")
     firsts = ranked.groupBy("root").agg(F.min("low").alias("first"))
-    gone = ranked.join(firsts, "root").where("low <> first").select(F.col("sid").alias(names[2]))
-    return kept.join(gone, names[2], "left_anti").select(*every)
+    gone = staged(ranked.join(firsts, "root").where("low <> first").select(F.col("sid").alias(names[2])))
+    may_go, rest = parted(kept, gone, names[2])
+    left = may_go.join(gone, names[2], "left_anti")
+    return (left if rest is None else left.unionByName(rest)).select(*every)

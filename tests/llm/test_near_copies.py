@@ -119,3 +119,82 @@ def test_stage_finds_copies_of_more_than_three_bits(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect())
     assert got == brute_firsts(rows) == list(range(0, 60, 2))
+
+
+def test_bitmaps_tell_long_texts_apart():
+    rng = random.Random(6)
+    for n, m in ((4000, 4000), (4500, 4000), (3900, 4300), (60000, 60000)):
+        same = [rng.getrandbits(64) for _ in range(n // 2)]
+        a, b = (np.array(sorted({*same, *(rng.getrandbits(64) for _ in range(k - n // 2))}), np.uint64) for k in (n, m))
+        bits = [np.frombuffer(nc.bitmap(s), np.uint64) for s in (a, b)]
+        assert len(nc.bitmap(a)) <= nc.BITS[1] // 8
+        assert n > nc.BITS[1] or not nc._may_be(bits[0][None], np.array([n]), bits[1], m, 0.8).any()
+        near = np.array(sorted({*a.tolist()[: n * 9 // 10], *(rng.getrandbits(64) for _ in range(n // 20))}), np.uint64)
+        assert nc._may_be(bits[0][None], np.array([n]), np.frombuffer(nc.bitmap(near), np.uint64), len(near), 0.8).all()
+
+
+def test_long_texts_in_large_buckets_equal_brute_force(spark):
+    """Bitmaps of several widths in one bucket; sizes about a power of two."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(6):
+        base = [f"w{rng.randrange(90000)}" for _ in range((900, 1010, 1100, 2040, 2300, 4100)[k])]
+        for c in range(7):
+            words = list(base)
+            for _ in range(c * len(base) // 200):
+                words[rng.randrange(len(words))] = f"x{rng.random()}"
+            rows.append((10 * k + c, " ".join(["a b c d e f g h", *words, *[f"y{c}{j}" for j in range(6 * c)]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_firsts(rows)
+    assert 6 <= len(want) < len(rows) - 6
+    for cap, part in ((64, 8192), (2, 8192), (2, 5)):
+        assert sorted(r.doc_id for r in nc.one_of_similar(df, cap=cap, part=part).collect()) == want
+
+
+def test_texts_move_once(spark):
+    """Shuffles of whole texts would each write them again; long texts that share some shingles aren't verified on whole sets."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        words = ["%x" % rng.getrandbits(64) for _ in range(1500)]
+        rows.append((2 * k, " ".join(words)))
+        if k % 15 == 0:
+            rows.append((2 * k + 1, " ".join([*words[:1490], "other", "end"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(t) for _, t in rows)
+    stages = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = stages.stageList(None, False, False, getattr(stages, "stageList$default$4")(), None)
+        return sum(found.apply(k).shuffleWriteBytes() for k in range(found.size()))
+
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        assert sorted(r.doc_id for r in nc.one_of_similar(df).collect()) == list(range(0, 300, 2))
+        assert written() - before < 1.6 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+@pytest.mark.parametrize("most", [1 << 25, 1 << 15, 40])
+def test_members_leave_no_listed_row_out(spark, most):
+    from quillmere.llm import members
+
+    rows = spark.range(-3000, 9000).selectExpr("id * 7919 as `k.y`", "id as __block")
+    ids = rows.where("__block % 37 = 0").select("`k.y`")
+    listed = {r[0] for r in ids.collect()}
+    may_be, rest = members.parted(rows, ids, "k.y", most)
+    got = {r[0] for r in may_be.collect()}
+    assert listed <= got and may_be.columns == rows.columns
+    if 4 * len(listed) > most:
+        assert rest is None and may_be.count() == rows.count()
+    else:
+        others = [r[0] for r in rest.collect()]
+        assert len(got) < 2 * len(listed) and not got & set(others) and len(got) + len(others) == rows.count()
+    plain = rows.withColumnRenamed("k.y", "k")
+    assert listed <= {r[0] for r in members.among(plain, ids.withColumnRenamed("k.y", "k"), "k", most).collect()}
+    none, every = members.parted(rows, ids.limit(0), "k.y", most)
+    assert none.count() == 0 and every.count() == rows.count()
