@@ -338,12 +338,12 @@ def _allowed(pairs: DataFrame, bits: DataFrame, share: float) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, words: int, share: float) -> DataFrame:
     """The pairs whose whole sets are similar."""
     pairs = staged(pairs.select("a", "b"))
-    whole = staged(_with(among(sets, _ends(pairs).distinct(), "sid"), "h", T.ArrayType(T.LongType()), lambda h: h.view(np.int64).tolist(), words, ["sid"]))
+    # both joins read one exchange of these, so they need no files
+    whole = _with(among(sets, _ends(pairs).distinct(), "sid"), "h", T.ArrayType(T.LongType()), lambda h: h.view(np.int64).tolist(), words, ["sid"])
     both = pairs.join(whole.select(F.col("sid").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("sid").alias("b"), F.col("h").alias("y")), "b")
     counts = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
     out = staged(counts.where(F.col("both") >= share * (F.col("all") - F.col("both")) - 1e-9).select("a", "b"))
     drop_staged(pairs)
-    drop_staged(whole)
     return out
 
 
