@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmere.llm.centroids import CLUSTERS, DIM, ROUNDS, cluster
 from quillmere.llm.decontaminate import contained_items
 from quillmere.llm.language_id import fit, identify
 from quillmere.llm.license_scan import scan_licenses
@@ -77,5 +78,36 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op2_language_id, op3_simhash, op4_license_scan, op5_media_columns, op6_main_text, op7_repeats, op8_decontaminate, op9_token_counts, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _centroids_sql() -> str:
+    """Each round as two tables: vectors with the nearest centroid, and the centroids after it."""
+    steps = []
+    for k in range(ROUNDS + 1):
+        apart = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+        best = "select n, any_value(vec_id) as vec_id, any_value(v) as v, min(struct_pack(d, cluster)) as best from"
+        steps.append(f"a{k} as ({best} (select x.n, x.vec_id, x.v, {apart} as d, c.cluster from x, c{k} c) group by n)")
+        if k < ROUNDS:
+            sums = f"select best.cluster as cluster, unnest(v) as s, unnest(range({DIM})) as pos from a{k}"
+            floor = "((sum(s) - ((sum(s) % count(*)) + count(*)) % count(*)) // count(*))::bigint"
+            steps.append(f"m{k} as (select cluster, list(s order by pos) as v from (select cluster, pos, {floor} as s from ({sums}) group by cluster, pos) group by cluster)")
+            steps.append(f"c{k + 1} as (select c.cluster, coalesce(m.v, c.v) as v from c{k} c left join m{k} m using (cluster))")
+    return f"""
+with x as (
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda e: floor(64 * e::double)::bigint) as v from embeddings
+  where len(embedding) = {DIM} and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+c0 as (
+  select (row_number() over (order by sha256('1:' || vec_id) nulls last, v) - 1)::int as cluster, v from x
+  qualify cluster < {CLUSTERS}),
+{", ".join(steps)},
+r as (select vec_id, best.cluster as cluster, best.d as distance from a{ROUNDS})
+select vec_id, cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia,
+  sha256(array_to_string(v, ',')) as centroid_sha256
+from r join c{ROUNDS} using (cluster)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op2_language_id, op3_simhash, op4_license_scan, op5_media_columns, op6_main_text, op7_repeats, op8_decontaminate, op9_token_counts, op10_secret_scan, op12_centroids)}
+ORACLE_SQL: dict[str, str] = {"op12_centroids": _centroids_sql()}
