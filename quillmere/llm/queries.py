@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.centroids import CLUSTERS, DIM, ROUNDS, cluster
 from quillmere.llm.decontaminate import contained_items
+from quillmere.llm.hard_negatives import hard_negatives
 from quillmere.llm.language_id import fit, identify
 from quillmere.llm.license_scan import scan_licenses
 from quillmere.llm.main_text import main_text
@@ -78,6 +79,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0, label=shifted)
+
+
+_HARD_NEGATIVES_SQL = """
+with e as (
+  select row_number() over () as n, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.n as a, a.vec_id as anchor_id, a.label = b.label as same, b.n as b, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0)::bigint as score
+  from e a join e b on a.vec_id % 100 = 0 and len(a.v) = len(b.v) and a.vec_id <> b.vec_id),
+p as (select a, anchor_id, b, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by a order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, (row_number() over (partition by p.a, p.b order by score desc, vec_id))::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s on s.a = p.a and not s.same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -109,5 +130,5 @@ from r join c{ROUNDS} using (cluster)
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op2_language_id, op3_simhash, op4_license_scan, op5_media_columns, op6_main_text, op7_repeats, op8_decontaminate, op9_token_counts, op10_secret_scan, op12_centroids)}
-ORACLE_SQL: dict[str, str] = {"op12_centroids": _centroids_sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op2_language_id, op3_simhash, op4_license_scan, op5_media_columns, op6_main_text, op7_repeats, op8_decontaminate, op9_token_counts, op10_secret_scan, op11_hard_negatives, op12_centroids)}
+ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": _HARD_NEGATIVES_SQL, "op12_centroids": _centroids_sql()}
