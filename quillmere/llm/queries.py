@@ -13,6 +13,7 @@ from quillmere.llm.hard_negatives import hard_negatives
 from quillmere.llm.language_id import fit, identify
 from quillmere.llm.license_scan import scan_licenses
 from quillmere.llm.main_text import main_text
+from quillmere.llm.partial_matching import partial_matching_scores
 from quillmere.llm.piece_codec import piece_digests
 from quillmere.llm.repeats import remove_repeats
 from quillmere.llm.secret_scan import scan_secrets
@@ -130,5 +131,11 @@ from r join c{ROUNDS} using (cluster)
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op2_language_id, op3_simhash, op4_license_scan, op5_media_columns, op6_main_text, op7_repeats, op8_decontaminate, op9_token_counts, op10_secret_scan, op11_hard_negatives, op12_centroids)}
+def op13_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aside = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    docs = _documents(spark, sf_dir).select("doc_id", aside.alias("held_out"), "text")
+    return partial_matching_scores(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_codec, op2_language_id, op3_simhash, op4_license_scan, op5_media_columns, op6_main_text, op7_repeats, op8_decontaminate, op9_token_counts, op10_secret_scan, op11_hard_negatives, op12_centroids, op13_partial_matching)}
 ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": _HARD_NEGATIVES_SQL, "op12_centroids": _centroids_sql()}
