@@ -22,10 +22,11 @@ STOPWORDS = [
 ]
 # Fixed value: characters left out of CJK bigrams of the hashing embedding.
 HASH_STOP_CHARS = "的是了在和与及就都也很把被这那有些会能可以为对从到并但而"
+# Short texts that are no content, contents entries, garbled characters.
 BOILERPLATE_PATTERN = "(?i)(newsletter|subscribe|sign up|delivered monthly|cookie policy|privacy policy|follow us|all rights reserved)"
-#: A numbered contents entry; groups and marks are those that Java and RE2 read alike.
-TOC_ENTRY_PATTERN = r"^\s*[0-9A-Z]+(\.[0-9]+)+\.?\s+\S.*\s+\d+\s*$"
+TOC_ENTRY_PATTERN = r"^\s*[0-9A-Z]+(?:\.[0-9]+)+\.?\s+\S.*?\s+\d+\s*$"
 GARBLED_PATTERN = r"[\x{fffd}\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}]"
+# Fixed value: where sentences end.
 SENTENCE_END = r"(?<=[。！？；])\s*(?=\S)"
 
 
@@ -208,6 +209,11 @@ def sentences(text: Column) -> Column:
     return F.split(text, SENTENCE_END)
 
 
+def padded(number: Column) -> Column:
+    """A number of four digits or more."""
+    return F.format_string("%04d", number)
+
+
 def artifact_id(final_uri: Column, uri: Column, sha256: Column) -> Column:
     """doc_ and 12 hex digits of the URI's SHA-256, or of the content's where the picked URI is blank."""
     picked = F.coalesce(F.nullif(final_uri, F.lit("")), uri, F.lit(""))

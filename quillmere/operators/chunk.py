@@ -1,8 +1,8 @@
 """Chunks and parents: ordered packing of block pieces by heading and size, sentence windows, size scans.
 
 Input blocks: artifact, block_id, ord, type, text and optionally section_path, level, page, quality_score, caption,
-code_language, image_uri. The packing state resets on what was packed, so it is a fold over one artifact's ordered
-pieces; everything about it is relational.
+code_language, image_uri. The packing state resets on what was packed, so it runs over one scope's pieces as a stream of sorted
+rows (``fold.running``); everything about it is relational.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.functions.text import token_len
+from quillmere.functions.text import padded, token_len
 from quillmere.operators.blocks import index_decision
+from quillmere.operators.fold import running
 from quillmere.params import ChunkParams
 
 # Block types by their treatment.
@@ -58,23 +59,20 @@ def pack(piece_rows: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
 
     A heading after a body closes; else what does not fit closes; an oversized atomic piece closes at once.
     """
-    seen = Window.partitionBy("artifact", "scope")
-    rows = piece_rows.withColumn("grp", F.min("ord").over(seen))
-    listed = rows.groupBy("artifact", "scope", "grp").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "part", "n", (F.col("type") == "heading").alias("heading"), "oversized"))).alias("ps")
-    )
-    fold = F.expr(
-        f"""aggregate(ps, struct(cast(array() as array<struct<ord:int,part:int,pack:int>>) as out, 0 as k, 0L as tokens, 0 as held, false as body), (s, x) -> struct(
-            concat(s.out, array(struct(cast(x.ord as int) as ord, cast(x.part as int) as part,
-                s.k + if(s.held > 0 and ((x.heading and s.body) or (not (x.heading and s.body) and s.tokens + x.n > {p.chunk_tokens})), 1, 0) as pack))) as out,
-            s.k + if(s.held > 0 and ((x.heading and s.body) or s.tokens + x.n > {p.chunk_tokens}), 1, 0) + if(x.oversized, 1, 0) as k,
-            if(x.oversized, 0L, if(s.held > 0 and ((x.heading and s.body) or s.tokens + x.n > {p.chunk_tokens}), x.n, s.tokens + x.n)) as tokens,
-            if(x.oversized, 0, if(s.held > 0 and ((x.heading and s.body) or s.tokens + x.n > {p.chunk_tokens}), 1, s.held + 1)) as held,
-            if(x.oversized, false, if(s.held > 0 and ((x.heading and s.body) or s.tokens + x.n > {p.chunk_tokens}), not x.heading, s.body or not x.heading)) as body),
-        s -> s.out)"""
-    )
-    packed = listed.select("artifact", "scope", F.explode(fold).alias("x")).select("artifact", "scope", F.col("x.ord").alias("ord"), F.col("x.part").alias("part"), F.col("x.pack").alias("pack"))
-    return rows.join(packed, ["artifact", "scope", "ord", "part"])
+    budget = p.chunk_tokens
+
+    def step(state, n, heading, oversized):
+        _, at, tokens, held, body = state
+        if held and ((heading and body) or tokens + n > budget):
+            at, tokens, held, body = at + 1, 0, 0, False
+        if oversized:
+            return at, at + 1, 0, 0, False
+        return at, at, tokens + n, held + 1, body or not heading
+
+    rows = piece_rows.withColumn("__h", F.col("type") == "heading")
+    packed = running(rows, ["artifact", "scope"], ["ord", "part"], ["n", "__h", "oversized"], step, (0, 0, 0, 0, False), "pack")
+    first = piece_rows.groupBy("artifact", "scope").agg(F.min("ord").alias("grp"))
+    return piece_rows.join(packed.withColumn("pack", F.col("pack").cast("int")), ["artifact", "scope", "ord", "part"]).join(first, ["artifact", "scope"])
 
 
 def chunks(blocks: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
@@ -115,7 +113,7 @@ def chunks(blocks: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("artifact").orderBy("grp", "pack"))
     last = F.element_at(heads, -1)
     out = built.withColumn("heads", heads).withColumn("number", number).select(
-        F.concat_ws("", F.col("artifact").cast("string"), F.lit("_c"), F.lpad(F.col("number").cast("string"), 4, "0")).alias("chunk_id"),
+        F.concat_ws("", F.col("artifact").cast("string"), F.lit("_c"), padded(F.col("number"))).alias("chunk_id"),
         "artifact", "scope", "grp", "pack", "number", "full_text", "sparse_text",
         F.aggregate("ps", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("token_count"),
         F.aggregate("ps", F.lit(0).cast("bigint"), lambda s, x: s + F.length(x["text"])).alias("char_count"),
@@ -134,23 +132,20 @@ def chunks(blocks: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
 def parents(chunk_rows: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
     """(parent_id, artifact, scope_title, child_chunk_ids, full_text, token_count, pages): a scope's chunks in order, at most parent_tokens together."""
     cap = p.parent_tokens if p.parent_tokens > 0 else (1 << 62)
-    listed = chunk_rows.groupBy("artifact", "scope", "grp").agg(F.array_sort(F.collect_list(F.struct("pack", "chunk_id", "token_count"))).alias("cs"))
-    fold = F.expr(
-        f"""aggregate(cs, struct(cast(array() as array<struct<chunk_id:string,seg:int>>) as out, 0 as k, 0L as total, 0 as held), (s, x) -> struct(
-            concat(s.out, array(struct(x.chunk_id as chunk_id, s.k + if(s.held > 0 and s.total + x.token_count > {cap}L, 1, 0) as seg))) as out,
-            s.k + if(s.held > 0 and s.total + x.token_count > {cap}L, 1, 0) as k,
-            if(s.held > 0 and s.total + x.token_count > {cap}L, x.token_count, s.total + x.token_count) as total,
-            if(s.held > 0 and s.total + x.token_count > {cap}L, 1, s.held + 1) as held), s -> s.out)"""
-    )
-    seg = listed.select(F.explode(fold).alias("x")).select("x.chunk_id", "x.seg")
-    rows = chunk_rows.join(seg, "chunk_id")
+
+    def step(state, n):
+        at, total, held = state
+        return (at + 1, n, 1) if held and total + n > cap else (at, total + n, held + 1)
+
+    seg = running(chunk_rows, ["artifact", "scope"], ["pack"], ["token_count"], step, (0, 0, 0), "seg")
+    rows = chunk_rows.join(seg.withColumn("seg", F.col("seg").cast("int")), ["artifact", "scope", "pack"])
     grouped = rows.groupBy("artifact", F.col("scope").alias("scope_title"), "grp", "seg").agg(
         F.array_sort(F.collect_list(F.struct("pack", "chunk_id", "full_text"))).alias("cs"), F.sum("token_count").alias("token_count"),
         F.min(F.when(F.col("page_start") > 0, F.col("page_start"))).alias("page_start"), F.max(F.when(F.col("page_end") > 0, F.col("page_end"))).alias("page_end"),
     )
     number = F.row_number().over(Window.partitionBy("artifact").orderBy("grp", "seg"))
     return grouped.withColumn("number", number).select(
-        F.concat_ws("", F.col("artifact").cast("string"), F.lit("_p"), F.lpad(F.col("number").cast("string"), 4, "0")).alias("parent_id"), "artifact", "scope_title",
+        F.concat_ws("", F.col("artifact").cast("string"), F.lit("_p"), padded(F.col("number"))).alias("parent_id"), "artifact", "scope_title",
         F.transform("cs", lambda x: x["chunk_id"]).alias("child_chunk_ids"), F.array_join(F.transform("cs", lambda x: x["full_text"]), "\n\n").alias("full_text"), "token_count", "page_start", "page_end",
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmere.functions.text import padded
 from quillmere.operators.blocks import with_section_path
 from quillmere.sources.route import parser
 
@@ -225,7 +226,7 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     rows = rows.select("artifact", *(["url"] if url_col else []), (F.col("pos") + 1).alias("ord"), "b.*")
     out = with_section_path(rows)
     # what was taken from outside the main part has no place in it
-    return out.withColumn("section_path", F.when(F.col("main"), F.col("section_path")).otherwise(F.array().cast("array<string>"))).withColumn("block_id", F.concat(F.lit("b"), F.lpad(F.col("ord").cast("string"), 4, "0")))
+    return out.withColumn("section_path", F.when(F.col("main"), F.col("section_path")).otherwise(F.array().cast("array<string>"))).withColumn("block_id", F.concat(F.lit("b"), padded(F.col("ord"))))
 
 
 @parser("html")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmere.functions.text import padded
 from quillmere.operators.blocks import with_section_path
 from quillmere.sources.route import parser
 
@@ -30,7 +31,7 @@ def _finish(blocks: DataFrame) -> DataFrame:
     image = F.regexp_extract("text", r"^\s*!\[([^\]]*)\]\(([^)]*)\)\s*$", 2)
     blocks = blocks.withColumn("image_uri", F.when(F.col("type") == "image", image)).withColumn("text", F.when(F.col("type") == "image", F.regexp_extract("text", r"!\[([^\]]*)\]", 1)).otherwise(F.col("text")))
     numbered = blocks.withColumn("ord", F.row_number().over(w)).drop("line", "bid")
-    return with_section_path(numbered).withColumn("block_id", F.concat(F.lit("b"), F.lpad(F.col("ord").cast("string"), 4, "0")))
+    return with_section_path(numbered).withColumn("block_id", F.concat(F.lit("b"), padded(F.col("ord"))))
 
 
 def parse_markdown(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.functions.text import char_bigrams, jaccard, title_key
+from quillmere.functions.text import char_bigrams, jaccard, padded, title_key
 from quillmere.operators.blocks import with_section_path
 
 ZONE, ZONE_MIN = 0.10, 3
@@ -118,4 +118,4 @@ def pdf_blocks(lines: DataFrame, outline: DataFrame, heights: DataFrame) -> Data
     same = lambda f: (F.col("type") == "heading") & f("type").over(w).eqNullSafe(F.lit("heading")) & f(key).over(w).eqNullSafe(key) & f("page").over(w).eqNullSafe(F.col("page"))
     rows = rows.withColumn("weak", (same(F.lag) & (F.col("size") <= F.lag("size").over(w))) | (same(F.lead) & (F.col("size") < F.lead("size").over(w)))).where(~F.col("weak"))
     rows = rows.withColumn("ord", F.row_number().over(w)).withColumn("level", F.when(F.col("type") == "heading", F.least("level", F.lit(6))))
-    return with_section_path(rows.select("artifact", "ord", "type", "text", "level", "page", "bbox")).withColumn("block_id", F.concat(F.lit("b"), F.lpad(F.col("ord").cast("string"), 4, "0")))
+    return with_section_path(rows.select("artifact", "ord", "type", "text", "level", "page", "bbox")).withColumn("block_id", F.concat(F.lit("b"), padded(F.col("ord"))))

@@ -48,8 +48,8 @@ def _clean(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[\\x{{200b}}\\x{{feff}}]', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
 
 
-_BOILER = "regexp_matches({0}, '(?i)(newsletter|subscribe|sign up|delivered monthly|cookie policy|privacy policy|follow us|all rights reserved)')"
-_TOC = r"'^\s*[0-9A-Z]+(\.[0-9]+)+\.?\s+\S.*\s+\d+\s*$'"
+_BOILER = "regexp_matches({0}, '" + tx.BOILERPLATE_PATTERN + "')"
+_TOC = f"'{tx.TOC_ENTRY_PATTERN}'"
 _TOKEN_LEN = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]'))"
 _CLEAN_LINES = f"{_LINES}, c1 as (select artifact, ord, {_clean('text')} as text from lines), c2 as (select * from c1 where text <> '' and not (length(text) < 300 and {_BOILER.format('text')})), c3 as (select *, lag(text) over (partition by artifact order by ord) as prev from c2), cleaned as (select artifact, row_number() over (partition by artifact order by ord) as ord, text from c3 where prev is null or prev <> text)"
 
@@ -87,18 +87,18 @@ def q_metric_normalize(spark, sf):
     return docs(spark, sf).select("doc_id", tx.metric_text(marked).alias("text"))
 
 
-#: Texts and what they become by the rules for gold matching.
-_EMPHASIS = [
-    ("**Context** refers to the set of tokens.", "Context refers to the set of tokens."), ("__bold__ and _it_", "bold and it"), ("`code_span` here", "code_span here"), ("use snake_case_names and doc_a here", "use snake_case_names and doc_a here"),
-    ("x * 2 * y", "x * 2 * y"), ("multi\nline   text", "multi line text"), ("a [simple definition](https://x/y) for agents", "a simple definition for agents"), ("see [**Managed Agents**](https://x) here", "see Managed Agents here"),
-    ("Agents , on the other hand", "Agents, on the other hand"), ("**_both_** and `*star*`", "_both_ and *star*"), ("", ""), ("_a_ _b_ _c_", "a b c"), ("été_x_ _ü_", "été_x_ ü"),
-]
+_SAID = "source || ' of ' || doc_id"
 
 
-@query("select * from (values " + ", ".join(f"({k}::int, '{b}')" for k, (_, b) in enumerate(_EMPHASIS)) + ") t(id, text)")
+@query(
+    f"select doc_id, {_SAID} || ' then ' || lang || ', ' || source || ' but ' || source || '_' || lang || '_' || doc_id || ' stays; ' || lang || ' ' || {_SAID} || '! 2 _ ' || doc_id || ' _ 4 _' || lang || '_' as text "
+    "from (select doc_id, coalesce(source, '-') as source, coalesce(lang, '-') as lang from documents)"
+)
 def q_metric_emphasis(spark, sf):
-    rows = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(_EMPHASIS)], "id int, raw string")
-    return rows.select("id", tx.metric_text(F.col("raw")).alias("text"))
+    """Emphasis by underscores and back quotes, which look around: paired marks go at the edges of words, those within words stay, and what is uncovered stays."""
+    d = docs(spark, sf).select("doc_id", F.coalesce("source", F.lit("-")).alias("source"), F.coalesce("lang", F.lit("-")).alias("lang"))
+    raw = F.format_string("__%1$s of %2$d__  then _%3$s_ , `%1$s`\nbut %1$s_%3$s_%2$d stays; ___%3$s %1$s of %2$d___ ! 2 _ %2$d _ 4 *_%3$s_*", "source", "doc_id", "lang")
+    return d.select("doc_id", tx.metric_text(raw).alias("text"))
 
 
 _NOISY = "'<!-- Image -->' || chr(10) || '![a chart](b.png)  ' || chr(10) || '1.1. ' || source || ' ..... ' || doc_id || chr(10) || '. . . . . . . chapter' || chr(10) || '  12 ' || chr(10) || '# ' || source || chr(10) || '2.1 Part 7' || chr(10) || text || chr(10) || chr(10) || '   ' || chr(10) || '…………··········' || chr(10) || 'end .. 3'"
@@ -365,14 +365,15 @@ packing as (select *, 0 as k, n as open from line_pieces where i = 1 union all s
 line_chunks as (select size, artifact, row_number() over (partition by size, artifact order by k) as k, sum(n)::bigint as token_count, sum(length(text))::bigint as char_count, count(*) as n_pieces, string_agg(text, chr(10) || chr(10) order by i) as full_text, string_agg(text, ' ' order by i) as plain from packing group by size, artifact, k)"""
 
 
-_CHUNK_ID = "artifact || '_c' || lpad(k::varchar, 4, '0')"
+_PADDED = "lpad({0}::varchar, greatest(4, length({0}::varchar))::int, '0')"
+_CHUNK_ID = f"artifact || '_c' || {_PADDED.format('k')}"
 
 
 def _recursive(sql: str) -> str:
     return "with recursive " + sql.replace("recursive_ as (select 1), ", "")
 
 
-@query(_recursive(f"{_PACK} select artifact || '_c' || lpad(number::varchar, 4, '0') as chunk_id, token_count, char_count, digest from c"))
+@query(_recursive(f"{_PACK} select artifact || '_c' || {_PADDED.format('number')} as chunk_id, token_count, char_count, digest from c"))
 def q_chunks(spark, sf):
     """Conversation turns packed in order."""
     return ch.chunks(_turns(spark, sf), TURN).select("chunk_id", "token_count", "char_count", F.md5("full_text").alias("digest"))
@@ -381,7 +382,7 @@ def q_chunks(spark, sf):
 @query(
     _recursive(
         f"{_PACK}, s as (select artifact, number, token_count, 0 as seg, token_count as total from c where number = 1 union all select c.artifact, c.number, c.token_count, s.seg + (s.total + c.token_count > {TURN.parent_tokens})::int, case when s.total + c.token_count > {TURN.parent_tokens} then c.token_count else s.total + c.token_count end from s join c on c.artifact = s.artifact and c.number = s.number + 1) "
-        "select artifact || '_p' || lpad((seg + 1)::varchar, 4, '0') as parent_id, count(*) as n_chunks, sum(token_count)::bigint as token_count from s group by artifact, seg"
+        f"select artifact || '_p' || {_PADDED.format('(seg + 1)')} as parent_id, count(*) as n_chunks, sum(token_count)::bigint as token_count from s group by artifact, seg"
     )
 )
 def q_parents(spark, sf):

@@ -379,3 +379,15 @@ def test_short_needles(spark):
     needles = [(1, "apple"), (2, "sauce boat"), (3, "ce bo"), (4, " two"), (5, "e b"), (6, "e applesau c")]
     got = ev.find_contained(spark.createDataFrame(needles, "needle long, needle_text string"), texts).collect()
     assert sorted(map(tuple, got)) == sorted((n, d) for n, x in needles for d, t in [(1, "one applesauce two"), (2, "apple"), (3, "sauce boat house"), (4, "the applesau ce")] if x in t)
+
+
+def test_ids_and_packing_of_long_artifacts(spark):
+    """Over 9,999 chunks: ids stay distinct, order stays, and the stream packs as a plain walk does."""
+    n = 10_050
+    blocks = spark.range(n).select(F.lit("d").alias("artifact"), (F.col("id") + 1).cast("int").alias("ord"), F.lit("text").alias("type"), F.format_string("w%d x y", "id").alias("text"))
+    p = ChunkParams(chunk_tokens=3, parent_tokens=9)
+    c = ch.chunks(blocks, p).select("chunk_id", "artifact", "scope", "grp", "pack", "number", "full_text", "token_count", "page_start", "page_end")
+    rows = sorted(c.collect(), key=lambda r: r.number)
+    assert [r.chunk_id for r in rows] == [f"d_c{k:04d}" for k in range(1, n + 1)] and rows[-1].full_text == f"w{n - 1} x y"
+    ps = sorted(ch.parents(c, p).collect(), key=lambda r: (len(r.parent_id), r.parent_id))
+    assert [r.parent_id for r in ps] == [f"d_p{k:04d}" for k in range(1, n // 3 + 1)] and ps[-1].child_chunk_ids == [f"d_c{k}" for k in range(n - 2, n + 1)]
