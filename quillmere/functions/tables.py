@@ -48,6 +48,11 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one, for tables that are written in parts; it goes at the driver's end."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def drop_staged(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
     path = getattr(df, "_staged_path", None)

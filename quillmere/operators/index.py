@@ -11,6 +11,10 @@ from quillmere.operators.blocks import admitted
 from quillmere.params import Bm25Params
 
 
+#: Terms that a search of plain tables hands to their scan.
+PUSHED = 1000
+
+
 def source_name(metadata_name: Column, title: Column, uri: Column) -> Column:
     """Given name, else title, else the last part of the URI's path, else the URI."""
     path = F.try_parse_url(uri, F.lit("PATH"))
@@ -62,7 +66,7 @@ def write_index(dense: DataFrame, sparse: DataFrame, path: str, embed=None, dim:
     if apply_weight:
         w = docs.select(F.col("point_id").alias("doc"), F.col("index_decision.sparse_weight").alias("w"))
         post = post.join(w, "doc").withColumn("weight", F.col("weight") * F.col("w")).drop("w")
-    # postings lie by term, so that a search reads the files of its terms
+    # postings lie by term, so that a filter on terms skips row groups
     post.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
     sp.vocabulary(sp.document_frequencies(tf)).write.mode("overwrite").parquet(f"{path}/vocabulary")
     sp.index_summary(tf, stats).write.mode("overwrite").parquet(f"{path}/stats")
@@ -74,10 +78,14 @@ def update_artifacts(rows: DataFrame, path: str) -> None:
 
 
 def search_index(spark, path: str, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
-    """BM25 search of a written index: (query, doc, score, matched, rank)."""
+    """BM25 search of a written index: (query, doc, score, matched, rank). Tables that change or are large are for ``store.IndexStore``."""
     stats = spark.read.parquet(f"{path}/stats").select("n_docs")
     vocab, post = spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/postings")
-    q = sp.query_terms(queries, query_id, query_text).join(vocab, "term").crossJoin(F.broadcast(stats)).select("query", "term", (sp.idf(F.col("n_docs"), F.col("df")) * F.col("qtf")).alias("qw"))
+    asked = sp.query_terms(queries, query_id, query_text)
+    few = [r["term"] for r in asked.select("term").distinct().limit(PUSHED + 1).collect()]
+    if len(few) <= PUSHED:  # so many are told to the scan
+        post = post.where(F.col("term").isin(few))
+    q = asked.join(vocab, "term").crossJoin(F.broadcast(stats)).select("query", "term", (sp.idf(F.col("n_docs"), F.col("df")) * F.col("qtf")).alias("qw"))
     hits = q.join(post, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"), F.array_sort(F.collect_list("term")).alias("matched")).where("score > 0")
     return sp.top_k(hits, k, F.desc("score"), F.asc("doc"))
 

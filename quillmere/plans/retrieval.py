@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as tx
-from quillmere.functions.tables import staged
+from quillmere.functions.tables import new_folder, staged
 from quillmere.operators import context as ctx
 from quillmere.operators import dense as de
 from quillmere.operators import evaluate as ev
 from quillmere.operators import hybrid as hy
 from quillmere.operators import sparse as sp
+from quillmere.operators.store import IndexStore
 from quillmere.params import ContextParams
 from quillmere.sources.readers import read_table
 
@@ -198,6 +199,21 @@ def q_bm25_topk(spark, sf):
     return sparse_list(spark, sf, 5).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
+_LEFT = _BM25.replace("from documents", "from (select * from documents where source is distinct from 'src0')")
+
+
+@query(f"with {_LEFT} select query, doc, score, matched, rank from sparse where rank <= 5")
+def q_stored_index(spark, sf):
+    """Top 5 from a stored index after three changes: built from all documents but the Spanish ones, German ones in capitals; those two languages written anew as they are; the hot source deleted."""
+    rows = docs(spark, sf).select(F.col("doc_id").alias("doc"), F.col("doc_id").cast("string").alias("artifact"), "text", "lang", "source")
+    store = IndexStore(spark, new_folder(spark), buckets=16)
+    lang = F.coalesce("lang", F.lit("-"))
+    store.rebuild(rows.where(lang != "es").withColumn("text", F.when(lang == "de", F.concat(F.upper("text"), F.lit(" old words"))).otherwise(F.col("text"))))
+    store.upsert(rows.where(lang.isin("es", "de")))
+    snap = store.delete(rows.where("source = 'src0'"))
+    return snap.search(bench(spark, sf), 5, "item_id", "text").select("query", "doc", "score", F.array_join("matched", " ").alias("matched"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"with {_BM25} select query, doc, matched from sparse where rank <= 5")
 def q_matched_terms(spark, sf):
     return sp.with_matched(sparse_list(spark, sf, 5), docs(spark, sf), bench(spark, sf)).select("query", "doc", F.array_join("matched", " ").alias("matched"))
