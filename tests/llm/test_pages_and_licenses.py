@@ -74,7 +74,7 @@ def _tree(rng, depth, named):
     tag = rng.choice(["div", "div", "section", "b", "a", "nav", "footer", "h2", "li", "script", "aside"] + (["article"] if named else []))
     if tag == "script":
         return tag, "", ["if (x) y();"]
-    return tag, rng.choice(["", "", "", "x", "ad", "comments", "legal", "sidebar left"]), kids
+    return tag, rng.choice(["", "", "", "x", "ad", "comments", "legal", "sidebar left", "related-work"]), kids
 
 
 def _html(node):
@@ -86,8 +86,10 @@ def _html(node):
 
 def _brute_text(root):
     """The definition, by recursion over the tree with paths as tuples of tags and weights."""
+    talk_names = {"comments"}
+
     def has_article(node):
-        return not isinstance(node, str) and (node[0] == "article" or any(map(has_article, node[2])))
+        return not isinstance(node, str) and node[1] not in talk_names and (node[0] == "article" or any(map(has_article, node[2])))
 
     # first blocks with the elements around them, then what depends on their text
     found = []  # (elements around, text, linked)
@@ -102,57 +104,81 @@ def _brute_text(root):
             found[-1][2] += len(node) if linked else 0
             return
         tag, name, kids = node
-        breaks = tag in mt.BLOCKS or tag == "script" or bool(name and weight_of(node) < 1)
+        nodes[id(node)] = node
+        inside[id(node)] = any(nodes[i][0] == "article" for i in around)
+        breaks = tag in mt.BLOCKS or tag == "script" or name in talk_names or bool(name and weight_of(node) < 1)
         if breaks and found:
             found[-1][3] = True
         if tag != "script":
             for k in kids:
-                walk(k, around + (id(node),) if breaks else around, linked or tag == "a")
-                nodes[id(node)] = node
+                walk(k, around + (id(node),), linked or tag == "a")
         if breaks and found:
             found[-1][3] = True
 
     def weight_of(node):
-        words = set((node[1] or "").split())
-        return mt.STRONG if words & mt.STRONG_WORDS else mt.WEAK if words & mt.WEAK_WORDS else 1.0
+        tag, name = node[:2]
+        if tag == "article":
+            return 1.0
+        return {"ad": 1 / 32, "comments": 1 / 32, "legal": 1 / 2, "sidebar left": 1 / 32, "related-work": 1.0 if inside[id(node)] else 1 / 8}.get(name, 1.0)
 
-    nodes = {}
+    nodes, inside = {}, {}
     walk(root, (), False)
     rows = [(around, re.sub(r"\s+", " ", text).strip(), linked) for around, text, linked, _ in found if around is not None]
     rows = [r for r in rows if r[1]]
     whole = sum(len(t) for _, t, _ in rows)
     any_article = has_article(root)
 
-    def keeps(i):
-        inner = sum(len(t) for around, t, _ in rows if i in around)
-        return has_article(nodes[i]) or not any_article and 2 * inner >= whole
+    def talks(around):
+        return any(nodes[i][1] in talk_names for i in around)
+
+    def keeps(i, around):
+        inner = sum(len(t) for a, t, _ in rows if i in a)
+        return has_article(nodes[i]) and not talks(around[: around.index(i)]) or not any_article and 2 * inner >= whole
 
     kept = []
     for around, text, linked in rows:
-        path, w, out, inside = [], 1.0, False, False
-        for i in around:
+        path, w, out, marked, first = [], 1.0, False, False, None
+        for at, i in enumerate(around):
             tag = nodes[i][0]
-            own = 1.0 if keeps(i) else weight_of(nodes[i])
-            out = out or tag in mt.ASIDE and not keeps(i)
+            own = 1.0 if keeps(i, around) else weight_of(nodes[i])
+            out = out or tag in mt.ASIDE and not keeps(i, around) and nodes[i][1] not in talk_names
+            marked = marked or own < 1
+            article = tag == "article" and not talks(around[: at + 1])
             if tag in mt.BLOCKS or own < 1:
                 path.append((tag, own))
-                w *= own * (mt.NAMED if tag == "article" and not inside else 1)
-            inside = inside or tag == "article"
+                w *= own * (8 if article and first is None else 1)
+            first = i if article and first is None else first
         if not out:
-            kept.append((tuple(path), text, linked, w))
+            kept.append((tuple(path), text, linked, w, around, marked, first))
+    kept = [r for r in kept if not talks(r[4])] or kept
     if not kept:
         return ""
-    paths = {p: [t for q, t, _, _ in kept if q == p] for p, *_ in kept}
-    links = {p: sum(min(x, len(t)) for q, t, x, _ in kept if q == p) / sum(map(len, paths[p])) for p in paths}
-    length = [sum(map(len, paths[p])) / len(paths[p]) for p, *_ in kept]
-    marks = [(1 + sum(sum(c in ".,;:!?" for c in t) for t in paths[p])) / len(paths[p]) for p, *_ in kept]
+    paths = {r[0]: [t for q, t, *_ in kept if q == r[0]] for r in kept}
+    links = {p: sum(min(r[2], len(r[1])) for r in kept if r[0] == p) / sum(map(len, paths[p])) for p in paths}
+    length = [sum(map(len, paths[r[0]])) / len(paths[r[0]]) for r in kept]
+    marks = [(1 + sum(sum(c in ".,;:!?" for c in t) for t in paths[r[0]])) / len(paths[r[0]]) for r in kept]
     near = lambda v, k: (2 * v[k] + v[max(k - 1, 0)] + v[min(k + 1, len(v) - 1)]) / 4
     value = {}
-    for k, (p, _, _, w) in enumerate(kept):
-        x = (near(length, k) * near(marks, k)) ** 0.5 * (1 - links[p]) * w * (mt.LISTED if links[p] > 0.5 else 1)
+    for k, (p, _, _, w, *_) in enumerate(kept):
+        x = (near(length, k) * near(marks, k)) ** 0.5 * (1 - links[p]) * w * (1 / 4 if links[p] > 0.5 else 1)
         value[p] = max(value.get(p, 0), x)
-    bar = mt.PATH_SHARE * max(value.values())
-    return " ".join(t for p, t, _, _ in kept if value[p] >= bar)
+    bar = 0.2 * max(value.values())
+    good = [k for k, r in enumerate(kept) if value[r[0]] >= bar]
+    articles = {i for k in good for i in kept[k][4] if nodes[i][0] == "article" and not talks(kept[k][4][: kept[k][4].index(i) + 1])}
+    common = [i for i in kept[good[0]][4] if all(i in kept[k][4] for k in good)]
+    begin = good[0]
+    while begin and kept[begin - 1][4] and nodes[kept[begin - 1][4][-1]][0] == "h2":
+        begin -= 1
+
+    def stays(k):
+        p, _, _, _, around, marked, _ = kept[k]
+        if value[p] >= bar:
+            return True
+        if articles:
+            return not marked and any(i in articles for i in around)
+        return not marked and (not common or common[-1] in around) and begin <= k <= good[-1] and links[p] <= 0.5
+
+    return " ".join(r[1] for k, r in enumerate(kept) if stays(k))
 
 
 def test_pages_equal_brute_force():
@@ -169,6 +195,38 @@ def test_pages_equal_brute_force():
     assert some > 100
 
 
+PARTS = [
+    "<p>A paragraph {}, with some words, and marks in it, as they come.</p>", "<h2>Part {}</h2>", "<ul><li>item {}</li><li>more</li></ul>", "<ol><li>first {}<li>second</ol>", "<table><tr><th>k {}</th><td>v</td></tr></table>",
+    "<blockquote>Said {}</blockquote>", "<pre>x = f({})</pre>", "<section class='related-work'><p>Others {} did so.</p></section>", "<div class='comments-summary'><p>In sum {}.</p></div>", "<dl><dt>term {}</dt><dd>what it is</dd></dl>",
+    "<figure><img src=x><figcaption>Figure {}</figcaption></figure>", "<p>See <a href='#r'>reference {}</a></p>", "<div>Short {}</div>",
+]
+NOISE = [
+    "<nav><ul><li><a href='/'>Home</a></li></ul></nav>", "<header><p>The site, of us all, where texts are read.</p></header>", "<footer>All rights, of course, are reserved.</footer>", "<aside><p>Read this, too, and that, and more.</p></aside>",
+    "<div class='sidebar'><p>Side text, of length, with marks, to read.</p></div>", "<div class='cookie-notice'>We use cookies, as others do, so accept.</div>", "<div class='ad'>Buy now, or never, so cheap!</div>", "<form>Your name: <input></form>",
+    "<script>var a = '<p>no</p>';</script>", "<div class='comment'><article><p>Great, really great, thanks, so much, for it!</p></article></div>", "<article class='comment-body'><p>Me too, as a reader, of long standing.</p></article>", "<section id='comments'><p>So nice, and so true, and so well put!</p></section>",
+]
+
+
+def test_articles_keep_all_that_was_put_in():
+    """Pages made of parts that are known to be article or not; nothing is taken from the operator."""
+    rng = random.Random(12)
+    for _ in range(300):
+        inner = [rng.choice(PARTS).format(rng.randint(0, 99)) for _ in range(rng.randint(3, 12))]
+        inner.insert(rng.randint(0, len(inner)), PARTS[0].format(7))
+        want = " ".join(re.sub(r"\s+", " ", t).strip() for t in re.sub(r"</?(?:p|h2|li|ul|ol|tr|th|td|table|blockquote|pre|section|div|dl|dt|dd|figure|figcaption)\b[^>]*>", "\n", re.sub(r"</?a\b[^>]*>|<img[^>]*>", "", "".join(inner))).split("\n") if t.strip())
+        noisy = [x for x in inner]
+        for x in rng.sample(NOISE[3:9], 2):  # some of it within the article
+            noisy.insert(rng.randint(0, len(noisy)), x if "<article" not in x else "")
+        tag = rng.choice(["article", "main"])
+        around = rng.sample(NOISE, 5)
+        cut = rng.randint(0, 5)
+        page = f"<html><body>{''.join(around[:cut])}<{tag}>{''.join(noisy)}</{tag}>{''.join(around[cut:])}</body></html>"
+        assert extract(page) == want, page
+    # without an article element: what lies between its paragraphs stays, what is marked or before goes
+    page = "<body><div>Skip</div><div class='post'><h2>T</h2>" + PARTS[0].format(1) + PARTS[2].format(2) + PARTS[6].format(3) + "<div class='ad'>Buy, now!</div>" + PARTS[0].format(4) + "</div><div class='comments'><p>Great, as ever, so great, and so on, and on!</p></div></body>"
+    assert extract(page) == "T A paragraph 1, with some words, and marks in it, as they come. item 2 more x = f(3) A paragraph 4, with some words, and marks in it, as they come."
+
+
 def longest_rising(pairs):
     best = [1] * len(pairs)
     for i in range(len(pairs)):
