@@ -64,7 +64,8 @@ def append_columns(
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    src = df.select(*[column(c) for c in kept], column(text_col).cast("string").alias(TEXT))
+    # numbered, as a batch function's input can't have names with dots or one name twice
+    src = df.select(*[column(c).alias(f"c{i}") for i, c in enumerate(kept)], column(text_col).cast("string").alias(TEXT))
     out = T.StructType([*[df.schema[c] for c in kept], *fields])
     at = len(kept)
     names = [*kept, *[f.name for f in fields]]

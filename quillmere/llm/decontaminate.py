@@ -98,11 +98,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
+#: Bytes of text handed to one call: what is laid beside a byte is some 30 times as large.
+BATCH_BYTES = 1 << 18
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+    """The first n powers, from a table that grows to the longest batch."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, BATCH_BYTES + 1), base, np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        _POWERS[base] = np.multiply.accumulate(out, out=out)
+    return _POWERS[base][:n]
 
 
 class Words:
@@ -113,7 +120,10 @@ class Words:
         self.text = np.searchsorted(at, self.start, "right") - 1
         # a word's polynomial hash from running sums, shifted to the word's start
         with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(data)))))
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.add(data, np.uint64(1), out=sums[1:])
+            sums[1:] *= _powers(_P, len(data))
+            np.cumsum(sums, out=sums)
             self.hash = _mix((sums[self.end] - sums[self.start]) * _powers(_INV, len(data) + 1)[self.start])
         self.count = np.bincount(self.text, minlength=len(at) - 1)
 
@@ -264,7 +274,7 @@ def contained_items(
 
             return run
 
-        found = append_columns(docs, text_col, make, out_fields, keep).where(F.size("__found") > 0)
+        found = append_columns(docs, text_col, make, out_fields, keep, limit=BATCH_BYTES).where(F.size("__found") > 0)
         return found.select(*[column(c) for c in keep if c.lower() not in (item_id.lower(), "containment")], F.inline("__found"))
 
     return functools.reduce(DataFrame.unionByName, _passes(items, item_id, item_text, block_bytes, words, share, short, look))
@@ -288,7 +298,7 @@ def without_items(
 
             return run
 
-        found = append_columns(done[-1] if done else docs, text_col, make, [T.StructField(flag, T.BooleanType())])
+        found = append_columns(done[-1] if done else docs, text_col, make, [T.StructField(flag, T.BooleanType())], limit=BATCH_BYTES)
         return found.where(~column(flag)).drop(flag)
 
     return _passes(items, item_id, item_text, block_bytes, words, share, short, look)[-1]

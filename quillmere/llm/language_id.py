@@ -324,4 +324,4 @@ def identify(docs: DataFrame, models: Models, text_col: str = "text", keep: list
         return run
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    return append_columns(docs, text_col, make, fields, keep, limit=1 << 20)
+    return append_columns(docs, text_col, make, fields, keep, limit=1 << 18)

@@ -92,7 +92,7 @@ def _with(docs: DataFrame, name: str, kind: T.DataType, of, words: int, keep: li
 
         return run
 
-    return append_columns(docs, "__t", make, [T.StructField(name, kind)], keep, limit=1 << 20)
+    return append_columns(docs, "__t", make, [T.StructField(name, kind)], keep, limit=1 << 18)
 
 
 def _digest(h: np.ndarray) -> int:

@@ -35,7 +35,7 @@ from quillmere.llm.batches import append_columns
 MARK = "▁"
 #: A run of marks with the word after it, a word at a line's start, or a line end.
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-MEMO_WORDS = 600_000
+MEMO_WORDS = 100_000
 _TAILS = frozenset(".,;:!?")
 _LOADED: dict[str, "PieceCodec"] = {}
 
@@ -420,7 +420,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", keep: list
         return run
 
     fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-    return append_columns(docs, text_col, make, fields, keep, limit=1 << 20)
+    return append_columns(docs, text_col, make, fields, keep, limit=1 << 18)
 
 
 def piece_digests(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -527,7 +527,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
         return run
 
-    return append_columns(docs, text_col, make, fields, keep, limit=1 << 20)
+    return append_columns(docs, text_col, make, fields, keep, limit=1 << 17)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:

@@ -94,3 +94,22 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_own_columns_come_out_untouched(spark, tmp_path):
+    rng = random.Random(3)
+    own = ["score", "spans", "redacted", "n_tokens", "piece_ids", "lang_pred", "rejected", "decoded", "row", "a.b", "__leaked", "__text", "sid", "fp"]
+    rows = []
+    for i in range(60):
+        text = prose(rng, rng.choice(list(PARTS)), 60) + (" password=abcdefgh1jklmnop" if i % 10 == 0 else "")
+        rows.append((i, text, rng.choice(list(PARTS)), "s", len(text), *[f"{c} of {i}" for c in own]))
+    names = ["doc_id", "text", "lang", "source", "n_chars", *own]
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, prose(rng, "en", 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*names, "_n_tokens", "_piece_ids", "round_trip"]
+    found = out.collect()
+    assert len(found) == 60
+    for r in found:
+        assert list(r[5 : 5 + len(own)]) == [f"{c} of {r.doc_id}" for c in own]
+        assert len(r["_piece_ids"]) == r["_n_tokens"] > 0 and ("[SECRET]" in r.text) == (r.doc_id % 10 == 0)
