@@ -20,7 +20,7 @@ def local_session(cores: str = "*", name: str = "quillmere", shuffle_partitions:
 
 
 #: Bytes of one Arrow batch to a Python worker, where the session names no limit: rows may be long texts.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 _ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
