@@ -6,7 +6,9 @@
 4. secret scans: each secret gives way to a mark; n_chars follows.
 5. SentencePiece: every text is encoded and decoded; ids are added.
 
-No document is shortened or sampled. ``lang``, ``source`` and ``doc_id`` decide nothing
+No document is shortened or sampled. Columns that the input has besides those of ``documents`` come out as they went in, whatever their
+names; a result of the last stage whose name is taken gets underscores before it. Null and empty texts have no letter, so the first
+stage drops them; equal rows are one group of copies; empty tables give empty ones. ``lang``, ``source`` and ``doc_id`` decide nothing
 but which labelled documents the language models learn from.
 """
 
@@ -17,6 +19,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmere.llm.batches import column, free_name
 from quillmere.llm.decontaminate import without_items
 from quillmere.llm.language_id import fit, identify
 from quillmere.llm.near_copies import one_of_similar
@@ -37,10 +40,15 @@ def stage(f):
     return run
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Each row as one column, beside its text: what an operator computes can't meet its names."""
+    return docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column("text").alias("text"))
+
+
 @stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     models = fit(docs.where(~held_out()))
-    return identify(docs, models).where("not rejected").select(*docs.columns)
+    return identify(_packed(docs), models, keep=["row"]).where("not rejected").select("row.*")
 
 
 @stage
@@ -55,16 +63,19 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @stage
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = scan_secrets(docs, redact=MARK)
+    found = scan_secrets(_packed(docs), keep=["row"], redact=MARK)
     hit = F.col("spans") != ""
-    changed = {"text": F.when(hit, F.col("redacted")).otherwise(F.col("text")), "n_chars": F.when(hit, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    changed = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    own = {c: F.col("row")[c] for c in docs.columns}
+    return found.select(*[(F.when(hit, changed[c]).otherwise(own[c]) if c in changed else own[c]).alias(c) for c in docs.columns])
 
 
 @stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
-    return found.select(*docs.columns, F.size("piece_ids").cast("long").alias("n_tokens"), "piece_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    found = encode_pieces(_packed(docs), tokenizer_path("piece_bpe_32k.model"), keep=["row"])
+    same = F.col("decoded") == F.coalesce(F.col("row")["text"], F.lit(""))
+    made = {"n_tokens": F.size("piece_ids").cast("long"), "piece_ids": F.col("piece_ids"), "round_trip": same}
+    return found.select("row.*", *[c.alias(free_name(name, docs.columns)) for name, c in made.items()])
 
 
 STAGES = [
