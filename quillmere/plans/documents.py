@@ -197,6 +197,23 @@ _ROUTED = [
 ]
 
 
+@query(
+    "select doc_id, case when kind = 0 then 'json:accepted' when kind = 3 then 'json:error, plain:' || done when kind = 1 then 'office:unsupported, markdown:' || done else 'markdown:' || done end as attempts, "
+    "kind = 0 or done = 'accepted' as accepted from (select doc_id, doc_id % 6 % 4 as kind, case when regexp_matches(text, '\\S') then 'accepted' else 'rejected' end as done from documents)"
+)
+def q_parse_fallbacks(spark, sf):
+    """What the chain of parsers tried for each document: some are JSON exports, some only said to be, some of a kind without a parser."""
+    kind = F.col("doc_id") % 6 % 4
+    export = F.concat(F.lit('{"blocks": [{"type": "text", "text": "of '), F.col("doc_id").cast("string"), F.lit('"}]}'))
+    name = F.when(kind.isin(0, 3), "json").when(kind == 1, "office").otherwise("markdown")
+    fallbacks = F.when(kind == 3, F.array(F.lit("plain"))).when(kind == 1, F.array(F.lit("markdown"))).otherwise(F.array().cast("array<string>"))
+    data = F.encode(F.when(kind == 0, export).otherwise(F.col("text")), "UTF-8")
+    routed = docs(spark, sf).select(F.col("doc_id").alias("artifact"), name.alias("parser"), fallbacks.alias("fallbacks"), data.alias("data"))
+    _, attempts = ro.parse_chain(routed, lambda b: b.groupBy("artifact").count())
+    listed = ro.attempt_lists(attempts)
+    return listed.select(F.col("artifact").alias("doc_id"), F.array_join(F.transform("attempts", lambda x: F.concat(x["parser"], F.lit(":"), x["outcome"])), ", ").alias("attempts"), "accepted")
+
+
 @query("select * from (values " + ", ".join(f"('{r[0]}', '{r[4]}', '{r[5]}')" for r in _ROUTED) + ") t(id, mime_type, parser)")
 def q_route_fixture(spark, sf):
     rows = spark.createDataFrame([r[:4] for r in _ROUTED], "id string, body string, declared string, path string")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import inspect
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillmere.functions.tables import drop_staged, staged
 from quillmere.sources.readers import extension
 
 # MIME types of each parser.
@@ -65,25 +69,106 @@ def parser(name: str):
     return add
 
 
+#: Parsers of one payload by name: functions of its bytes to dicts of BLOCK's fields. What they raise becomes the row's error.
+ROW_PARSERS: dict[str, Callable[..., list[dict]]] = {}
+BLOCK = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("level", T.IntegerType())])
+
+
+def row_parser(name: str):
+    def add(f):
+        ROW_PARSERS[name] = f
+        return f
+
+    return add
+
+
+@row_parser("json")
+def json_blocks(data: bytes) -> list[dict]:
+    """Blocks of an exported document: ``{"blocks": [{"type", "text", "level"}, ...]}``, or its ``text``."""
+    value = json.loads(data)
+    if not isinstance(value, dict) or not ("blocks" in value or "text" in value):
+        raise ValueError("neither blocks nor text")
+    rows = value.get("blocks", [{"type": "text", "text": value.get("text")}])
+    return [{"type": b.get("type", "text"), "text": b["text"], "level": b.get("level")} for b in rows if (b["text"] or "").strip()]
+
+
+def _by_row(rows: DataFrame, options: dict) -> DataFrame:
+    """Blocks of rows (artifact, parser, data) of all row parsers in one pass, or a row with what was raised as ``error``."""
+    import pyarrow as pa
+
+    kind = rows.schema["artifact"]
+    schema = T.StructType([kind, *BLOCK.fields, T.StructField("error", T.StringType())])
+    calls = {name: (f, known_options(f, options)) for name, f in ROW_PARSERS.items()}
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for b in batches:
+            for artifact, name, data in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
+                f, known = calls[name]
+                try:
+                    found = [{c: x.get(c) for c in ("type", "text", "level")} | {"ord": i} for i, x in enumerate(f(data.as_py() or b"", **known))]
+                    table = pa.RecordBatch.from_pylist([{kind.name: artifact.as_py(), **x, "error": None} for x in found], arrow)
+                except Exception as e:  # any failure of a parser is that row's result
+                    table = pa.RecordBatch.from_pylist([{kind.name: artifact.as_py(), "error": f"{type(e).__name__}: {e}"}], arrow)
+                yield table
+
+    return rows.select("artifact", "parser", "data").mapInArrow(run, schema)
+
+
+def _parsed(now: DataFrame, names: list[str], options: dict) -> DataFrame:
+    """Blocks and errors of one try: each row goes to its own parser only. Text that is not UTF-8 is an error of the parsers of tables."""
+    parts = []
+    if any(n in ROW_PARSERS for n in names):
+        parts.append(_by_row(now.where(F.col("parser").isin(list(ROW_PARSERS))), options))
+    good = F.coalesce(F.is_valid_utf8(F.col("data").cast("string")), F.lit(True)) if "data" in now.columns else F.lit(True)
+    tables = [n for n in names if n in PARSERS]
+    for name in tables:
+        parse = PARSERS[name]
+        parts.append(parse(now.where((F.col("parser") == name) & good), **known_options(parse, options)).withColumn("error", F.lit(None).cast("string")))
+    if tables:
+        parts.append(now.where(F.col("parser").isin(tables) & ~good).select("artifact", F.lit("not UTF-8").alias("error")))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def parse_chain(routed: DataFrame, accept: Callable[[DataFrame], DataFrame], tries: int = 2, options: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(blocks, attempts): rows go to their parser; those that ``accept`` (blocks to accepted artifacts) leaves out go to their next fallback.
+    """(blocks, attempts): rows go to their parser; those that fail, or that ``accept`` (blocks to accepted artifacts) leaves out, go to their next fallback.
 
-    Each parser gets those of ``options`` that it takes. ``routed`` has artifact, parser and fallbacks. Rows of parsers that are not installed end as attempts with the outcome ``unsupported``.
+    Each parser gets those of ``options`` that it takes. ``routed`` has artifact, parser, fallbacks and data. Of each try the rows and what they gave are written
+    once, so that a row is parsed once a try, and only those left are in the next. Attempts (artifact, parser, attempt, outcome, error) end as ``accepted``, ``rejected``,
+    ``error`` (with what was raised) or, for a parser that is not installed, ``unsupported``.
     """
-    rest = routed.withColumn("chain", F.concat(F.array("parser"), "fallbacks"))
-    found, attempts = None, None
+    if not PARSERS and not ROW_PARSERS:
+        raise ValueError("no parser is installed")
+    installed = [*PARSERS, *ROW_PARSERS]
+    rest = staged(routed.withColumn("chain", F.concat(F.array("parser"), "fallbacks")))
+    found: list[DataFrame] = []
+    attempts: list[DataFrame] = []
     for k in range(1, tries + 1):
         now = rest.withColumn("parser", F.try_element_at("chain", F.lit(k))).where("parser is not null")
-        blocks = None
-        for name, parse in PARSERS.items():
-            part = parse(now.where(F.col("parser") == name), **known_options(parse, options or {}))
-            blocks = part if blocks is None else blocks.unionByName(part, allowMissingColumns=True)
-        if blocks is None:
-            raise ValueError("no parser is installed")
-        good = accept(blocks).select("artifact").distinct().withColumn("ok", F.lit(True))
-        tried = now.join(good, "artifact", "left").select("artifact", "parser", F.lit(k).alias("attempt"), F.when(F.col("ok"), "accepted").when(~F.col("parser").isin(list(PARSERS)), "unsupported").otherwise("rejected").alias("outcome"))
-        kept = blocks.join(good.select("artifact"), "artifact", "left_semi")
-        found = kept if found is None else found.unionByName(kept, allowMissingColumns=True)
-        attempts = tried if attempts is None else attempts.unionByName(tried)
-        rest = rest.join(good, "artifact", "left_anti")
-    return found, attempts
+        names = sorted(r["parser"] for r in now.where(F.col("parser").isin(installed)).select("parser").distinct().collect())  # no more than are installed
+        if names:
+            parsed = staged(_parsed(now, names, options or {}))
+            blocks = parsed.where("error is null").drop("error")
+            failed = parsed.where("error is not null").groupBy("artifact").agg(F.min("error").alias("error"))
+            good = staged(accept(blocks).select("artifact").distinct().withColumn("ok", F.lit(True)).join(failed, "artifact", "left_anti"))
+            tried = now.join(good, "artifact", "left").join(failed, "artifact", "left")
+            found.append(blocks.join(good.select("artifact"), "artifact", "left_semi"))
+        else:
+            tried = now.withColumn("ok", F.lit(None).cast("boolean")).withColumn("error", F.lit(None).cast("string"))
+        outcome = F.when(F.col("error").isNotNull(), "error").when(F.col("ok"), "accepted").when(~F.col("parser").isin(installed), "unsupported").otherwise("rejected")
+        attempts.append(staged(tried.select("artifact", "parser", F.lit(k).alias("attempt"), outcome.alias("outcome"), "error")))
+        if names:
+            left = staged(rest.join(good, "artifact", "left_anti"))
+            drop_staged(rest)
+            rest = left
+    if not found:
+        found.append(rest.select("artifact", *[F.lit(None).cast(f.dataType).alias(f.name) for f in BLOCK.fields]).where("false"))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found), functools.reduce(DataFrame.unionByName, attempts)
+
+
+def attempt_lists(attempts: DataFrame) -> DataFrame:
+    """(artifact, attempts, accepted): each artifact's tries in order, with parser, outcome and error, and whether one was accepted."""
+    tries = F.array_sort(F.collect_list(F.struct("attempt", "parser", "outcome", "error")))
+    return attempts.groupBy("artifact").agg(tries.alias("attempts"), F.max((F.col("outcome") == "accepted").cast("int")).cast("boolean").alias("accepted"))

@@ -300,6 +300,35 @@ def test_parse_chain(spark):
     assert got == {("a", 1): "accepted", ("b", 1): "accepted", ("c", 1): "unsupported", ("c", 2): "accepted", ("d", 1): "rejected", ("d", 2): "rejected"}
 
 
+def test_parse_chain_takes_failures_as_values(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def picky(data, limit=3):
+        calls.add(1)
+        if len(data) > limit:
+            raise RuntimeError("too long")
+        return [{"type": "text", "text": data.decode()}]
+
+    rows = [(1, b"ok", "picky", ["plain"]), (2, b"too long", "picky", ["plain"]), (3, b"\xff\xfe", "picky", ["plain"]), (4, b"\xff text", "markdown", ["picky", "plain"]), (5, b'{"text": "t"}', "json", []), (6, b"no json", "json", ["nobody"]), (7, None, "picky", []), (8, b"# T", "markdown", [])]
+    df = spark.createDataFrame([(a, None if d is None else bytearray(d), p, f) for a, d, p, f in rows], "artifact int, data binary, parser string, fallbacks array<string>").repartition(3)
+    try:
+        ro.ROW_PARSERS["picky"] = picky
+        blocks, attempts = ro.parse_chain(df, lambda b: b.groupBy("artifact").agg(F.max(F.length("text")).alias("n")).where("n > 0"), tries=3, options={"limit": 4, "unknown": 1})
+        got = {r.artifact: ([(x.parser, x.outcome) for x in r.attempts], r.accepted) for r in ro.attempt_lists(attempts).collect()}
+        errors = {(r.artifact, r.attempt): r.error for r in attempts.where("error is not null").collect()}
+        texts = {r.artifact: r.text for r in blocks.collect()}
+        blocks.count(), attempts.count()
+    finally:
+        del ro.ROW_PARSERS["picky"]
+    assert got == {
+        1: ([("picky", "accepted")], True), 2: ([("picky", "error"), ("plain", "accepted")], True), 3: ([("picky", "error"), ("plain", "error")], False), 4: ([("markdown", "error"), ("picky", "error"), ("plain", "error")], False),
+        5: ([("json", "accepted")], True), 6: ([("json", "error"), ("nobody", "unsupported")], False), 7: ([("picky", "rejected")], False), 8: ([("markdown", "accepted")], True),
+    }
+    assert errors[2, 1] == "RuntimeError: too long" and errors[4, 1] == "not UTF-8" and errors[3, 1].startswith("UnicodeDecodeError") and errors[6, 1].startswith("JSONDecodeError")
+    assert texts == {1: "ok", 2: "too long", 5: "t", 8: "T"}
+    assert calls.value == 5  # once a row and try, whatever reads the results
+
+
 def test_index_rebuild_and_search(spark, tmp_path):
     def build(texts):
         docs = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)], "artifact string, text string")
