@@ -15,6 +15,7 @@ from quillmere.operators import index as ix
 from quillmere.operators import parse_html as ph
 from quillmere.operators import parse_text as pt
 from quillmere.operators import pdf_lines as pl
+from quillmere.operators import segment as sg
 from quillmere.params import ChunkParams
 from quillmere.plans.retrieval import docs, table
 from quillmere.sources import readers as rd
@@ -145,6 +146,48 @@ def q_length_cuts(spark, sf):
     return ch.cut_points(rows, "artifact", "ord", "text", "distance", 1200, 400)
 
 
+# ---- words of CJK text ----------------------------------------------------
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_SIGNS = "".join(chr(0x4E00 + 97 * k) for k in range(26))
+_RUNS = f"runs as (select item_id, unnest(rs) as run, unnest(range(len(rs))) as place from (select item_id, regexp_extract_all(replace(translate(lower(text), '{_LETTERS}', '{_SIGNS}'), ' ', ''), '[\\x{{4e00}}-\\x{{9fff}}]+') as rs from benchmark))"
+_LEARNED = f"""{_RUNS}, places as (select run, unnest(range(1, length(run) + 1)) as i from runs), grams as (select substr(run, i, k) as gram, k, count(*) as n from places, unnest(range(1, 6)) t(k) where i + k - 1 <= length(run) group by 1, 2),
+total as (select coalesce(sum(n), 0)::bigint as total from grams where k = 1), cuts as (select gram, n, substr(gram, 1, c) as a, substr(gram, c + 1) as b from grams, unnest(range(1, 4)) t(c) where k between 2 and 4 and n >= 4 and c < k),
+tied as (select cuts.gram, cuts.n from cuts join grams x on x.gram = a join grams y on y.gram = b, total group by cuts.gram, cuts.n having min(cuts.n * total::double / (x.n * y.n)) >= 3),
+around as (select gram, max(m) as m from (select substr(gram, 1, k - 1) as gram, n as m from grams where k > 2 and n >= 4 union all select substr(gram, 2), n from grams where k > 2 and n >= 4) group by gram),
+words as (select gram as word, n from grams where k = 1 union all select tied.gram, tied.n from tied left join around using (gram) where coalesce(m, 0) <= 0.8::double * tied.n)"""
+
+
+def _signs(spark, sf):
+    """Benchmark passages as CJK text: a sign for each letter, no blanks."""
+    return table(spark, sf, "benchmark").select("item_id", F.replace(F.translate(F.lower("text"), _LETTERS, _SIGNS), F.lit(" "), F.lit("")).alias("text"))
+
+
+@query(f"with {_LEARNED} select word, n::bigint as n from words")
+def q_word_dictionary(spark, sf):
+    """Words learned from text without blanks."""
+    return sg.learn_words(_signs(spark, sf), "text", 4, 4, 3.0)
+
+
+@query(
+    f"""with recursive {_LEARNED}, whole as (select sum(n)::double as whole from words), table_ as (select map(list(word), list(ln(n / whole))) as m, ln(1 / any_value(whole)) as unknown from words, whole),
+distinct_runs as (select distinct run, length(run) as len from runs),
+dp as (select run, len, len as i, [0.0::double] as tail, 0 as step from distinct_runs union all
+  select run, len, i - 1, list_prepend(list_max(c), tail[1:3]), 5 - list_position(list_reverse(c), list_max(c)) from (
+    select run, len, i, tail, [coalesce(m[substr(run, i, 1)], unknown) + tail[1], case when i + 1 <= len then m[substr(run, i, 2)] + tail[2] end, case when i + 2 <= len then m[substr(run, i, 3)] + tail[3] end, case when i + 3 <= len then m[substr(run, i, 4)] + tail[4] end] as c
+    from dp, table_ where i > 0)),
+walk as (select run, i, step from dp where i = 0 union all select dp.run, dp.i, dp.step from walk join dp on dp.run = walk.run and dp.i = walk.i + walk.step where dp.i < dp.len),
+split as (select run, string_agg(substr(run, i + 1, step), ' ' order by i) as said, count(*) as n from walk group by run)
+select item_id, sum(n)::bigint as n_words, md5(string_agg(said, ' ' order by place)) as digest from runs join split using (run) group by item_id"""
+)
+def q_word_split(spark, sf):
+    """The likeliest words of text without blanks, by the dictionary learned from it."""
+    rows = _signs(spark, sf)
+    words = sg.Dictionary(sg.learn_words(rows, "text", 4, 4, 3.0))
+    found = F.regexp_extract_all(words.spaced(F.col("text")), F.lit(sg.RUN), F.lit(0))
+    return rows.select("item_id", found.alias("w")).where(F.size("w") > 0).select("item_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
 # ---- quality --------------------------------------------------------------
 
 _QUALITY = f"""{_LINES}, m as (select artifact, count(*) as block_count, sum(length(text)) + greatest(count(*) filter (text <> '') - 1, 0) as char_count, count(distinct md5(trim(text))) filter (trim(text) <> '') as kinds, count(*) filter (trim(text) <> '') as filled, sum(len(regexp_extract_all(text, '[\\x{{fffd}}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]'))) as bad from lines group by artifact),
