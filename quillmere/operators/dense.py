@@ -49,8 +49,39 @@ def _blocks(rows: DataFrame, size: int):
         yield held
 
 
-def _searched(rows: DataFrame, queries: DataFrame, k: int, size: int, matrix, parse) -> DataFrame:
-    """(query, doc, score, rank) of the k best rows for each query.
+#: Rows, and products of queries and rows, that a task looks at together.
+ROWS, PRODUCT = 1024, 1 << 20
+
+
+class _Best:
+    """The k best rows of each query (line) so far; ties go to the smaller id."""
+
+    def __init__(self, lines: int, k: int):
+        import numpy as np
+
+        self.k, self.line, self.doc, self.score = k, np.zeros(0, np.int64), None, np.zeros(0)
+        self.bar = np.full(lines, -np.inf)  # a line's k-th best score
+
+    def add(self, s, docs) -> None:
+        """Scores of all lines and these rows; no more than what may be among the k best is sorted."""
+        import numpy as np
+
+        least = np.partition(s, -self.k, axis=1)[:, -self.k] if s.shape[1] > self.k else np.full(len(s), -np.inf)
+        line, row = np.nonzero((s >= np.maximum(least, self.bar)[:, None]) & (s > -np.inf))
+        if not len(line):
+            return
+        line, score = np.concatenate((self.line, line)), np.concatenate((self.score, s[line, row]))
+        doc = docs[row] if self.doc is None else np.concatenate((self.doc, docs[row]))
+        order = np.lexsort((doc, -score, line))
+        line = line[order]
+        place = np.arange(len(line)) - np.searchsorted(line, line)
+        kept = order[place < self.k]
+        self.bar[line[place == self.k - 1]] = score[order[place == self.k - 1]]
+        self.line, self.doc, self.score = line[place < self.k], doc[kept], score[kept]
+
+
+def _searched(rows: DataFrame, queries: DataFrame, k: int, size: int, matrix, parse, shared_only: bool = False) -> DataFrame:
+    """(query, doc, score, rank) of the k best rows for each query; with ``shared_only``, of those with a product over 0.
 
     Queries are taken in blocks of ``size`` vectors, each broadcast as one matrix (a stated bound) and scored by a matrix
     product per Arrow batch; a task hands on the k best it has seen for each query, and these partial lists are merged. No pair of
@@ -73,25 +104,16 @@ def _searched(rows: DataFrame, queries: DataFrame, k: int, size: int, matrix, pa
 
         def run(batches, shared=shared):
             q_ids, q = shared.value
-            best_s = best_d = None
-            for b in batches:
-                if not b.num_rows or not len(q_ids):
-                    continue
-                docs, m, there = parse(b)
+            best = _Best(len(q_ids), k)
+            step = max(1, min(ROWS, PRODUCT // max(1, len(q_ids))))
+            for b in (b.slice(i, step) for b in batches if len(q_ids) for i in range(0, b.num_rows, step)):
+                docs, m = parse(b)
                 if not len(docs):
                     continue
-                s = np.round(q @ m.T, 6)
-                if there is not None:
-                    s = np.where(q.astype(bool).astype(np.float32) @ there.T.astype(np.float32) > 0, s, -np.inf)
-                d = np.broadcast_to(docs, s.shape)
-                if best_s is not None:
-                    s, d = np.hstack((best_s, s)), np.hstack((best_d, d))
-                best = np.lexsort((d, -s), axis=1)[:, :k]
-                line = np.arange(len(q_ids))[:, None]
-                best_s, best_d = s[line, best], d[line, best]
-            if best_s is not None:
-                ok = best_s > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, ok.sum(1)).tolist(), kinds[0]), pa.array(best_d[ok].tolist(), kinds[1]), pa.array(best_s[ok])], names=["query", "doc", "score"])
+                s = q @ m.T
+                best.add(np.where(s > 0, np.round(s, 6), -np.inf) if shared_only else np.round(s, 6), docs)
+            if len(best.line):
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[best.line].tolist(), kinds[0]), pa.array(best.doc.tolist(), kinds[1]), pa.array(best.score)], names=["query", "doc", "score"])
 
         found = top_k(rows.mapInArrow(run, schema), k, F.desc("score"), F.asc("doc"))
         if following is None and not done:
@@ -105,7 +127,7 @@ def _searched(rows: DataFrame, queries: DataFrame, k: int, size: int, matrix, pa
 def sparse_cosine_topk(docs: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, dim: int = DIM) -> DataFrame:
     """(query, doc, score, rank) of hashed vectors (doc, buckets, values) against queries of the same form.
 
-    Only documents that share a bucket with a query are its hits. A batch of documents is one dense block.
+    Only documents that share a bucket with a query are its hits: weights are positive, so those with a product over 0. Some rows of a batch are one dense block.
     """
     import numpy as np
 
@@ -125,11 +147,10 @@ def sparse_cosine_topk(docs: DataFrame, queries: DataFrame, k: int, block: int =
 
         ids = np.array(b.column(0).to_pylist())
         sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
-        m = dense(ids, b.column(1).flatten().to_numpy(zero_copy_only=False), sizes, b.column(2).flatten().to_numpy(zero_copy_only=False))
-        return ids, m, m > 0
+        return ids, dense(ids, b.column(1).flatten().to_numpy(zero_copy_only=False), sizes, b.column(2).flatten().to_numpy(zero_copy_only=False))
 
     cols = ["doc", "buckets", "values"]
-    return _searched(docs.select(*cols).where("doc is not null"), queries.select(*cols).where("doc is not null"), k, block, matrix, parse)
+    return _searched(docs.select(*cols).where("doc is not null"), queries.select(*cols).where("doc is not null"), k, block, matrix, parse, shared_only=True)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -143,12 +164,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", batch: int = BLOCK) -> DataFrame:
-    """(query, doc, score, rank) by cosine over all vectors; null vectors and those of another length than the first query's are no hits, and as queries have none."""
+    """(query, doc, score, rank) by cosine over all vectors; null vectors and those of another length than most queries' (of two that are as common, the smaller one) are no hits, and as queries have none."""
     import numpy as np
 
     cols = [F.col(id_col).cast("long").alias("doc"), F.col(vec_col).cast("array<float>").alias("v")]
     asked = queries.select(*cols).where("v is not null and doc is not null")
-    head = asked.select(F.size("v").alias("n")).first()
+    head = asked.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = head["n"] if head else 0
     whole = f"v is not null and doc is not null and size(v) = {dim} and not exists(v, x -> x is null)"
 
@@ -160,7 +181,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
         return np.array([r["doc"] for r in rows], np.int64), unit([r["v"] for r in rows])
 
     def parse(b):
-        return b.column(0).to_numpy(), unit(b.column(1).flatten().to_numpy(zero_copy_only=False)), None
+        return b.column(0).to_numpy(), unit(b.column(1).flatten().to_numpy(zero_copy_only=False))
 
     return _searched(vectors.select(*cols).where(whole), asked.where(whole), k, batch, matrix, parse)
 

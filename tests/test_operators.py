@@ -420,3 +420,17 @@ def test_ids_and_packing_of_long_artifacts(spark):
     assert [r.chunk_id for r in rows] == [f"d_c{k:04d}" for k in range(1, n + 1)] and rows[-1].full_text == f"w{n - 1} x y"
     ps = sorted(ch.parents(c, p).collect(), key=lambda r: (len(r.parent_id), r.parent_id))
     assert [r.parent_id for r in ps] == [f"d_p{k:04d}" for k in range(1, n // 3 + 1)] and ps[-1].child_chunk_ids == [f"d_c{k}" for k in range(n - 2, n + 1)]
+
+
+def test_dense_search_takes_ties_and_most_queries_length(spark):
+    rng = random.Random(11)
+    rows = [(i, [float(rng.randint(-1, 1)) for _ in range(3)]) for i in range(3000)] + [(5000, [1.0]), (5001, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = [(1, [1.0]), (2, [1.0, 0.0, 1.0]), (3, [-1.0, 1.0, 0.0])]
+    got = [(r["query"], r.doc, r.score) for r in de.dense_topk(vectors, spark.createDataFrame(asked, "vec_id long, embedding array<float>"), 7).orderBy("query", "rank").collect()]
+    unit = lambda v: [x / (sum(y * y for y in v) ** 0.5 or 1) for x in v]
+    want = []
+    for q, v in asked[1:]:
+        scored = [(-round(sum(a * b for a, b in zip(unit(v), unit(x))), 6), i) for i, x in rows if x is not None and len(x) == 3]
+        want += [(q, i, -s) for s, i in sorted(scored)[:7]]
+    assert got == want
