@@ -5,6 +5,8 @@ Metrics of queries without gold are null and leave the means' denominators.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,24 @@ def required_stages(stages) -> set[str]:
     return need
 
 
+#: Characters of a piece by which words are looked up.
+PIECE = 8
+
+
+def _words_with(words: DataFrame, heads: DataFrame) -> DataFrame:
+    """(needle, key) of words (key) that are, begin or end with, or hold a head (needle, head, kind): joined by pieces of at most PIECE characters, then verified."""
+    size = F.least(F.length("head"), F.lit(PIECE))
+    piece = F.when(F.col("kind") == "whole", F.col("head")).when(F.col("kind") == "suffix", F.right("head", size)).otherwise(F.left("head", size))
+    asked = heads.withColumn("n", F.when(F.col("kind") != "whole", size)).withColumn("piece", piece)
+    out = [words.select("key", F.lit("whole").alias("kind"), F.col("key").alias("piece"))]
+    for kind, n in asked.where("n is not null").select("kind", "n").distinct().collect():  # three kinds of up to PIECE lengths
+        fit = words.where(F.length("key") >= n)
+        each = {"prefix": F.left("key", F.lit(n)), "suffix": F.right("key", F.lit(n)), "inner": F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substring(F.col("key"), i, F.lit(n)))))}[kind]
+        out.append(fit.select("key", F.lit(kind).alias("kind"), each.alias("piece")))
+    fits = F.when(F.col("kind") == "prefix", F.startswith("key", "head")).when(F.col("kind") == "suffix", F.endswith("key", "head")).otherwise(F.contains("key", "head"))
+    return functools.reduce(DataFrame.unionByName, out).join(asked, ["kind", "piece"]).where(fits).select("needle", "key").distinct()
+
+
 def find_contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """(needle, doc) where a needle (needle, needle_text) is a substring of a text (doc, text).
 
@@ -46,10 +66,10 @@ def find_contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
     key = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
     words = texts.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("key"))
     pairs = words.join(keyed.where("size(ws) > 2").select("needle", key.alias("key")), "key").select("needle", "doc")
-    short = keyed.where("size(ws) between 1 and 2").select("needle", F.element_at("ws", 1).alias("head"), (F.size("ws") == 1).alias("one"), F.expr("not startswith(needle_text, ws[0])").alias("led"))
-    fits = F.when(F.col("led") & F.col("one"), F.startswith("key", "head")).when(F.col("one"), F.contains("key", "head")).when(F.col("led"), F.col("key") == F.col("head")).otherwise(F.endswith("key", "head"))
-    some = words.select("key").distinct().join(short, fits).select("needle", "key")
-    blank = keyed.where("size(ws) = 0").select("needle").join(texts.select("doc").where("text rlike '[ \\\\n\\\\t]'"), F.lit(True)) if False else None
+    led = F.expr("not startswith(needle_text, ws[0])")
+    kind = F.when(led & (F.size("ws") == 1), "prefix").when(led, "whole").when(F.size("ws") == 1, "inner").otherwise("suffix")
+    short = keyed.where("size(ws) between 1 and 2").select("needle", F.element_at("ws", 1).alias("head"), kind.alias("kind"))
+    some = _words_with(words.select("key").distinct(), short)
     pairs = pairs.unionByName(words.join(some, "key").select("needle", "doc")).distinct()
     both = pairs.join(needles.select("needle", "needle_text"), "needle").join(texts.select("doc", "text"), "doc")
     return both.where(F.contains("text", "needle_text")).select("needle", "doc")

@@ -434,3 +434,14 @@ def test_dense_search_takes_ties_and_most_queries_length(spark):
         scored = [(-round(sum(a * b for a, b in zip(unit(v), unit(x))), 6), i) for i, x in rows if x is not None and len(x) == 3]
         want += [(q, i, -s) for s, i in sorted(scored)[:7]]
     assert got == want
+
+
+def test_short_needles_are_found_in_words(spark):
+    rng = random.Random(2)
+    letters = "ab\n "
+    texts = [(i, "".join(rng.choices(letters + "ab", k=rng.randint(0, 30)))) for i in range(150)] + [(900, "abcdefghijklmnop qrstuv"), (901, None)]
+    needles = [(i, "".join(rng.choices(letters, k=rng.randint(1, 5)))) for i in range(120)] + [(500, "bcdefghijklm"), (501, "ghijklmnop q"), (502, " qrstuv"), (503, "cdefghijkx"), (504, "")]
+    got = ev.find_contained(spark.createDataFrame(needles, "needle int, needle_text string"), spark.createDataFrame(texts, "doc int, text string"))
+    want = {(n, d) for n, x in needles for d, t in texts if t is not None and x.strip(" \n\t") and x in t}
+    assert {tuple(r) for r in got.collect()} == want and (501, 900) in want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
