@@ -17,16 +17,16 @@ Repeated rows each have a row and each are learned from; a null learning mark me
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmere.llm.batches import column, raw_bytes, release_memory
+from quillmere.llm.batches import column, cut_by_bytes, release_memory
 from quillmere.llm.tables import drop_staged, staged
 
 ORDER, BLOCK_BYTES = 4, 16 << 20
@@ -39,21 +39,27 @@ PART = 2 << 20
 LOW = 1
 
 
-def token_bytes(text: bytes) -> list[bytes]:
-    """Words of a text, A-Z in lower case."""
-    return text.lower().split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts laid end to end, A-Z in lower case, and len+1 offsets into them; null counts as empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    there = pc.not_equal(pc.binary_length(flat), 0)
+    before = np.concatenate(([0], np.cumsum(there.to_numpy(zero_copy_only=False))))
+    at = lists.offsets.to_numpy()
+    return flat.filter(there).cast(pa.binary()), before[at - at[0]]
 
 
 class Grams:
-    """Grams of texts laid end to end: ``keys``, the last byte lowest, and where each text's grams start."""
+    """Grams of texts' words laid end to end: ``keys``, the last byte lowest, and where each text's grams start."""
 
-    def __init__(self, texts: list[list[bytes]], order: int):
-        lines = [bytes([PAD]) * order + b" ".join(words) + bytes([END]) for words in texts]
-        data = np.frombuffer(b"".join(lines), np.uint8)
-        size = np.array([len(x) for x in lines], np.int64)
+    def __init__(self, words: pa.Array, at: np.ndarray, order: int):
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), words), b" ").to_pylist()
+        pad, end = bytes([PAD]) * order, bytes([END])
+        data = np.frombuffer(b"".join([pad + x + end for x in joined]), np.uint8)
+        size = np.array([len(x) for x in joined], np.int64) + order + 1
         keys = data.astype(np.int64)
         for k in range(1, order + 1):
-            keys[k:] |= data[:-k].astype(np.int64) << 8 * k
+            keys[k:] |= np.left_shift(data[:-k], 8 * k, dtype=np.int64)
         begin = np.cumsum(size) - size
         mine = np.ones(len(data), bool)
         mine[(begin[:, None] + np.arange(order)).ravel()] = False
@@ -61,46 +67,70 @@ class Grams:
         self.starts = np.cumsum(size - order) - (size - order)
 
 
+class Table:
+    """Values of distinct keys, in open addressing."""
+
+    _MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2.5 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        place = np.full(1 << bits, -1, np.int64)
+        at, left = self._first(keys), np.arange(len(keys))
+        while len(left):
+            free = left[place[at[left]] < 0]
+            place[at[free]] = free
+            left = left[place[at[left]] != left]
+            at[left] = (at[left] + 1) & self.last
+        self.key, self.value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        self.key[at], self.value[at] = keys, values
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self._MIX) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are all there."""
+        at = self._first(keys)
+        off = np.flatnonzero(self.key[at] != keys)
+        while len(off):
+            at[off] = (at[off] + 1) & self.last
+            off = off[self.key[at[off]] != keys[off]]
+        return self.value[at]
+
+
 class _Asks:
     """Distinct grams and words of one block, with their counts in learning texts."""
 
     def __init__(self, order: int):
-        self.order, self.words, self.held = order, Counter(), []
-        self.keys, self.counts, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def add(self, words: list[bytes], learn: bool) -> None:
-        if learn:
-            self.words.update(words)
-            self.words[b""] += 1  # the end
-        else:
-            for w in {*words, b""}.difference(self.words):
-                self.words[w] = 0
-        self.held.append((words, learn))
-        self.size += sum(map(len, words)) + len(words)
-        if self.size > PART:
-            self.settle()
-
-    def settle(self) -> None:
-        found = [(self.keys, self.counts)]
-        for learn in (True, False):
-            texts = [w for w, x in self.held if x == learn]
-            if texts:
-                keys, n = np.unique(Grams(texts, self.order).keys, return_counts=True)
-                found.append((keys, n if learn else np.zeros(len(n), np.int64)))
-        self.held, self.size = [], 0
-        keys = np.concatenate([k for k, _ in found])
-        if len(keys):
-            at = np.argsort(keys, kind="stable")
-            keys, n = keys[at], np.concatenate([n for _, n in found])[at]
-            first = np.flatnonzero(np.diff(keys, prepend=-1))
-            self.keys, self.counts = keys[first], np.add.reduceat(n, first)
+        self.order, self.learned, self.words, self.held = order, 0, [], 0
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, texts: pa.Array, learn: bool) -> None:
+        words, at = tokens(texts)
+        found = words.value_counts()
+        n = found.field(1) if learn else pa.array(np.zeros(len(found), np.int64))
+        self.words.append(pa.table({"w": found.field(0), "n": n.cast(pa.int64())}))
+        self.held += len(found)
+        self.learned += len(texts) if learn else 0
+        keys, n = np.unique(Grams(words, at, self.order).keys, return_counts=True)
+        keys, n = np.concatenate((self.keys, keys)), np.concatenate((self.counts, n if learn else np.zeros(len(n), np.int64)))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.keys, self.counts = keys[first], np.add.reduceat(n, first)
+        if self.held > 1 << 19:
+            self._settle()
+
+    def _settle(self) -> None:
+        if self.words:
+            self.words = [pa.concat_tables(self.words).group_by("w").aggregate([("n", "sum")]).select(["w", "n_sum"]).rename_columns(["w", "n"])]
+        self.held = 0
 
     def batches(self, block: int):
-        self.settle()
-        words = list(self.words.items())
-        for a in range(0, len(words), 1 << 14):
-            some = words[a : a + (1 << 14)]
-            yield self._batch(block, pa.nulls(len(some), pa.int64()), pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64()))
+        self.words.append(pa.table({"w": pa.array([b""], pa.binary()), "n": pa.array([self.learned], pa.int64())}))  # the end
+        self._settle()
+        for b in self.words[0].to_batches(1 << 14):
+            yield self._batch(block, pa.nulls(len(b), pa.int64()), b.column(0), b.column(1))
         for a in range(0, len(self.keys), 1 << 15):
             keys = self.keys[a : a + (1 << 15)]
             yield self._batch(block, pa.array(keys), pa.nulls(len(keys), pa.binary()), pa.array(self.counts[a : a + (1 << 15)]))
@@ -109,21 +139,19 @@ class _Asks:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block, np.int32)), g, w, n], names=["block", "g", "w", "n"])
 
 
-def _texts(array: pa.Array) -> list[bytes]:
-    data, at = raw_bytes(array)
-    return [data[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-
-
 def _asks(rows: DataFrame, order: int) -> DataFrame:
     """(block, g, w, n) of rows (block, learn, t) that are dealt by block."""
 
     def run(batches):
         asks: dict[int, _Asks] = {}
         for batch in batches:
-            for block, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))):
-                if block not in asks:
-                    asks[block] = _Asks(order)
-                asks[block].add(token_bytes(text), learn)
+            for part in cut_by_bytes(batch, 2, PART):
+                blocks, learn = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
+                for block in np.unique(blocks).tolist():
+                    for mark in (True, False):
+                        mine = (blocks == block) & (learn == mark)
+                        if mine.any():
+                            asks.setdefault(block, _Asks(order)).add(part.column(2).filter(pa.array(mine)), mark)
         for block, found in asks.items():
             yield from found.batches(block)
         asks.clear()
@@ -195,32 +223,30 @@ def _scored(rows: DataFrame, order: int, total: int, unknown: int) -> DataFrame:
     """Results of rows (g, w, x, r, t) dealt by block: answers (g or w, with x) and texts."""
 
     def run(batches):
-        keys, lengths, words, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}, []
+        keys, lengths, words, costs, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.binary())], [np.zeros(0, np.int64)], []
         for batch in batches:
             g, w, x = batch.column(0), batch.column(1), batch.column(2)
             told, named = g.is_valid(), w.is_valid()
             keys.append(g.filter(told).to_numpy())
             lengths.append(x.filter(told).to_numpy())
-            words.update(zip(w.filter(named).to_pylist(), x.filter(named).to_pylist()))
-            texts = batch.select([3, 4]).filter(batch.column(3).is_valid())
+            words.append(w.filter(named))
+            costs.append(x.filter(named).to_numpy())
+            texts = batch.select([3, 4]).filter(batch.column(4).is_valid())
             if texts.num_rows:
                 held.append(texts)
-        keys, lengths = np.concatenate(keys), np.concatenate(lengths)
-        at = np.argsort(keys)
-        keys, lengths = keys[at], lengths[at]
-        for batch in held:
-            texts = [token_bytes(t) for t in _texts(batch.column(1))]
-            base = [[x for x in map(words.get, [*t, b""]) if x is not None] for t in texts]
-            n, known = np.array([len(t) + 1 for t in texts]), np.array([len(b) for b in base])
-            plain = np.array([sum(b) for b in base], np.int64) + (n - known) * unknown
-            score = np.zeros(len(texts), np.int64)
-            first, size = 0, np.array([sum(map(len, t)) + len(t) for t in texts], np.int64)
-            for last in [*(np.flatnonzero(np.diff(np.cumsum(size) // PART)) + 1).tolist(), len(texts)]:
-                found = Grams(texts[first:last], order)
-                score[first:last] = np.add.reduceat(lengths[np.searchsorted(keys, found.keys)], found.starts)
-                first = last
+        table, words, costs = Table(np.concatenate(keys), np.concatenate(lengths)), pa.concat_arrays(words), np.concatenate(costs)
+        last = pc.index_in(pa.scalar(b"", pa.binary()), value_set=words).as_py()
+        for part in (p for batch in held for p in cut_by_bytes(batch, 1, PART)):
+            own, at = tokens(part.column(1))
+            place = pc.index_in(own, value_set=words).fill_null(-1).to_numpy().astype(np.int64)
+            there = np.concatenate(([0], np.cumsum(place >= 0)))
+            spent = np.concatenate(([0], np.cumsum(np.where(place >= 0, costs[np.maximum(place, 0)] if len(costs) else 0, unknown))))
+            n, known = np.diff(at) + 1, np.diff(there[at]) + (last is not None)
+            plain = np.diff(spent[at]) + (unknown if last is None else costs[last])
+            found = Grams(own, at, order)
+            score = np.add.reduceat(table[found.keys], found.starts)
             made = [pa.array(n), pa.array(known), pa.array(np.full(len(n), total, np.int64)), pa.array(plain / UNIT), pa.array(score / UNIT)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["r", *_MADE.names])
+            yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["r", *_MADE.names])
         release_memory()
 
     return rows.select("g", "w", "x", "r", "t").mapInArrow(run, T.StructType([rows.schema["r"], *_MADE.fields]))
