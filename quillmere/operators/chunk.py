@@ -175,6 +175,14 @@ def size_scan(blocks: DataFrame, sizes: list[int]) -> DataFrame:
     return agg.withColumn("slope", F.round(F.col("mean") / F.lag("mean").over(Window.orderBy("size")) - 1.0, 4))
 
 
+def plateaus(scan: DataFrame, most: float = 0.02) -> DataFrame:
+    """(size_from, size, change, first) of neighbouring sizes of a scan whose numbers of chunks differ by less than ``most``; ``first`` is where the first such stretch begins."""
+    w = Window.orderBy("size")  # a row for each size
+    change = F.round(F.col("n_chunks") / F.lag("n_chunks").over(w) - 1.0, 4)
+    flat = scan.select(F.lag("size").over(w).alias("size_from"), "size", change.alias("change")).where(F.abs("change") < most)
+    return flat.withColumn("first", F.min("size_from").over(Window.partitionBy()))
+
+
 def sentence_windows(sents: DataFrame, group: str, order: str, text: str, radius: int) -> DataFrame:
     """Adds ``window``: each sentence with ``radius`` neighbours on both sides of its group."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(-radius, radius)

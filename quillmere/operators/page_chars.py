@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 #: Points within which a character is drawn again, characters share a line, and stand in one word.
 AGAIN, LINE, WORD = 1.5, 3.0, 3.0
 
+# Parts of the names of fonts whose characters are all as wide.
+MONO = ["mono", "courier", "consol", "menlo", "code", "fixed", "typewriter"]
+
+
+def is_mono(font: Column) -> Column:
+    """Whether a font's name says that its characters are all as wide."""
+    return F.coalesce(F.lower(font).rlike("|".join(MONO)), F.lit(False))
+
 
 def islands(rows: DataFrame, by: list[str], value: str, tolerance: float, name: str, then: str = "n") -> DataFrame:
     """Adds ``name``: numbers of runs of ``value`` in each group ``by`` in which no step is over the tolerance."""

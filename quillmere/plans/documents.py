@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as tx
@@ -288,11 +286,13 @@ def q_parse_fallbacks(spark, sf):
     return listed.select(F.col("artifact").alias("doc_id"), F.array_join(F.transform("attempts", lambda x: F.concat(x["parser"], F.lit(":"), x["outcome"])), ", ").alias("attempts"), "accepted")
 
 
-@query("select * from (values " + ", ".join(f"('{r[0]}', '{r[4]}', '{r[5]}')" for r in _ROUTED) + ") t(id, mime_type, parser)")
+@query("select doc_id, mime_type, parser from documents join (values " + ", ".join(f"({k}, '{r[4]}', '{r[5]}')" for k, r in enumerate(_ROUTED)) + f") t(k, mime_type, parser) on doc_id % {len(_ROUTED)} = k")
 def q_route_fixture(spark, sf):
-    rows = spark.createDataFrame([r[:4] for r in _ROUTED], "id string, body string, declared string, path string")
-    mime = rd.sniff_mime(F.encode("body", "UTF-8"), F.col("declared"), F.col("path"))
-    return rows.select("id", mime.alias("mime_type"), ro.route(F.encode("body", "UTF-8"), mime, F.col("path"))["parser"].alias("parser"))
+    """Types and parsers of payloads of all kinds; documents are dealt to the kinds by their ids, which stand in the payloads."""
+    kinds = spark.createDataFrame([(k, *r[1:4]) for k, r in enumerate(_ROUTED)], "k int, body string, declared string, path string")
+    rows = docs(spark, sf).withColumn("k", (F.col("doc_id") % len(_ROUTED)).cast("int")).join(F.broadcast(kinds), "k").withColumn("data", F.encode(F.concat("body", F.lit(" "), F.coalesce("lang", F.lit("-")), "doc_id"), "UTF-8"))
+    mime = rd.sniff_mime(F.col("data"), F.col("declared"), F.concat(F.lit("d"), "doc_id", F.lit("/"), "path"))
+    return rows.select("doc_id", mime.alias("mime_type"), ro.route(F.col("data"), mime, F.col("path"))["parser"].alias("parser"))
 
 
 @query("select page_id, 'doc_' || substr(sha256(trim(url)), 1, 12) as artifact from pages")
@@ -321,9 +321,12 @@ def q_host_guard(spark, sf):
     return pages(spark, sf).groupBy(F.coalesce(rd.host_problem(made), F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
 
 
-@query("select * from (values " + ", ".join(f"({k}::int, '{v}')" for k, (_, v) in enumerate(_HOSTS)) + ") t(id, problem)")
+@query("select page_id, problem from pages join (values " + ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(_HOSTS)) + f") t(k, problem) on page_id % {len(_HOSTS)} = k")
 def q_host_guard_fixture(spark, sf):
-    return spark.createDataFrame([(k, u) for k, (u, _) in enumerate(_HOSTS)], "id int, url string").select("id", F.coalesce(rd.host_problem(F.col("url")), F.lit("ok")).alias("problem"))
+    """Addresses of each form that the guard knows, with pages' ids as queries."""
+    forms = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(_HOSTS)], "k int, form string")
+    rows = pages(spark, sf).withColumn("k", (F.col("page_id") % len(_HOSTS)).cast("int")).join(F.broadcast(forms), "k")
+    return rows.select("page_id", F.coalesce(rd.host_problem(F.when(F.col("form") == "", "").otherwise(F.concat("form", F.lit("?page="), "page_id"))), F.lit("ok")).alias("problem"))
 
 
 @query("select doc_id, source, length(text)::bigint as n_chars from documents where doc_id > 40 order by doc_id limit 25")
@@ -517,6 +520,15 @@ def q_chunk_scan(spark, sf):
     return ch.size_scan(bl.clean_blocks(bl.line_blocks(docs(spark, sf))), [100, 200, 400, 800])
 
 
+@query(
+    f"with recursive {_line_chunks([200, 400, 800])}, a as (select size, count(*) as n from line_chunks group by size), b as (select lag(size) over (order by size) as size_from, size, round(n::double / lag(n) over (order by size) - 1, 4) as change from a) "
+    "select size_from::int as size_from, size::int as size, change, (min(size_from) over ())::int as first from b where abs(change) < 0.3"
+)
+def q_chunk_plateau(spark, sf):
+    """Stretches of chunk sizes over which the number of chunks hardly changes (here by less than 30 %)."""
+    return ch.plateaus(ch.size_scan(bl.clean_blocks(bl.line_blocks(docs(spark, sf))), [200, 400, 800]), 0.3)
+
+
 _METRIC = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\[([^\]\[]+)\]\([^)\s]*\)', '\1', 'g'), '(?s)\*{{1,3}}(\S|\S.*?\S)\*{{1,3}}', '\1', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -546,45 +558,61 @@ def q_payloads(spark, sf):
     return out.select("chunk_id", "file_name", "chunk_index", "token_count", F.size("fragments").alias("n_fragments"), "index_decision.tier")
 
 
-#: Chunk ids and the ids of their points: the first eight bytes of BLAKE2b of that size, without the top bit.
-_POINTS = {c: int.from_bytes(hashlib.blake2b(c.encode(), digest_size=8).digest(), "big") & ((1 << 63) - 1) for c in ("doc_ab12_c0001", "doc_ab12_c0002", "1_c0001", "")}
-
-
-@query("select * from (values " + ", ".join(f"('{c}', {n}::bigint)" for c, n in _POINTS.items()) + ") t(chunk_id, point_id)")
+@query()
 def q_point_ids(spark, sf):
-    return spark.createDataFrame([(c,) for c in _POINTS], "chunk_id string").select("chunk_id", tx.point_id(F.col("chunk_id")).alias("point_id"))
+    """Points of all documents' first chunks (DuckDB has no BLAKE2b; the test computes them)."""
+    chunk = F.concat(tx.artifact_id(F.lit(None).cast("string"), F.col("doc_id").cast("string"), F.sha2("text", 256)), F.lit("_c"), tx.padded(F.lit(1)))
+    return docs(spark, sf).select(chunk.alias("chunk_id")).select("chunk_id", tx.point_id(F.col("chunk_id")).alias("point_id"))
 
 
 # ---- inline fixtures ------------------------------------------------------
 
-_LADDER = [(1, "heading", "A", 1), (2, "text", "a", None), (3, "heading", "B", 2), (4, "text", "b", None), (5, "heading", "C", 2), (6, "heading", "D", 3), (7, "text", "d", None), (8, "heading", "E", 1), (9, "heading", "F", 3), (10, "text", "f", None)]
-_PATHS = {1: "", 2: "A", 3: "A", 4: "A > B", 5: "A", 6: "A > C", 7: "A > C > D", 8: "", 9: "E", 10: "E > F"}
+_LEVELS = "case when length(text) < 20 then 1 when length(text) < 40 then 2 when length(text) < 60 then 3 end"
 
 
-@query("select * from (values " + ", ".join(f"({k}::int, '{v}')" for k, v in _PATHS.items()) + ") t(ord, path)")
+@query(
+    f"with {_LINES}, l as (select artifact, ord, text, {_LEVELS} as level from lines), "
+    "h as (select *, max(case when level = 1 then ord end) over w as h1, max(case when level = 2 then ord end) over w as h2, max(case when level = 3 then ord end) over w as h3 from l window w as (partition by artifact order by ord rows between unbounded preceding and 1 preceding)) "
+    "select artifact, ord::int as ord, list_sum(list_filter([h1, case when h2 > coalesce(h1, 0) and coalesce(level, 9) > 2 then h2 end, case when h3 > greatest(coalesce(h1, 0), coalesce(h2, 0)) and coalesce(level, 9) > 3 then h3 end], lambda x: x is not null and coalesce(level, 9) > 1))::bigint as above from h"
+)
 def q_section_path(spark, sf):
-    b = spark.createDataFrame([(1, *r) for r in _LADDER], "artifact int, ord int, type string, text string, level int")
-    return bl.with_section_path(b).select("ord", F.array_join("section_path", " > ").alias("path"))
+    """Lines of documents, short ones as headings of three levels, with the sum of the line numbers that stand in their paths."""
+    n = F.length("text")
+    level = F.when(n < 20, 1).when(n < 40, 2).when(n < 60, 3)
+    lines = bl.line_blocks(docs(spark, sf)).withColumn("level", level).withColumn("type", F.when(F.col("level").isNotNull(), "heading").otherwise("text")).withColumn("text", F.col("ord").cast("string"))
+    path = bl.with_section_path(lines)
+    return path.select("artifact", "ord", F.when(F.size("section_path") > 0, F.aggregate("section_path", F.lit(0).cast("long"), lambda t, x: t + x.cast("long"))).alias("above"))
+
+
+#: @ stands for a document's language and id.
+_MD = "# Top @\n\npara one\nstill one\n\n- a\n- b\n\n```py\nx  =  1\n\ny\n```\n## Sub\n$$a+b$$\n![cap](i.png)\ntail\n```\nopen"
+_MD_ROWS = [(1, "heading", "Top @", ""), (2, "text", "para one|still one", "Top @"), (3, "list", "- a|- b", "Top @"), (4, "code", "x  =  1||y", "Top @"), (5, "heading", "Sub", "Top @"), (6, "formula", "a+b", "Top @ > Sub"), (7, "image", "cap", "Top @ > Sub"), (8, "text", "tail", "Top @ > Sub"), (9, "code", "open", "Top @ > Sub")]
+
 
+_MARK = "coalesce(lang, 'xx') || doc_id"
 
-_MD = "# Top\n\npara one\nstill one\n\n- a\n- b\n\n```py\nx  =  1\n\ny\n```\n## Sub\n$$a+b$$\n![cap](i.png)\ntail\n```\nopen"
-_MD_ROWS = [(1, "heading", "Top", ""), (2, "text", "para one|still one", "Top"), (3, "list", "- a|- b", "Top"), (4, "code", "x  =  1||y", "Top"), (5, "heading", "Sub", "Top"), (6, "formula", "a+b", "Top > Sub"), (7, "image", "cap", "Top > Sub"), (8, "text", "tail", "Top > Sub"), (9, "code", "open", "Top > Sub")]
 
+def _templates(spark, sf, text):
+    mark = F.concat(F.coalesce("lang", F.lit("xx")), F.col("doc_id").cast("string"))
+    return docs(spark, sf).select(F.col("doc_id").alias("artifact"), F.replace(F.lit(text), F.lit("@"), mark).alias("text"))
 
-@query("select * from (values " + ", ".join(f"({a}::int, '{b}', '{c}', '{d}')" for a, b, c, d in _MD_ROWS) + ") t(ord, type, text, path)")
+
+@query(f"select doc_id as artifact, ord, type, replace(t.text, '@', {_MARK}) as text, replace(path, '@', {_MARK}) as path from documents, (values " + ", ".join(f"({a}::int, '{b}', '{c}', '{d}')" for a, b, c, d in _MD_ROWS) + ") t(ord, type, text, path)")
 def q_markdown_blocks(spark, sf):
-    b = pt.parse_markdown(spark.createDataFrame([(1, _MD)], "artifact int, text string"))
-    return b.select("ord", "type", F.replace("text", F.lit("\n"), F.lit("|")).alias("text"), F.array_join("section_path", " > ").alias("path"))
+    """Blocks of a Markdown text of every kind of line, written for each document."""
+    b = pt.parse_markdown(_templates(spark, sf, _MD))
+    return b.select("artifact", "ord", "type", F.replace("text", F.lit("\n"), F.lit("|")).alias("text"), F.array_join("section_path", " > ").alias("path"))
 
 
-_RST = "Title\n=====\n\nbody # no heading\n# comment\n\nSub\n---\n1. one\n2. two\n"
-_RST_ROWS = [(1, "heading", "Title", 1), (2, "text", "body # no heading|# comment", None), (3, "heading", "Sub", 2), (4, "list", "1. one|2. two", None)]
+_RST = "Title @\n====================\n\nbody @ # no heading\n# comment\n\nSub\n---\n1. one\n2. two\n"
+_RST_ROWS = [(1, "heading", "Title @", 1), (2, "text", "body @ # no heading|# comment", None), (3, "heading", "Sub", 2), (4, "list", "1. one|2. two", None)]
 
 
-@query("select * from (values " + ", ".join(f"({a}::int, '{b}', '{c}', {d if d else 'null'}::int)" for a, b, c, d in _RST_ROWS) + ") t(ord, type, text, level)")
+@query(f"select doc_id as artifact, ord, type, replace(t.text, '@', {_MARK}) as text, level from documents, (values " + ", ".join(f"({a}::int, '{b}', '{c}', {d if d else 'null'}::int)" for a, b, c, d in _RST_ROWS) + ") t(ord, type, text, level)")
 def q_plain_blocks(spark, sf):
-    b = pt.parse_plain(spark.createDataFrame([(1, _RST)], "artifact int, text string"))
-    return b.select("ord", "type", F.replace("text", F.lit("\n"), F.lit("|")).alias("text"), "level")
+    """Blocks of a plain text with underlined titles, written for each document."""
+    b = pt.parse_plain(_templates(spark, sf, _RST))
+    return b.select("artifact", "ord", "type", F.replace("text", F.lit("\n"), F.lit("|")).alias("text"), "level")
 
 
 @query(
@@ -631,9 +659,15 @@ def q_pdf_blocks(spark, sf):
     return b.select("ord", "type", "text", F.array_join("section_path", " > ").alias("path"))
 
 
-@query("select * from (values ('1-3,7,9-', 0), ('1-3,7,9-', 1), ('1-3,7,9-', 2), ('1-3,7,9-', 6), ('1-3,7,9-', 8), ('1-3,7,9-', 9), ('5,5,4-6', 3), ('5,5,4-6', 4), ('5,5,4-6', 5)) t(spec, page)")
+_A, _B, _C = "doc_id % 5 + 1", "doc_id % 7 + 3", "doc_id % 3 + 10"
+
+
+@query(f"with s as (select distinct {_A} as a, {_B} as b, {_C} as c from documents) select a || '-' || (a + 2) || ',' || b || ', ' || c || '-' as spec, (p - 1)::int as page from s, unnest(range(1, 13)) t(p) where p between a and a + 2 or p = b or p >= c")
 def q_page_range(spark, sf):
-    return rd.page_numbers(spark.createDataFrame([("1-3,7,9-", 10), ("5,5,4-6", 8)], "spec string, total int"))
+    """Pages of the ranges that documents' ids make, of twelve in all."""
+    a, b, c = F.col("doc_id") % 5 + 1, F.col("doc_id") % 7 + 3, F.col("doc_id") % 3 + 10
+    spec = F.concat(a.cast("string"), F.lit("-"), (a + 2).cast("string"), F.lit(","), b.cast("string"), F.lit(", "), c.cast("string"), F.lit("-"))
+    return rd.page_numbers(docs(spark, sf).select(spec.alias("spec"), F.lit(12).alias("total")).distinct())
 
 
 # ---- events ---------------------------------------------------------------

@@ -19,6 +19,57 @@ def test_calls_once_per_value_with_errors_as_rows(spark):
     assert got == {1: ("aa", None), 2: ("aa", None), 3: (None, "no"), 4: (None, None), 5: ("bb", None), 6: ("cc", None)}
 
 
+def test_results_are_kept_over_runs(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Upper:
+        def __init__(self, breaks=""):
+            self.breaks = breaks
+
+        def call(self, items):
+            calls.add(len(items))
+            if any(x == self.breaks for x in items):
+                raise ValueError("no")
+            return [x.upper() for x in items]
+
+    path = str(tmp_path / "cache")
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "bad")], "id int, t string")
+    run = lambda d, scope="m1", breaks="": {r.id: (r.out, r.out_error) for r in cn.call_cached(d, "t", "out", "string", lambda: Upper(breaks), path, scope, cn.CallPolicy(batch=1), 2).collect()}
+    assert run(df, breaks="bad") == {1: ("A", None), 2: ("A", None), 3: ("B", None), 4: (None, None), 5: (None, "no")}
+    first = calls.value
+    assert run(df)[5] == ("BAD", None) and calls.value == first + 1  # only what had failed
+    assert run(df) == {1: ("A", None), 2: ("A", None), 3: ("B", None), 4: (None, None), 5: ("BAD", None)} and calls.value == first + 1
+    assert run(df, "m2")[1] == ("A", None) and calls.value == first + 4  # another model
+
+    # a run that dies keeps its finished rounds
+    class Dies:
+        def call(self, items):
+            calls.add(len(items))
+            if any(x == "w7" for x in items):
+                raise SystemExit("lost")
+            return [x.upper() for x in items]
+
+    more = spark.createDataFrame([(k, f"w{k}") for k in range(12)], "id int, t string")
+    with pytest.raises(Exception):
+        cn.call_cached(more, "t", "out", "string", Dies, path, "m3", cn.CallPolicy(batch=1), 2).collect()
+    kept = spark.read.parquet(path).count()
+    before = calls.value
+    assert run(more, "m3")[7] == ("W7", None) and calls.value - before == 12 - (kept - 6)
+
+
+def test_the_rate_holds_over_tasks(spark):
+    class Clock:
+        def call(self, items):
+            import time
+
+            return [time.time() for _ in items]
+
+    df = spark.createDataFrame([(k, f"v{k}") for k in range(24)], "id int, t string").repartition(4)
+    got = sorted(r.at for r in cn.call_each(df, "t", "at", "double", Clock, cn.CallPolicy(batch=1, per_minute=600, callers=2)).collect())
+    # ten a second in all, however many tasks could run: in no second more than one call a task over that
+    assert max(sum(t <= u < t + 1 for u in got) for t in got) <= 12 and got[-1] - got[0] >= 1.0
+
+
 def test_pacing_and_retries():
     now, slept, fails = [0.0], [], [cn.RateLimited(7.0), cn.RateLimited(), cn.RateLimited()]
 

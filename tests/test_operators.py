@@ -445,3 +445,14 @@ def test_short_needles_are_found_in_words(spark):
     want = {(n, d) for n, x in needles for d, t in texts if t is not None and x.strip(" \n\t") and x in t}
     assert {tuple(r) for r in got.collect()} == want and (501, 900) in want
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_point_ids_of_documents(spark):
+    import hashlib
+
+    from quillmere.plans import catalogue
+
+    rows = catalogue.QUERIES["q_point_ids"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 200 and len({r.point_id for r in rows}) == 200
+    for r in rows:
+        assert r.point_id == int.from_bytes(hashlib.blake2b(r.chunk_id.encode(), digest_size=8).digest(), "big") & ((1 << 63) - 1)

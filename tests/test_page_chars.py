@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quillmere.operators import page_chars as pc
 from quillmere.operators import pdf_lines as pl
 
@@ -61,6 +63,11 @@ def test_lines_equal_brute_force(spark):
     assert pc.char_lines(pc.unique_chars(df.limit(0))).count() == 0
 
 
+def test_mono_fonts(spark):
+    rows = spark.createDataFrame([("ABC+CourierNew",), ("DejaVuSansMono-Bold",), ("Times",), (None,)], "f string")
+    assert [r.m for r in rows.select(pc.is_mono(F.col("f")).alias("m")).collect()] == [True, True, False, False]
+
+
 def test_lines_go_on_to_blocks(spark):
     rows, n = [], 0
     for page, said in enumerate([("Chapter one", 18.0, 100.0), ("Body text of some length that goes on.", 10.0, 150.0)]):
