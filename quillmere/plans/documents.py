@@ -522,11 +522,11 @@ def q_chunk_scan(spark, sf):
 
 @query(
     f"with recursive {_line_chunks([200, 400, 800])}, a as (select size, count(*) as n from line_chunks group by size), b as (select lag(size) over (order by size) as size_from, size, round(n::double / lag(n) over (order by size) - 1, 4) as change from a) "
-    "select size_from::int as size_from, size::int as size, change, (min(size_from) over ())::int as first from b where abs(change) < 0.3"
+    "select size_from::int as size_from, size::int as size, change, (min(size_from) over ())::int as first from b where abs(change) < 0.4"
 )
 def q_chunk_plateau(spark, sf):
-    """Stretches of chunk sizes over which the number of chunks hardly changes (here by less than 30 %)."""
-    return ch.plateaus(ch.size_scan(bl.clean_blocks(bl.line_blocks(docs(spark, sf))), [200, 400, 800]), 0.3)
+    """Stretches of chunk sizes over which the number of chunks hardly changes (here by less than 40 %)."""
+    return ch.plateaus(ch.size_scan(bl.clean_blocks(bl.line_blocks(docs(spark, sf))), [200, 400, 800]), 0.4)
 
 
 _METRIC = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\[([^\]\[]+)\]\([^)\s]*\)', '\1', 'g'), '(?s)\*{{1,3}}(\S|\S.*?\S)\*{{1,3}}', '\1', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s+', ' ', 'g'))"
