@@ -35,7 +35,8 @@ from quillmere.llm.batches import append_columns
 MARK = "▁"
 #: A run of marks with the word after it, a word at a line's start, or a line end.
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-MEMO_WORDS = 100_000
+#: Words whose ids a task keeps, about 350 bytes each with their texts, and of tasks that return texts and ids as well.
+MEMO_WORDS, MEMO_SMALL = 600_000, 100_000
 _TAILS = frozenset(".,;:!?")
 _LOADED: dict[str, "PieceCodec"] = {}
 
@@ -64,6 +65,8 @@ class PieceCodec:
         import ahocorasick
         import sentencepiece
 
+        self.most = MEMO_WORDS
+
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         check_normalizer(sp.serialized_model_proto())
         n = sp.get_piece_size()
@@ -307,7 +310,7 @@ class PieceCodec:
 
     def _chunks(self, texts: Sequence[str]) -> list[list[str]]:
         cut = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.ids_memo) > MEMO_WORDS:
+        if len(self.ids_memo) > self.most:
             self.forget()
         new = set().union(*cut).difference(self.ids_memo)
         if new:
@@ -411,6 +414,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", keep: list
 
     def make():
         codec = load(path)
+        codec.most = MEMO_SMALL
 
         def run(array: pa.Array):
             ids = codec.encode([t or "" for t in array.to_pylist()])
@@ -428,6 +432,7 @@ def piece_digests(docs: DataFrame, path: str, text_col: str = "text", keep: list
 
     def make():
         codec = load(path)
+        codec.most = MEMO_WORDS
 
         def run(array: pa.Array):
             n, a, b = codec.digests([t or "" for t in array.to_pylist()])
