@@ -28,6 +28,8 @@ _LANGUAGES = {
     "json", "yaml", "yml", "toml", "ini", "xml", "html", "css", "scss", "markdown", "md", "dockerfile", "makefile", "nginx", "text", "plaintext", "diff", "patch",
 }
 MAX_LINKS, MAX_LINK_TEXT = 20, 200
+#: The ampersand of a reference without its semicolon; comments, scripts and styles, where none are decoded, are passed over.
+_BARE = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1|&(?=(?:[a-z][a-z0-9]*|#[0-9]+|#x[0-9a-f]+)(?![a-z0-9;]))")
 
 BLOCK_TYPE = T.ArrayType(
     T.StructType(
@@ -192,10 +194,15 @@ class _Walk(HTMLParser):
             self.parts.append(data)
 
 
-def walk(html: str | None) -> list[dict]:
-    """Blocks of a page in order, main ones marked; missing types of the main part come after it."""
+def walk(html: str | None, bare: bool = True) -> list[dict]:
+    """Blocks of a page in order, main ones marked; missing types of the main part come after it.
+
+    References without their semicolon are decoded as browsers do; without ``bare`` they stay, as in ``unescape``.
+    """
     if not html:
         return []
+    if not bare:
+        html = _BARE.sub(lambda m: "&amp;" if m[0] == "&" else m[0], html)
     w = _Walk()
     w.feed(html)
     w.close()
@@ -208,8 +215,8 @@ def walk(html: str | None) -> list[dict]:
     return main + more
 
 
-def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url") -> DataFrame:
-    """Block rows of pages: ord, type, text, level, links and the rest, with section paths and the page's URL on each."""
+def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url", bare: bool = True) -> DataFrame:
+    """Block rows of pages: ord, type, text, level, links and the rest, with section paths and the page's URL on each; ``bare`` as in ``walk``."""
     keep = [id_col] + ([url_col] if url_col else [])
     src = pages.select(*keep, F.col(html_col).alias("__html"))
     schema = T.StructType([*[src.schema[c] for c in keep], T.StructField("blocks", BLOCK_TYPE)])
@@ -219,7 +226,7 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
     def run(batches):
         for b in batches:
-            made = pa.array([walk(h) for h in b.column(len(keep)).to_pylist()], kind)
+            made = pa.array([walk(h, bare) for h in b.column(len(keep)).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], made], names=[*keep, "blocks"])
 
     rows = src.mapInArrow(run, schema).select(F.col(id_col).alias("artifact"), *([F.col(url_col).alias("url")] if url_col else []), F.posexplode("blocks").alias("pos", "b"))
