@@ -59,7 +59,7 @@ def write_index(dense: DataFrame, sparse: DataFrame, path: str, embed=None, dim:
     dense.write.mode("overwrite").parquet(f"{path}/dense")
     sparse.write.mode("overwrite").parquet(f"{path}/sparse")
     docs = sparse.sparkSession.read.parquet(f"{path}/sparse")
-    termed = sp.with_terms(docs, "point_id", "sparse_text")
+    termed = sp.with_counts(docs, "point_id", "sparse_text")
     stats = sp.corpus_stats(termed)
     tf = sp.term_frequencies(termed)
     post = sp.postings(tf, stats, p)

@@ -232,13 +232,13 @@ class IndexStore:
         if self.dim is not None and "vector" in rows.columns:
             rows = rows.withColumn("vector", F.when(F.size("vector") != self.dim, F.raise_error(F.lit("wrong vector length"))).otherwise(F.col("vector")))
         weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in rows.columns else F.lit(1.0)
-        termed = sp.with_terms(rows, "doc", "text").select("doc", "dl")
+        termed = sp.with_counts(rows, "doc", "text").select("doc", "dl")
         copies = rows.groupBy("doc").agg(F.count("*").alias("__n"))
         whole = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("repeated id "), F.col("doc").cast("string")))).otherwise(F.col("artifact"))
         rows.join(copies, "doc").withColumn("artifact", whole.cast(rows.schema["artifact"].dataType)).drop("__n").join(termed, "doc").write.parquet(f"{root}/docs")
         docs = self.spark.read.parquet(f"{root}/docs")
         shards = docs.count() // SHARD + 1
-        terms = sp.term_frequencies(sp.with_terms(docs, "doc", "text")).join(docs.select("doc", weight.alias("w")), "doc")
+        terms = sp.term_frequencies(sp.with_counts(docs, "doc", "text")).join(docs.select("doc", weight.alias("w")), "doc")
         dealt = terms.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int")).withColumn("bucket", _bucket(F.col("term"), self.buckets))
         average = docs.agg(F.avg("dl")).first()[0] or 1.0
         heavy = _weight(self.p, F.col("tf"), F.col("dl"), F.col("w"), average)

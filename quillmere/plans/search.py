@@ -47,7 +47,7 @@ class Engine:
         return ctx.prompts(queries, contexts).join(contexts.drop("context"), "query", "left")
 
     def info(self) -> DataFrame:
-        termed = sp.with_terms(self.docs, "doc", "text")
+        termed = sp.with_counts(self.docs, "doc", "text")
         return sp.index_summary(sp.term_frequencies(termed), sp.corpus_stats(termed))
 
     def sections(self) -> DataFrame:
