@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.functions.sizes import maybe_broadcast
 from quillmere.functions.text import analyze
 from quillmere.operators.sparse import top_k
 
@@ -86,7 +87,8 @@ def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, top: int, name:
     Earlier scores stay, ``pre_rank`` is the rank before. ``none`` or a scorer that gives null leaves the
     order as it was.
     """
-    with_text = hits.join(docs, "doc").join(queries, "query")
+    # the hits of a small table of queries go to the documents, whose texts stay where they are
+    with_text = docs.join(maybe_broadcast(hits, queries), "doc").join(maybe_broadcast(queries, queries), "query")
     score = F.lit(None).cast("double") if name == "none" else SCORERS[name](F.col("query_text"), F.substring("text", 1, max_chars))
     scored = with_text.withColumn("rerank_score", F.round(score, 6)).withColumnRenamed("rank", "pre_rank").drop("text", "query_text")
     return top_k(scored, top, F.desc_nulls_last("rerank_score"), F.asc("pre_rank"))
