@@ -158,7 +158,7 @@ class Snapshot:
             return self.docs().select(F.lit(None).cast(asked.schema["query"].dataType).alias("query"), "doc", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched"), F.lit(0).alias("rank")).where("false")
         scored = functools.reduce(DataFrame.unionByName, hits).join(maybe_broadcast(asked.drop("bucket"), queries), "term")
         value = F.round(F.sum(F.col("qw") * _weight(p, F.col("tf"), F.col("dl"), F.col("w"), self.avgdl)), 6)
-        found = scored.groupBy("query", "doc").agg(value.alias("score"), F.array_sort(F.collect_list("term")).alias("matched")).where("score > 0")
+        found = scored.groupBy("query", "doc").agg(value.alias("score"), F.sort_array(F.collect_list("term")).alias("matched")).where("score > 0")
         return sp.top_k(found, k, F.desc("score"), F.asc("doc"))
 
     def _postings(self, blocks: DataFrame, k: int) -> DataFrame:
@@ -245,7 +245,7 @@ class IndexStore:
         place = F.row_number().over(Window.partitionBy("bucket", "shard", "term").orderBy(heavy.desc(), "doc")) - 1
         numbered = dealt.withColumn("block", F.floor(place / BLOCK).cast("int")).withColumn("tier", F.least(F.lit(TIERS - 1), F.floor(F.log2(F.col("block") + 1))).cast("int"))
         ends = [f(c).alias(f"{n}_{c}") for c in ("tf", "dl", "w") for n, f in (("max", F.max), ("min", F.min))]
-        blocks = numbered.groupBy("bucket", "shard", "tier", "term", "block").agg(*ends, F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc", "tf", "dl", "w"))).alias("list"))
+        blocks = numbered.groupBy("bucket", "shard", "tier", "term", "block").agg(*ends, F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("doc", "tf", "dl", "w"))).alias("list"))
         # a file for each bucket, shard and tier, in it terms in order
         blocks.repartition("bucket", "shard").sortWithinPartitions("bucket", "tier", "term", "block").write.partitionBy("bucket", "tier").parquet(f"{root}/postings")
 
