@@ -30,7 +30,7 @@ class Engine:
     def search(self, queries: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
         """Hits (query, doc, scores, ranks, shown, rank). The section filter comes before the ranking."""
         docs = in_section(self.docs, p.section) if p.section else self.docs
-        dense = de.sparse_cosine_topk(de.hashed(docs, "doc", "text"), de.hashed(self._channel(queries, "dense_query"), "query", "q"), p.candidate_k)
+        dense = de.text_cosine_topk(docs, self._channel(queries, "dense_query"), p.candidate_k, "doc", "text", "query", "q")
         sparse = sp.bm25_topk(docs, self._channel(queries, "sparse_query"), p.candidate_k, doc_id="doc", query_id="query", query_text="q")
         depth = p.rerank_candidate_k if p.rerank else p.top_k
         hits = hy.search_stage(p.mode, dense, sparse, p.rrf_k, depth)
