@@ -6,6 +6,7 @@ import unicodedata
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,7 @@ from quillmere.functions.text import HASH_STOP_CHARS, STOPWORDS
 from quillmere.operators import counts as co
 from quillmere.operators import dense as de
 from quillmere.operators import sparse as sp
+from quillmere.plans.retrieval import QUERIES
 
 PIECES = ["a", "b", "A", "B1", "_", ".", ":", "/", "+", "-", " ", "\n", "\x00", "é", "的", "一", "个", "中", "文", "鿿", "䷿", "ꀀ", "İ", "K", "Ａ", "ﬁ", "😀", "the", "7", "豈"]
 
@@ -61,3 +63,13 @@ def test_a_search_writes_numbers_of_terms_and_no_vectors_of_documents(spark, tmp
     w = de.hash_embedding(docs, "doc_id", "text").alias("d").join(de.hash_embedding(queries, "item_id", "text").alias("q"), "bucket")
     pairs = {(r.query, r.doc): r.score for r in w.groupBy(F.col("q.doc").alias("query"), F.col("d.doc").alias("doc")).agg(F.round(F.sum(F.col("d.w") * F.col("q.w")), 6).alias("score")).collect()}
     assert got and all(abs(pairs[r.query, r.doc] - r.score) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("name", ["q_margin"])
+def test_queries_of_fused_lists_write_no_words_of_documents(spark, monkeypatch, name):
+    sf, written, staged = "/root/testdata/sf0.001", [], sp.staged
+    monkeypatch.setattr(sp, "staged", lambda df: written.append(staged(df)) or written[-1])
+    assert QUERIES[name](spark, sf).count()
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    tables = [df for df in written if df.count() == n]
+    assert tables and all("string" not in df.schema.simpleString() for df in tables)
