@@ -65,7 +65,7 @@ def test_a_search_writes_numbers_of_terms_and_no_vectors_of_documents(spark, tmp
     assert got and all(abs(pairs[r.query, r.doc] - r.score) < 1e-9 for r in got)
 
 
-@pytest.mark.parametrize("name", ["q_margin", "q_union_stage"])
+@pytest.mark.parametrize("name", ["q_margin", "q_union_stage", "q_rrf_weighted"])
 def test_queries_of_fused_lists_write_no_words_of_documents(spark, monkeypatch, name):
     sf, written, staged = "/root/testdata/sf0.001", [], sp.staged
     monkeypatch.setattr(sp, "staged", lambda df: written.append(staged(df)) or written[-1])
