@@ -21,6 +21,8 @@ from quillmere.sources.route import parser
 
 _OUT = frozenset("script style noscript template nav footer aside form button select textarea iframe svg header".split())
 _BLOCK = frozenset("html body address article blockquote details div dl dd dt fieldset figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section table ul tr td th figcaption caption".split())
+#: Elements that are a block by themselves, however short; text right in any other needs two characters.
+_WHOLE = frozenset("p blockquote address details".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Class names that tell a code language by themselves.
 _LANGUAGES = {
@@ -90,7 +92,7 @@ class _Walk(HTMLParser):
             self._add("heading", text, level=int(head[1]))
         elif self.figure is not None and "figcaption" in self.stack:
             self.figure["caption"] = text.strip()
-        elif len(text.strip()) >= 2:
+        elif len(text.strip()) >= 2 or any(t in _WHOLE for t in self.stack):
             self._add("text", text)
 
     def _close(self, tag):
