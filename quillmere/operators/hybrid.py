@@ -81,15 +81,16 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
 
 
-def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, top: int, name: str = "lexical", max_chars: int = 4000) -> DataFrame:
+def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, top: int, name: str = "lexical", max_chars: int | None = None) -> DataFrame:
     """Hits (with text looked up in ``docs`` (doc, text) and ``queries`` (query, query_text)) in the order of a scorer.
 
     Earlier scores stay, ``pre_rank`` is the rank before. ``none`` or a scorer that gives null leaves the
-    order as it was.
+    order as it was. The scorer gets whole texts; ``max_chars`` is for one that takes no more characters.
     """
     # the hits of a small table of queries go to the documents, whose texts stay where they are
     with_text = docs.join(maybe_broadcast(hits, queries), "doc").join(maybe_broadcast(queries, queries), "query")
-    score = F.lit(None).cast("double") if name == "none" else SCORERS[name](F.col("query_text"), F.substring("text", 1, max_chars))
+    given = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
+    score = F.lit(None).cast("double") if name == "none" else SCORERS[name](F.col("query_text"), given)
     scored = with_text.withColumn("rerank_score", F.round(score, 6)).withColumnRenamed("rank", "pre_rank").drop("text", "query_text")
     return top_k(scored, top, F.desc_nulls_last("rerank_score"), F.asc("pre_rank"))
 
