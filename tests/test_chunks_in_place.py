@@ -30,6 +30,11 @@ def test_texts_are_dealt_once(spark, tmp_path):
     assert 0 < sum(n for k, n in after.items() if k not in before) < 2 * sum(len(t) for _, t in docs)
 
 
+def test_a_document_without_an_id_is_checked(spark, tmp_path):
+    spark.createDataFrame([(1, "Some line of one."), (None, "Other line."), (0, "Third line.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(x) for x in catalogue.QUERIES["q_chunk_invariants"](spark, str(tmp_path)).select("problem", "n").collect()] == [("ok", 3)]
+
+
 def test_same_chunks_in_place(spark):
     blocks = spark.createDataFrame(ROWS, "artifact long, ord int, block_id string, type string, text string, level int")
     for size in (5, 20, 200):
